@@ -6,17 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import byte_bpe, secrets, token_files, topk, wordpiece
 from .common import read
 from .near_dedup import near_duplicates
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = token_files.write(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.digests(token_files.read_ids(folder, files))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_counts": op4_token_counts,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_token_files": op7_token_files,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_exact_top_k": op9_exact_top_k,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
