@@ -16,7 +16,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, texts_of
@@ -127,10 +127,11 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Number of ids and SHA-256 of the ids, comma-joined, and of the decoded bytes."""
+def digests(decoded: DataFrame, *also: Column) -> DataFrame:
+    """Number of ids and SHA-256 of the ids, comma-joined, and of the decoded bytes; before them what else is asked for."""
     return decoded.select(
         "doc_id",
+        *also,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

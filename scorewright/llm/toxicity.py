@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, texts_of
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """Whether a row is kept from training: CRC-32 of its doc_id as text, modulo 5, is 0; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
