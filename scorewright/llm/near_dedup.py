@@ -36,6 +36,8 @@ SKETCH = 256
 SLACK = 4.0
 #: Classes in a node that are compared exhaustively.
 LEAF = 1024
+#: Ids that are broadcast to pick the texts that links are confirmed on; more of them are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 _SEED = np.random.default_rng(20)
 _PLACES = _SEED.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _FACTORS = (_SEED.integers(1, 2**32, SKETCH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -129,78 +131,129 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([pack.compress(t.encode("utf-8", "replace")) for t in texts_of(batch)], pa.binary())], names=["id", "packed"])
 
 
-def _confirmed(percent: int, size: int):
-    """Of rows (a, b, packed_a, packed_b) the pairs with 100 * intersection >= percent * union."""
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sets."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(key: int, packed: bytes) -> np.ndarray:
-            if key not in recent:
-                recent[key] = shingle_set(unpack.decompress(packed).decode("utf-8"), hashes, size)
-                if len(recent) > 128:
-                    recent.popitem(last=False)
-            recent.move_to_end(key)
-            return recent[key]
+class _Sets:
+    """Shingle sets of packed texts, the recent ones remembered by id."""
+
+    def __init__(self, size: int, most: int = 1100) -> None:
+        self.size, self.most, self.hashes, self.unpack = size, most, WordHashes(), zstandard.ZstdDecompressor()
+        self.recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.held = 0
+
+    def of(self, key: int, packed) -> np.ndarray:
+        if (known := self.recent.get(key)) is not None:
+            self.recent.move_to_end(key)
+            return known
+        packed = packed.as_py() if isinstance(packed, pa.Scalar) else packed
+        out = self.recent[key] = shingle_set(self.unpack.decompress(packed).decode("utf-8"), self.hashes, self.size)
+        self.held += len(out)
+        while self.held > 4_000_000 and len(self.recent) > 2 or len(self.recent) > self.most:
+            self.held -= len(self.recent.popitem(last=False)[1])
+        return out
 
+
+def _confirmed(percent: int, size: int):
+    """Of rows (a, b, packed_a, packed_b) the pairs that are linked by their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(size)
         for batch in small_batches(batches):
-            left, right = [], []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, t = of(a, x), of(b, y)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    left.append(a)
-                    right.append(b)
-            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            kept = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if alike(sets.of(a, x), sets.of(b, y), percent)]
+            yield pa.record_batch([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _compared(least: int):
-    """All pairs with different labels in each run of rows of one node, compared by their sketches.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in tables that hold whole runs of rows with one node; rows arrive sorted by node."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        node = held.column(0).to_numpy()
+        earlier = np.nonzero(node != node[-1])[0]
+        if len(earlier):
+            yield held.slice(0, int(earlier[-1]) + 1)
+            held = held.slice(int(earlier[-1]) + 1)
+    if held is not None:
+        yield held
+
 
-    Rows (node, block, id, label, bits) arrive sorted by node. Rows of a node that was dealt out in
+def _alike(rows: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, place, agreeing bytes) of pairs of one node with different labels whose sketches agree enough.
+
+    Rows (node, block, id, label, bits) are in runs of one node. Rows of a node that was dealt out in
     blocks are compared only across its two blocks, or within a block that is alone.
     """
+    node, block, _, labels = (rows.column(k).to_numpy() for k in range(4))
+    bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+    found, at, step = [], np.arange(len(node)), 1
+    while True:
+        at = at[at + step < len(node)]
+        at = at[node[at] == node[at + step]]
+        if not len(at):
+            break
+        for start in range(0, len(at), 20_000):
+            x = at[start : start + 20_000]
+            x = x[(labels[x] != labels[x + step]) & ((block[x] < 0) | (block[x] != block[x + step]))]
+            if len(x):
+                agree = (bits[x] == bits[x + step]).sum(axis=1)
+                x, agree = x[agree >= least], agree[agree >= least]
+                found.append((x, x + step, agree))
+        step += 1
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _involved(least: int):
+    """Of the rows of leaf nodes, those that may have a link."""
 
-    def pairs(node, block, ids, labels, bits) -> pa.RecordBatch:
-        left, right = [], []
-        at, step = np.arange(len(node)), 1
-        while True:
-            at = at[at + step < len(node)]
-            at = at[node[at] == node[at + step]]
-            if not len(at):
-                break
-            for start in range(0, len(at), 20_000):
-                x = at[start : start + 20_000]
-                x = x[(labels[x] != labels[x + step]) & ((block[x] < 0) | (block[x] != block[x + step]))]
-                if len(x):
-                    x = x[(bits[x] == bits[x + step]).sum(axis=1) >= least]
-                    left.append(ids[x])
-                    right.append(ids[x + step])
-            step += 1
-        a, b = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (left, right))
-        out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            x, y, _ = _alike(rows, least)
+            yield from rows.take(pa.array(np.unique(np.concatenate([x, y])))).to_batches()
+
+    return run
+
+
+def _linked(least: int, percent: int, size: int):
+    """Links (a, b) among the rows (node, block, id, label, bits, packed) of leaf nodes, confirmed on the full sets.
+
+    Pairs are taken from the likeliest on; a pair that the links of its node connect already is passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH))
-            held = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
-            earlier = np.nonzero(held[0] != held[0][-1])[0]
-            cut = int(earlier[-1]) + 1 if len(earlier) else 0
-            if cut:
-                yield pairs(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield pairs(*held)
+        sets = _Sets(size)
+        for rows in _runs(small_batches(batches, 2048)):
+            x, y, agree = _alike(rows, least)
+            node, _, ids, labels = (rows.column(k).to_numpy() for k in range(4))
+            packed = rows.column(5)
+            above: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def top(key: tuple[int, int]) -> tuple[int, int]:
+                while above.get(key, key) != key:
+                    key = above[key]
+                return key
+
+            left, right = [], []
+            for k in np.lexsort((y, x, -agree)):
+                i, j = int(x[k]), int(y[k])
+                a, b = top((node[i], labels[i])), top((node[j], labels[j]))
+                if a != b and alike(sets.of(ids[i], packed[i]), sets.of(ids[j], packed[j]), percent):
+                    above[max(a, b)] = min(a, b)
+                    left.append(ids[i])
+                    right.append(ids[j])
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -241,7 +294,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     shared = materialize(seen.groupBy("node").count().where("count > 1"), "shared")
     members = seen.join(shared, "node").groupBy("id").agg(F.collect_list(F.struct("node", "tree", "count")).alias("at"), F.sum("count").alias("weight"))
     members = materialize(members.select("id", "weight", F.explode("at").alias("at")).select("id", "weight", "at.*"), "members")
-    texts = documents(docs).join(members.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    wanted = materialize(members.select("id").distinct(), "wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = documents(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
     texts = materialize(texts.mapInArrow(_packed, "id long, packed binary"), "texts")
 
     centres = materialize(members.groupBy("node").agg(F.max(F.struct("weight", "id")).alias("x")).select("node", F.col("x.id").alias("a")), "centres")
@@ -260,12 +316,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         large = mixed.where(F.col("n") > LEAF)
         any_large = level < LEVELS and large.limit(1).count() > 0
         leaf = labelled.join(mixed if not any_large else mixed.where(F.col("n") <= LEAF), "node")
-        found = _leaf_pairs(leaf, bits, least) if found is None else found.unionByName(_leaf_pairs(leaf, bits, least))
+        involved = _leaf_rows(leaf, bits).mapInArrow(_involved(least), LEAF_ROW)
+        found = involved if found is None else found.unionByName(involved)
         if not any_large:
             break
         deeper = labelled.join(large.select("node"), "node").join(classes.select("id", "path"), "id")
         labelled = deeper.select("node", "id", "label", "tree", "path").mapInArrow(_next_nodes(level), "node long, id long, label long, tree int")
-    more = _confirm(found.distinct(), texts, percent, size)
+    found = materialize(found, "involved").join(texts, "id").select("node", "block", "id", "label", "bits", "packed")
+    more = found.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(least, percent, size), "a long, b long")
     component = materialize(connected_components(links.unionByName(more)), "components")
 
     of_class = classes.select("print", "id").join(component, F.col("id") == F.col("v"), "left").select("print", F.coalesce("label", "id").alias("component"))
@@ -275,8 +333,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _leaf_pairs(leaf: DataFrame, bits: DataFrame, least: int) -> DataFrame:
-    """Pairs worth confirming within the nodes of ``leaf`` (node, id, label, n); over LEAF rows, in blocks.
+LEAF_ROW = "node long, block int, id long, label long, bits binary"
+
+
+def _leaf_rows(leaf: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows of ``leaf`` (node, id, label, n) with their sketches, gathered by node; over LEAF rows, in blocks.
 
     A row of a large node goes to one task for each pair of blocks that its own block is in.
     """
@@ -290,8 +351,7 @@ def _leaf_pairs(leaf: DataFrame, bits: DataFrame, least: int) -> DataFrame:
         "id",
         "label",
     )
-    rows = dealt.join(bits, "id").select("node", "block", "id", "label", "bits").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(_compared(least), "a long, b long")
+    return dealt.join(bits, "id").select("node", "block", "id", "label", "bits").repartition("node").sortWithinPartitions("node")
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
