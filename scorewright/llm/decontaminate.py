@@ -121,16 +121,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
     an item without id is left out; items that repeat an id are items of their own. An item too short
     for an edit must occur as it is. Extra columns are left out.
     """
-    spark = docs.sparkSession
+    found = None
+    for given in _blocks(benchmark):
+        part = documents(docs).mapInArrow(_finder(given, errors), "doc_id long, item_id long, distance int, start long, end long")
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start long, end long")
+
+
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """The items, normalised, as broadcasts of bounded size."""
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     n_blocks = -(-(items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // BLOCK_CHARS)
-    found = None
     for n in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n).collect()
-        given = spark.sparkContext.broadcast(sorted((r["item_id"], normalised(r["text"])) for r in own))
-        part = documents(docs).mapInArrow(_finder(given, errors), "doc_id long, item_id long, distance int, start long, end long")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, distance int, start long, end long")
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted((r["item_id"], normalised(r["text"])) for r in own))
 
 
 def _finder(given, errors: float):
@@ -169,6 +173,13 @@ def _in_text(text: str, plain: str, start: int, end: int) -> tuple[int, int]:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item of ``benchmark``; rows without doc_id stay."""
-    bad = leaks(docs.where("doc_id is not null"), benchmark, errors).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leaked"], "left_anti")
+    """The rows of ``docs``, all columns, whose text holds no item of ``benchmark``; null and empty texts stay."""
+    for given in _blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(given.value, errors)
+            for batch in small_batches(batches):
+                yield batch.filter(pa.array([not matcher.find(normalised(t)) for t in texts_of(batch)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -333,6 +333,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_copies(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, but for those of a component that isn't its smallest doc_id's."""
+    copies = materialize(near_duplicates(docs, percent, size).where("not kept").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
+    if copies.count() <= MOST_BROADCAST:
+        copies = F.broadcast(copies)
+    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+
+
 LEAF_ROW = "node long, block int, id long, label long, bits binary"
 
 

@@ -172,6 +172,18 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tup
     return buckets, weights
 
 
+class Scorer:
+    """Scores of texts by a model of buckets and weights."""
+
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray) -> None:
+        self.weights = weights
+        self.features = Features({b: k for k, b in enumerate(buckets.tolist())})
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        margins = np.array([self.weights[-1] + sum(self.weights[k] for k in sorted(self.features.text(t))) for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score: 0 to 1) for each row of ``docs`` (doc_id, text), from the whole text.
 
@@ -180,15 +192,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, weights = given.value
-        features = Features({b: k for k, b in enumerate(buckets.tolist())})
+        scorer = Scorer(*given.value)
         for batch in small_batches(batches):
-            margins = np.array([weights[-1] + sum(weights[k] for k in sorted(features.text(t))) for t in texts_of(batch)])
-            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -500, 500))), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scorer(texts_of(batch)), pa.float64())], names=["doc_id", "score"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under ``cut``; a null text counts as empty."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*given.value)
+        for batch in small_batches(batches):
+            yield batch.filter(pa.array(scorer(texts_of(batch)) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """Whether a row is kept from training: CRC-32 of its doc_id as text, modulo 5, is 0; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
