@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import byte_bpe, decontaminate, html_text, pii, secrets, token_files, topk, toxicity, wordpiece
 from .common import read
 from .near_dedup import near_duplicates
+from .oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries", "vocabulary"]
 
 
 def vocabulary(name: str) -> str:
@@ -76,7 +79,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_top_k": op9_exact_top_k,
         "op10_secret_scan": op10_secret_scan,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
