@@ -61,7 +61,7 @@ def annotations(spark: SparkSession, root: str) -> DataFrame:
     """(speaker, stem, ort, dialect, kan) of the annotation files; a tier without words is null, undecodable bytes are dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.par").load(root)
     parts = F.split("path", "/")
-    text = F.replace(F.decode(F.col("content"), "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     rows = files.select(F.element_at(parts, -2).alias("speaker"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("stem"), F.split(text, "\r?\n").alias("lines"))
 
     def said(tokens: Column) -> Column:

@@ -72,11 +72,16 @@ def unified(raw: DataFrame) -> DataFrame:
     return shaped(rows.where(version < 2), True).unionByName(shaped(rows.where(version >= 2), False))
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The runs in a folder's result files, with their files' names; hidden files, boards and broken files are skipped."""
+def result_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What a folder's result files hold, broken ones too; hidden files and boards are skipped."""
     raw = spark.read.schema(run_schema()).json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", pathGlobFilter="*.json")
     raw = raw.withColumn("file", F.col("_metadata.file_name"))
-    return unified(raw.where(~F.col("file").isin(*SKIPPED) & ~F.col("file").startswith(".")))
+    return raw.where(~F.col("file").isin(*SKIPPED) & ~F.col("file").startswith("."))
+
+
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs in a folder's result files, with their files' names; broken files and such as aren't runs are skipped."""
+    return unified(result_files(spark, folder))
 
 
 def file_name(model: Column, dataset: Column) -> Column:
@@ -100,7 +105,7 @@ def migrate(spark: SparkSession, folder: str, target: str, dry_run: bool = False
 
     What is written is read again and held against what was read first, by rates and numbers of samples.
     """
-    raw = spark.read.schema(run_schema()).json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", pathGlobFilter="*.json").withColumn("file", F.col("_metadata.file_name"))
+    raw = result_files(spark, folder)
     failed = raw.select("file", (F.col("_corrupt_record").isNotNull() | F.col("results").isNull() | F.col("model").isNull()).alias("bad"))
     new = migrated(unified(raw))
     counts = {r["outcome"]: r["count"] for r in new.groupBy("outcome").count().collect()}
