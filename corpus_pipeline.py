@@ -46,8 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return byte_bpe.digests(decoded, F.col("ids"))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN), F.col("ids"))
 
 
 STAGES: list[tuple[str, Stage]] = [

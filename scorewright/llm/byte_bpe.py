@@ -72,7 +72,7 @@ def serialised_model(tokens: list[bytes]) -> bytes:
 class Encoder(dict):
     """Ids of pre-tokens, remembered up to a bound."""
 
-    def __init__(self, tokens: list[bytes], most: int = 300_000) -> None:
+    def __init__(self, tokens: list[bytes], most: int = 150_000) -> None:
         super().__init__()
         self.most = most
         self.ranks = {token: rank for rank, token in enumerate(tokens)}
@@ -96,35 +96,47 @@ class Encoder(dict):
             self[p] = tuple(ids)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(doc_id, ids: array of int) for each row of ``docs`` (doc_id, text).
-
-    ``ranks`` is the path of a rank file that every machine has, ``pattern`` splits a text into
-    pre-tokens, which are encoded one by one. A null or empty text has no ids; null or repeated
-    doc_ids stay as they are; extra columns of ``docs`` are left out.
-    """
-
+def _encoding(ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, split = Encoder(read_ranks(ranks)), regex.compile(pattern).findall
-        for batch in small_batches(batches, 256):
+        for batch in small_batches(batches, 128):
             pieces = [split(t) for t in texts_of(batch)]
             encoder.learn(set().union(*pieces))
             ids = [[*chain.from_iterable(map(encoder.__getitem__, p))] for p in pieces]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
-
+    return run
 
-def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with the bytes that the ids stand for, as ``decoded``; null ids as none."""
 
+def _decoding(ranks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = read_ranks(ranks)
-        for batch in small_batches(batches, 256):
+        for batch in small_batches(batches, 128):
             raw = [b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return run
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(doc_id, ids: array of int) for each row of ``docs`` (doc_id, text).
+
+    ``ranks`` is the path of a rank file that every machine has, ``pattern`` splits a text into
+    pre-tokens, which are encoded one by one. A null or empty text has no ids; null or repeated
+    doc_ids stay as they are; extra columns of ``docs`` are left out.
+    """
+    return documents(docs).mapInArrow(_encoding(ranks, pattern), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
+    """``encoded`` (doc_id, ids) with the bytes that the ids stand for, as ``decoded``; null ids as none."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(ranks), "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) as by ``encode`` and then ``decode``, in one worker for each task rather than two."""
+    there, back = _encoding(ranks, pattern), _decoding(ranks)
+    return documents(docs).mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame, *also: Column) -> DataFrame:

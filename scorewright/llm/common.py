@@ -64,7 +64,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes by word; forgets all when it has ``most`` of them, to bound a worker's memory."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         super().__init__()
         self.most = most
 

@@ -45,7 +45,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return byte_bpe.digests(byte_bpe.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

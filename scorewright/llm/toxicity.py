@@ -47,7 +47,7 @@ def word_features(word: str) -> tuple[int, ...]:
 class Features(dict):
     """Features by word, remembered up to a bound; with ``of``, only those in it, by their positions there."""
 
-    def __init__(self, of: dict[int, int] | None = None, most: int = 400_000) -> None:
+    def __init__(self, of: dict[int, int] | None = None, most: int = 150_000) -> None:
         super().__init__()
         self.of, self.most = of, most
 
@@ -69,11 +69,13 @@ def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarr
     n, m = len(positive), len(unlabelled)
     if not n or not m:
         return np.empty(0, np.int64)
-    has, all_ = (np.bincount(np.concatenate(x), minlength=BUCKETS) if x else np.zeros(BUCKETS, int) for x in (positive, unlabelled))
-    rate = (all_ + 0.5) / (m + 1)
+    has = np.bincount(np.concatenate(positive), minlength=1)
+    at = np.nonzero(has >= min(LEAST_TEXTS, n))[0]
+    has = has[at]
+    rate = (np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)[at] + 0.5) / (m + 1)
     z = (has / n - rate) / np.sqrt(rate * (1 - np.minimum(rate, 1 - 1e-9)) * (1 / n + 1 / m))
-    at = np.nonzero((has >= min(LEAST_TEXTS, n)) & (z > LEAST_Z))[0]
-    return at[np.argsort(-z[at], kind="stable")][:MOST_FEATURES]
+    at, z = at[z > LEAST_Z], z[z > LEAST_Z]
+    return at[np.argsort(-z, kind="stable")][:MOST_FEATURES]
 
 
 class Sparse:
@@ -151,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tup
     buckets = select(positive, unlabelled)
     if not len(buckets):
         return buckets, np.array([-5.0])
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
 
     def sparse(texts: list[np.ndarray]) -> Sparse:

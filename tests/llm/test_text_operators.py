@@ -52,6 +52,7 @@ def test_byte_bpe(spark):
         return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     assert collected(done, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected(TEXTS, of)
+    assert collected(byte_bpe.digests(byte_bpe.round_trip(table(spark, TEXTS), RANKS, P.PATTERN)), "doc_id", "ids_sha256", "decoded_sha256") == collected(done, "doc_id", "ids_sha256", "decoded_sha256")
     assert byte_bpe.decode(byte_bpe.encode(empty(spark), RANKS, P.PATTERN), RANKS).count() == 0
 
 
