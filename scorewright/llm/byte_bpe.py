@@ -11,8 +11,9 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -102,8 +103,10 @@ def _encoding(ranks: str, pattern: str):
         for batch in small_batches(batches, 128):
             pieces = [split(t) for t in texts_of(batch)]
             encoder.learn(set().union(*pieces))
-            ids = [[*chain.from_iterable(map(encoder.__getitem__, p))] for p in pieces]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = [np.fromiter(chain.from_iterable(map(encoder.__getitem__, p)), np.int32) for p in pieces]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.int32), *ids])
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
     return run
 
@@ -112,7 +115,10 @@ def _decoding(ranks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = read_ranks(ranks)
         for batch in small_batches(batches, 128):
-            raw = [b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
+            ids = batch.column(1)
+            each = [tokens[k] for k in ids.flatten().to_numpy().tolist()]
+            ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
+            raw = [b"".join(each[a:b]) for a, b in pairwise(ends)]
             yield pa.record_batch([*batch.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return run
