@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -71,11 +72,11 @@ def serialised_model(tokens: list[bytes]) -> bytes:
 
 
 class Encoder(dict):
-    """Ids of pre-tokens, remembered up to a bound."""
+    """Ids of pre-tokens, remembered up to a bound of their number and of their characters together."""
 
-    def __init__(self, tokens: list[bytes], most: int = 150_000) -> None:
+    def __init__(self, tokens: list[bytes], most: int = 400_000, most_characters: int = 8_000_000) -> None:
         super().__init__()
-        self.most = most
+        self.most, self.most_characters, self.held = most, most_characters, 0
         self.ranks = {token: rank for rank, token in enumerate(tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(tokens))
         self.characters = dict(enumerate(byte_characters()))
@@ -83,9 +84,10 @@ class Encoder(dict):
     def learn(self, pieces: set[str]) -> None:
         """Encode those of ``pieces`` that aren't known; a pre-token that is itself a token is that token."""
         new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > self.most:
+        if len(self) + len(new) > self.most or self.held + sum(map(len, new)) > self.most_characters:
             self.clear()
-            new = list(pieces)
+            self.held, new = 0, list(pieces)
+        self.held += sum(map(len, new))
         rest = []
         for p in new:
             raw = p.encode("utf-8", "replace")
@@ -97,9 +99,16 @@ class Encoder(dict):
             self[p] = tuple(ids)
 
 
+@lru_cache(maxsize=1)
+def _known(ranks: str) -> tuple[list[bytes], Encoder]:
+    """A worker's own tokens and encoder; they outlive a task where workers are used again."""
+    tokens = read_ranks(ranks)
+    return tokens, Encoder(tokens)
+
+
 def _encoding(ranks: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = Encoder(read_ranks(ranks)), regex.compile(pattern).findall
+        (_, encoder), split = _known(ranks), regex.compile(pattern).findall
         for batch in small_batches(batches, 128):
             pieces = [split(t) for t in texts_of(batch)]
             encoder.learn(set().union(*pieces))
@@ -113,7 +122,7 @@ def _encoding(ranks: str, pattern: str):
 
 def _decoding(ranks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = read_ranks(ranks)
+        tokens, _ = _known(ranks)
         for batch in small_batches(batches, 128):
             ids = batch.column(1)
             each = [tokens[k] for k in ids.flatten().to_numpy().tolist()]
