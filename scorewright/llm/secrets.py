@@ -2,8 +2,10 @@
 
 Assignments, access keys and long hexadecimal runs are reported by their form. Beyond these, runs of
 base64 or hexadecimal digits are decoded and reported only if their structure bears out a secret: a
-private key whose nested ASN.1 lengths fit exactly, an OpenSSH key whose length-prefixed fields can be
-read, or a signed token whose header and claims are JSON and name an algorithm.
+private key, encrypted or not, whose nested ASN.1 lengths fit exactly, an OpenSSH key whose
+length-prefixed fields can be read, the text of a key file, or a signed token whose header and claims
+are JSON and name an algorithm. A key may begin anywhere in a run of digits, and its lines may be
+broken by line ends, also by ones that are written out with a backslash.
 """
 
 from __future__ import annotations
@@ -31,9 +33,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates for decoding.
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z ]*PRIVATE KEY-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_KEY = re.compile(r"(?:30[0-9a-f]{2}|30[0-9A-F]{2})(?:[0-9a-f]{60,}|[0-9A-F]{60,})")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([^-]*(?:-(?!----)[^-]*)*)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+#: What breaks the lines of a key, and the digits up to its end.
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*"
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)*+")
+WRAPPED_LINE = re.compile("[A-Za-z0-9+/_-]*+")
+PADDING = re.compile("={0,2}")
+BREAK = re.compile(_BREAK)
+#: Where digits may begin an ASN.1 sequence, OpenSSH's mark or a key file's first line.
+BASE64 = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)")
+HEX_KEY = re.compile(r"(?=(?:30(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4}|83[0-9a-f]{6}|84[0-9a-f]{8})(?:02010[01]|30)|6f70656e7373682d6b65792d763100)[0-9a-f]{34})", re.I | re.A)
+HEX_DIGITS = re.compile(r"(?:[0-9A-Fa-f]{2})++")
+#: The fewest digits of a key.
+LEAST_DIGITS = 40
+#: Object identifiers of encryption by a password begin like these: PKCS #5 and PKCS #12.
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -83,6 +97,18 @@ def is_private_key(raw: bytes) -> bool:
     return tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and all(tag in (0xA0, 0xA1) for tag in tags[2:])
 
 
+def is_encrypted_key(raw: bytes) -> bool:
+    """Whether the bytes are one ASN.1 private key encrypted by a password: the encryption and what it gave."""
+    top = tlv(raw, 0, len(raw))
+    if top is None or top[0] != 0x30 or top[2] != len(raw):
+        return False
+    parts = children(raw, top[1], top[2])
+    if not parts or [tag for tag, _, _ in parts] != [0x30, 0x04] or parts[1][2] - parts[1][1] < 16:
+        return False
+    inner = children(raw, parts[0][1], parts[0][2])
+    return bool(inner) and inner[0][0] == 0x06 and raw[inner[0][1] : inner[0][2]].startswith(ENCRYPTIONS)
+
+
 def is_openssh_key(raw: bytes) -> bool:
     """Whether the bytes begin as an OpenSSH private key, with three readable fields and a number of keys."""
     if not raw.startswith(OPENSSH):
@@ -95,6 +121,19 @@ def is_openssh_key(raw: bytes) -> bool:
     return at + 4 <= len(raw) and 1 <= int.from_bytes(raw[at : at + 4], "big") <= 16
 
 
+def openssh_end(raw: bytes) -> int:
+    """Where an OpenSSH private key ends: after its public keys and its private part, or with the bytes if it is cut short."""
+    at = len(OPENSSH)
+    for _ in range(3):
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    for _ in range(keys + 1):
+        if at + 4 > len(raw):
+            return len(raw)
+        at += 4 + int.from_bytes(raw[at : at + 4], "big")
+    return min(at, len(raw))
+
+
 def decoded(digits: str) -> bytes | None:
     """Bytes of base64 digits in either alphabet, padded or not; None if they are none."""
     digits = digits.rstrip("=").replace("-", "+").replace("_", "/")
@@ -117,7 +156,71 @@ def is_signed_token(digits: str) -> bool:
 def _key_kind(raw: bytes | None) -> str | None:
     if raw is None:
         return None
-    return "key" if is_private_key(raw) else "openssh" if is_openssh_key(raw) else None
+    return "key" if is_private_key(raw) or is_encrypted_key(raw) else "openssh" if is_openssh_key(raw) else None
+
+
+def _file_kind(body: str) -> str | None:
+    """The kind of key between the first and the last line of a key file, whose header lines may say that it is encrypted."""
+    lines = [line.strip(" \t\"'\\") for line in re.sub(r"\\[rnt]", "\n", body).splitlines()]
+    raw = decoded("".join(line for line in lines if ":" not in line))
+    encrypted = any(line.startswith(("DEK-Info:", "Proc-Type: 4,ENCRYPTED")) for line in lines)
+    return "key" if encrypted and raw and len(raw) >= 16 and len(raw) % 8 == 0 else _key_kind(raw)
+
+
+def _length(raw: bytes) -> int:
+    """The length that the header of an ASN.1 sequence gives it, if a version or a sequence comes first in it; else 0."""
+    size = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if raw[0] != 0x30 or raw[1] == 0x80 or size > 4:
+        return 0
+    inner = raw[2 + size : 5 + size]
+    if inner[:1] != b"\x30" and inner not in (b"\2\1\0", b"\2\1\1"):
+        return 0
+    return 2 + size + (int.from_bytes(raw[2 : 2 + size], "big") if size else raw[1])
+
+
+def _encoded_key(text: str, at: int) -> tuple[str, int] | None:
+    """(kind, end) of the key whose base64 digits begin at ``at``, or None."""
+    need = 0
+    if text[at] == "M":
+        head = BREAK.sub("", text[at : at + 16])
+        need = -(-_length(decoded(head[: len(head) // 4 * 4]) or bytes(9)) * 4 // 3)
+        if need < LEAST_DIGITS:
+            return None
+    run = WRAPPED.match(text, at)[0]
+    broken = [(m.start(), m.end()) for m in BREAK.finditer(run)] if "\n" in run or "\\" in run else []
+    digits = BREAK.sub("", run) if broken else run
+    if text[at] == "L":
+        inside = PEM.search((decoded(digits) or decoded(digits[: len(digits) // 4 * 4]) or b"").decode("latin-1"))
+        kind = _file_kind(inside[1]) if inside else None
+        need = len(digits)
+    elif text[at] == "M":
+        kind = _key_kind(decoded(digits[:need])) if len(digits) >= need else None
+    else:
+        raw = decoded(digits) or decoded(digits[: len(digits) // 4 * 4]) or b""
+        kind = "openssh" if is_openssh_key(raw) else None
+        need = min(-(-openssh_end(raw) * 4 // 3), len(digits)) if kind else 0
+    if kind is None:
+        return None
+    end = need
+    for start, stop in broken:
+        if start < end:
+            end += stop - start
+    end += at
+    if kind == "openssh":  # its padding may go on to the end of the line
+        end = WRAPPED_LINE.match(text, end).end()
+    elif re.match("[A-Za-z0-9+]", text[end : end + 1]):
+        return None  # more digits belong to it
+    return kind, PADDING.match(text, end).end()
+
+
+def _hexadecimal_key(text: str, at: int) -> tuple[str, int] | None:
+    """(kind, end) of the key whose hexadecimal digits begin at ``at``, or None."""
+    raw = bytes.fromhex(HEX_DIGITS.match(text, at)[0])
+    if raw.startswith(OPENSSH):
+        return ("openssh", at + 2 * openssh_end(raw)) if is_openssh_key(raw) else None
+    n = _length(raw)
+    kind = _key_kind(raw[:n]) if 0 < n <= len(raw) else None
+    return (kind, at + 2 * n) if kind and not re.match("[0-9A-Fa-f]", text[at + 2 * n : at + 2 * n + 1]) else None
 
 
 def findings(text: str) -> list[tuple[str, int, int]]:
@@ -127,16 +230,15 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     more = [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        if kind := _key_kind(decoded("".join(m[1].split()))):
-            more.append((kind, m.start(), m.end()))
-    for m in BASE64.finditer(text):
-        # the digits of an ASN.1 sequence and of OpenSSH's mark
-        if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC1rZXk"):
-            if (kind := _key_kind(decoded(m[0]))) and not any(s <= m.start() < e for _, s, e in more):
-                more.append((kind, m.start(), m.end()))
-    for m in HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
+        if kind := _file_kind(m[1]):
             more.append((kind, m.start(), m.end()))
+    files = [(start, end) for _, start, end in more]
+    for candidates, key in ((BASE64, _encoded_key), (HEX_KEY, _hexadecimal_key)):
+        done = 0
+        for m in candidates.finditer(text):
+            if m.start() >= done and not any(s <= m.start() < e for s, e in files) and (one := key(text, m.start())):
+                more.append((one[0], m.start(), one[1]))
+                done = one[1]
     return sorted({*found, *more}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -146,6 +146,35 @@ def test_structure_is_confirmed():
         assert not secrets.findings(broken), broken
 
 
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(range(64))))
+LINES = re.findall(".{1,64}", b64(RSA))
+PLANTED = {
+    "after_a_name": ("key", f"PRIVATE_KEY_{b64(RSA)} ."),
+    "after_a_dash": ("key", f"key-{b64(RSA)} ."),
+    "after_a_slash": ("key", f"path/{b64(RSA)} ."),
+    "before_a_name": ("key", f"{b64(RSA).rstrip('=')}_old"),
+    "json": ("key", '{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(re.findall(".{1,64}", b64(PKCS8))) + '\\n-----END PRIVATE KEY-----\\n"}'),
+    "escaped_without_lines": ("key", '"a\\n' + "\\n".join(LINES) + '\\nb"'),
+    "wrapped": ("key", "key:\n  " + "\n  ".join(LINES) + "\nmore words"),
+    "headers": ("key", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + b64(bytes(range(96))) + "\n-----END RSA PRIVATE KEY-----"),
+    "comment": ("key", "-----BEGIN RSA PRIVATE KEY-----\nComment: mine\n\n" + "\n".join(LINES) + "\n-----END RSA PRIVATE KEY-----"),
+    "encrypted": ("key", "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + b64(ENCRYPTED) + "\n-----END ENCRYPTED PRIVATE KEY-----"),
+    "encrypted_digits": ("key", f"é {b64(ENCRYPTED)}"),
+    "base64_of_pem": ("key", "tls.key: " + b64(("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(LINES) + "\n-----END RSA PRIVATE KEY-----\n").encode())),
+    "openssh_wrapped": ("openssh", "x_" + "\n".join(re.findall(".{1,70}", b64(OPENSSH[:-60] + struct.pack(">I", 9) + bytes(9) + struct.pack(">I", 80) + bytes(80)))) + "\nwords"),
+    "openssh_hex": ("openssh", f"0x{OPENSSH.hex()}"),
+    "hex_within": ("key", f"ab{RSA.hex()} ."),
+}
+
+
+@pytest.mark.parametrize("name", PLANTED)
+def test_keys_wherever_they_begin(name):
+    kind, text = PLANTED[name]
+    found = [f for f in secrets.findings(text) if f[0] in ("key", "openssh")]
+    assert [f[0] for f in found] == [kind]
+    assert "more words" not in text[found[0][1] : found[0][2]] and not text[found[0][2] :].startswith("=")
+
+
 def plain_secrets(text):
     own = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     own += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
