@@ -112,11 +112,12 @@ def fit(positive: Sparse, unlabelled: Sparse, prior: float, seed: int) -> np.nda
     return w
 
 
-def calibrated(margins: np.ndarray, toxic: np.ndarray) -> float:
-    """The margin at which calling what lies above it toxic agrees best with the labels, by F1; midway between two rows."""
+def calibrated(margins: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
+    """The margin at which calling what lies above it toxic agrees best with the labels, by weighted F1; midway between two rows."""
     order = np.argsort(-margins, kind="stable")
-    m, hits = margins[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(m) + 1) + toxic.sum())
+    m, held = margins[order], weights[order]
+    hits = np.cumsum(toxic[order] * held)
+    f1 = 2 * hits / (np.cumsum(held) + hits[-1])
     f1[:-1][m[1:] == m[:-1]] = 0
     best = int(np.argmax(f1))
     return float(m[best] + m[best + 1]) / 2 if best + 1 < len(m) else float(m[best]) - 1
@@ -127,12 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tup
 
     Confirmed texts are a sample of at most MOST_POSITIVE labelled 1, unlabelled ones at most
     MOST_UNLABELLED of all ``docs``, by a hash of doc_id; at most MOST_CLEAN that are labelled 0 take
-    no part in the risk, but serve to place the cut at a score of a half. The prior is the share of toxic labels
+    no part in the risk, but serve to place the cut at a score of a half; there each class weighs as much
+    as all its labels, however few of them the bounds let in. The prior is the share of toxic labels
     unless it is given. Without confirmed texts nothing is toxic. Labels that are null count as none.
     """
     labelled = labels.where("doc_id is not null and toxic is not null")
     share = labelled.agg(F.avg(F.col("toxic").cast("double")).alias("share")).first()["share"]
     prior = min(max(share or 0.01, 1e-3), 0.5) if prior is None else prior
+    of_label = {r["toxic"]: r["count"] for r in labelled.select("doc_id", "toxic").distinct().groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id", F.lit(7))
 
     def drawn(ids: DataFrame, kind: int, most: int) -> DataFrame:
@@ -170,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tup
     weights = np.mean([r["weights"] for r in fitted], axis=0)
     margins = np.concatenate([p.margins(weights), n.margins(weights)])
     if n.n:
-        weights[-1] -= calibrated(margins, np.arange(len(margins)) < p.n)
+        stand_for = np.repeat([max(1.0, of_label.get(1, 0) / MOST_POSITIVE), max(1.0, of_label.get(0, 0) / MOST_CLEAN)], [p.n, n.n])
+        weights[-1] -= calibrated(margins, np.arange(len(margins)) < p.n, stand_for)
     return buckets, weights
 
 

@@ -165,3 +165,20 @@ def test_pipeline(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_the_cut_weighs_classes_by_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 50)
+    seen, plain = [], toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda m, t, *w: seen.append((t, *w)) or plain(m, t, *w))
+    docs = spark.createDataFrame([(k, "vile words" if k % 5 == 0 else f"calm words {k}") for k in range(500)], "doc_id long, text string")
+    toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) toxic"))
+    toxic, weights = seen[0]
+    assert weights[toxic].sum() == 100 and weights[~toxic].sum() == 400 and (~toxic).sum() == 50
+
+
+def test_a_weight_counts_as_so_many_rows():
+    margins, toxic = np.array([5.0, 4, 3, 2, 1, 0]), np.array([True, True, False, True, False, False])
+    weights = np.array([1, 1, 8, 1, 8, 8])
+    assert toxicity.calibrated(margins, toxic, weights) == toxicity.calibrated(np.repeat(margins, weights), np.repeat(toxic, weights), np.ones(27)) == 3.5
+    assert toxicity.calibrated(margins, toxic, np.ones(6)) == 1.5
