@@ -3,7 +3,9 @@
 A document is the set of its distinct word shingles. Sets that are equal form a class; one document
 stands for it. Each of several independent trees branches the classes by a minwise token: a node
 holds the classes that agree on the tokens chosen on the way down. Small nodes are compared
-exhaustively; large ones branch again, unless all they hold is known to be one component. A node
+exhaustively; large ones branch again, unless all they hold is known to be one component. A pair
+that shares a node agrees on the next token only with the probability of its similarity, so at some
+levels a node branches by two or three tokens at once, that loss doesn't grow with depth. A node
 that stays large to the last level is compared in blocks, so no pair is given up for its size.
 Every link is confirmed on the full sets.
 
@@ -17,6 +19,8 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ from .components import connected_components
 SHINGLE = 5
 TREES = 10
 LEVELS = 8
+#: The probability that a pair at the threshold shares no node, at any depth, and the most tokens by which a node branches.
+MOST_MISSED, MOST_BRANCHES = 1e-4, 3
 #: Minwise values whose low bytes estimate a similarity before it is confirmed.
 SKETCH = 256
 #: Standard deviations below the threshold at which an estimate is still confirmed.
@@ -72,28 +78,51 @@ def minwise(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def missed(similarity: float, branches: tuple[int, ...], depth: int) -> float:
+    """The probability that a pair shares no node at ``depth``, if nodes of level k branch by ``branches[k - 1]`` tokens."""
+    out = 0.0
+    for n in reversed(branches[: depth - 1]):
+        out = (1 - similarity + similarity * out) ** n
+    return (1 - similarity + similarity * out) ** TREES
+
+
+@lru_cache
+def branching(similarity: float) -> tuple[int, ...]:
+    """By how many tokens the nodes of each level but the last branch: the fewest that miss at most MOST_MISSED.
+
+    No more than twice SKETCH tokens are taken; where these can't reach it, far below a similarity of
+    0.8, those that miss least.
+    """
+    every = [b for b in product(range(1, MOST_BRANCHES + 1), repeat=LEVELS - 1) if sum(widths(b)) <= 2 * SKETCH]
+    rated = [(max(missed(similarity, b, d) for d in range(1, LEVELS + 1)), sum(widths(b)), b) for b in every]
+    return min((max(m, MOST_MISSED), n, b) for m, n, b in rated)[2]
+
+
+def widths(branches: tuple[int, ...]) -> list[int]:
+    """The number of tokens that each level has."""
+    return [TREES * math.prod(branches[:k]) for k in range(len(branches) + 1)]
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         seeds = np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40)
         for batch in small_batches(batches):
-            n, prints, nodes, paths, bits = [], [], [], [], []
+            n, prints, nodes, bits = [], [], [], []
             for text in texts_of(batch):
                 tokens = shingle_set(text, hashes, size)
                 n.append(len(tokens))
                 if not len(tokens):
-                    for out in (prints, nodes, paths, bits):
+                    for out in (prints, nodes, bits):
                         out.append(None)
                     continue
                 prints.append(_fingerprint(tokens))
                 values = minwise(tokens)
-                path = values[: TREES * LEVELS].reshape(TREES, LEVELS)
-                nodes.append(mix64(path[:, 0].astype(np.uint64) + seeds).view(np.int64))
-                paths.append(path.tobytes())
+                nodes.append(mix64(values[:TREES].astype(np.uint64) + seeds).view(np.int64))
                 bits.append(values.astype(np.uint8).tobytes())
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(paths, pa.binary()), pa.array(bits, pa.binary())],
-                names=["doc_id", "n_shingles", "print", "nodes", "path", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "print", "nodes", "bits"],
             )
 
     return run
@@ -258,20 +287,28 @@ def _linked(least: int, percent: int, size: int):
     return run
 
 
-def _next_nodes(level: int):
-    """Rows (node, id, label, tree, path) with the node that the next chosen token leads to."""
+def _next_nodes(level: int, branches: tuple[int, ...]):
+    """Rows (node, id, label, tree, bits) with the nodes that the next chosen tokens lead to.
+
+    A token's low byte stands for it: equal tokens agree on it, others by accident once in 256 times.
+    ``tree`` counts the branches of a level; each has a token of its own, taken again from the first
+    on where a level ends beyond the sketch.
+    """
+    first, n = sum(widths(branches)[:level]), branches[level - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            tree = batch.column(3).to_numpy(zero_copy_only=False)
-            path = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, TREES * LEVELS)
-            value = path[np.arange(len(tree)), tree * LEVELS + level].astype(np.uint64)
-            with np.errstate(over="ignore"):
-                out = mix64(mix64(node) + value).view(np.int64)
-            yield pa.record_batch([pa.array(out), *(batch.column(k) for k in range(1, 4))], names=["node", "id", "label", "tree"])
+            above = batch.column(3).to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for branch in range(n):
+                tree = (above * n + branch).astype(np.int32)
+                value = bits[np.arange(len(tree)), (first + tree) % SKETCH].astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    out = mix64(mix64(node + np.uint64(branch)) + value).view(np.int64)
+                yield pa.record_batch([pa.array(out), batch.column(1), batch.column(2), pa.array(tree)], names=["node", "id", "label", "tree"])
 
     return run
 
@@ -285,9 +322,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     without doc_id takes no part in links: its component_id is null and it is kept. Rows that
     repeat a doc_id fall into one component. Extra columns of ``docs`` are left out.
     """
-    least = _least(percent / 100)
-    base = materialize(documents(docs).mapInArrow(_sketches(size), "doc_id long, n_shingles long, print binary, nodes array<long>, path binary, bits binary"), "sketches")
-    classes = base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "nodes", "path", "bits")).alias("x"))
+    least, branches = _least(percent / 100), branching(percent / 100)
+    base = materialize(documents(docs).mapInArrow(_sketches(size), "doc_id long, n_shingles long, print binary, nodes array<long>, bits binary"), "sketches")
+    classes = base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "nodes", "bits")).alias("x"))
     classes = materialize(classes.select("print", "x.*").withColumnRenamed("doc_id", "id"), "classes")
 
     seen = classes.select("id", F.posexplode("nodes").alias("tree", "node"))
@@ -320,8 +357,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         found = involved if found is None else found.unionByName(involved)
         if not any_large:
             break
-        deeper = labelled.join(large.select("node"), "node").join(classes.select("id", "path"), "id")
-        labelled = deeper.select("node", "id", "label", "tree", "path").mapInArrow(_next_nodes(level), "node long, id long, label long, tree int")
+        deeper = labelled.join(large.select("node"), "node").join(bits, "id")
+        labelled = deeper.select("node", "id", "label", "tree", "bits").mapInArrow(_next_nodes(level, branches), "node long, id long, label long, tree int")
     found = materialize(found, "involved").join(texts, "id").select("node", "block", "id", "label", "bits", "packed")
     more = found.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(least, percent, size), "a long, b long")
     component = materialize(connected_components(links.unionByName(more)), "components")

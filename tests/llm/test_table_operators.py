@@ -72,6 +72,21 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.without_copies(alone).count() == 3 and near_dedup.without_copies(alone).columns == alone.columns
 
 
+def test_near_duplicates_below_many_levels(spark, monkeypatch):
+    """Pairs just above the threshold in a group of half similarity, whose nodes are cut down to the last level."""
+    monkeypatch.setattr(near_dedup, "LEAF", 2)
+    rng, passage = random.Random(8), " ".join(f"p{k}" for k in range(100))
+    rows = []
+    for k in range(250):
+        own = [f"o{k}x{j}" for j in range(60)]
+        other = [*own]
+        other[-14:] = [f"z{k}x{j}" for j in range(14)]
+        rows += [(2 * k, f"{passage} {' '.join(own)}"), (2 * k + 1, f"{passage} {' '.join(other)}")]
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert sum(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) >= 499
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100), (200, 201), (201, 200), (300, 205)]
     got = {r["v"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
