@@ -39,7 +39,7 @@ MOST_MISSED, MOST_BRANCHES = 1e-4, 3
 #: Minwise values whose low bytes estimate a similarity before it is confirmed.
 SKETCH = 256
 #: Standard deviations below the threshold at which an estimate is still confirmed.
-SLACK = 4.0
+SLACK = 6.0
 #: Classes in a node that are compared exhaustively.
 LEAF = 1024
 #: Ids that are broadcast to pick the texts that links are confirmed on; more of them are joined by a shuffle.

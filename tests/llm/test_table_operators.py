@@ -1,5 +1,6 @@
 """Operators that hold rows against each other, with brute force beside them, and the pipeline."""
 
+import math
 import random
 import zlib
 
@@ -87,6 +88,12 @@ def test_near_duplicates_below_many_levels(spark, monkeypatch):
     assert sum(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) >= 499
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_rarely_reject_a_pair_at_the_threshold(percent):
+    n, p = near_dedup.SKETCH, percent / 100 + (1 - percent / 100) / 256
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup._least(percent / 100))) < 1e-7
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100), (200, 201), (201, 200), (300, 205)]
     got = {r["v"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
