@@ -2,7 +2,7 @@
 
 A file holds, in ascending order of doc_id, one frame for each document with its ids as little-endian
 integers of 2 bytes (4 where the vocabulary needs them) and a checksum; then a skippable frame with
-the doc_ids; then the seek table of zstandard's seekable format: for each frame its compressed and
+the doc_ids and that number of bytes; then the seek table of zstandard's seekable format: for each frame its compressed and
 its decompressed size and a checksum of what it holds. A reader that knows a file's name reads the
 table and then decompresses just the frames of the documents that it wants.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,45 +39,91 @@ AT_ONCE = 2000
 
 
 class ChunkIds(dict):
-    """Ids of a text's chunks, as bytes; remembered up to a bound.
+    """Ids of a text's chunks, as bytes; remembered up to a bound of chunks and of their characters.
 
-    Chunks end at blanks, line feeds and before ASCII punctuation after a letter or digit. No token of the vocabulary reaches across
-    white space or from a letter to punctuation, so a text's ids are its chunks' ids one after the other.
+    Chunks end at blanks and line feeds, which neither a token nor the tokenizer's normal form reaches
+    across. A new chunk is cut further before ASCII punctuation, but only after letters and digits that
+    the tokenizer itself parts from it; letters that it turns into one with a mark are none of them.
     """
 
-    #: Without apostrophes, dashes and the marks that special tokens are written with.
-    PUNCTUATION = re.compile(r"(?<=[^\W_])([.,;:!?*$%&#]+)")
+    #: Without apostrophes, dashes and the marks that special tokens are written with (fixed values).
+    PUNCTUATION = ".,;:!?*$%&#"
+    #: Below this code point letters and digits are tried; other scripts are cut at white space alone.
+    TRIED = 0x530
 
-    def __init__(self, vocabulary: str, most: int = 600_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 800_000, most_chars: int = 16_000_000) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.most = most
+        self.most, self.most_chars, self.chars = most, most_chars, 0
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # a mark between chunks that is one token, so that many are encoded at once
-        alone = ((c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "~^_@\u00a7")
+        alone = ((c, self.encoded(c)) for c in "~^_@\u00a7")
         self.mark, self.mark_id = next(((c, ids[0]) for c, ids in alone if len(ids) == 1), (None, -1))
+        tried = [c for c in map(chr, range(self.TRIED)) if c.isalnum()]
+        apart = "".join(c for c in tried if self.parts(c + ".")[-1:] == ["."])
+        self.cut = re.compile(f"(?<=[{apart}])(?=[{re.escape(self.PUNCTUATION)}])") if apart else None
+        # letters that the tokenizer leaves together: what it turns each into goes to its model as it is
+        self.letters = {ord(c): self.parts(c)[0] for c in apart if c.isalpha() and len(self.parts(c)) == 1}
+        together = "".join(map(chr, self.letters))
+        if not {*map(ord, string.ascii_letters)} <= self.letters.keys() or self.parts(together * 2) != [together.translate(self.letters) * 2]:
+            self.letters, together = {}, "a"
+        self.word = re.compile(f"[{together}]+")
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def parts(self, text: str) -> list[str]:
+        """What the tokenizer itself takes a text apart into before it looks for tokens."""
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = normalizer.normalize_str(text) if normalizer else text
+        return [part for part, _ in cutter.pre_tokenize_str(text)] if cutter else [text]
 
     def chunks(self, text: str) -> list[str]:
-        return self.PUNCTUATION.sub(r" \1", text).replace("\n", " ").split(" ")
+        return text.replace("\n", " ").split(" ")
 
     def learn(self, chunks: set[str]) -> None:
+        """Makes sure that all of ``chunks`` are known; what was known before may be forgotten for them."""
         new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > self.most:
+        if len(self) + 2 * len(new) > self.most or self.chars > self.most_chars:
             self.clear()
-            new = list(chunks)
-        apart = [c for c in new if self.mark is None or self.mark in c]
-        new = [c for c in new if self.mark is not None and self.mark not in c]
-        for chunk, done in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(done.ids, self.kind).tobytes()
-        for at in range(0, len(new), 500):
-            own = new[at : at + 500]
-            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(own), add_special_tokens=False).ids, self.kind)
-            for chunk, part in zip(own, np.split(ids, np.flatnonzero(ids == self.mark_id)), strict=True):
-                self[chunk] = part[part != self.mark_id].tobytes()
+            self.chars, new = 0, list(chunks)
+        more = [c for c in new if not c.isalnum()] if self.cut else []
+        cut = [*map(self.cut.split, more)] if more else []
+        stems = {c for c in new if c.isalnum()}.union(*cut) if self.cut else new
+        self._encode([c for c in stems if c not in self])
+        for chunk, parts in zip(more, cut, strict=True):
+            if len(parts) > 1:
+                self[chunk] = b"".join(map(self.__getitem__, parts))
+        self.chars += sum(map(len, new))
+
+    def _encode(self, stems: list[str]) -> None:
+        plain = [c for c in stems if c.isascii() and c.isalpha()] if self.mark and self.letters else []
+        others = [c for c in stems if not (c.isascii() and c.isalpha())] if plain else stems
+        alone = [c for c in others if self.mark is None or self.mark in c]
+        words = [c for c in others if self.mark and self.mark not in c and self.letters and self.word.fullmatch(c)]
+        rest = {*others}.difference(alone, words)
+        for stem in alone:
+            self[stem] = np.array(self.encoded(stem), self.kind).tobytes()
+        for many, letters in ((plain, True), (words, True), ([*rest], False)):
+            for at in range(0, len(many), 500):
+                own = many[at : at + 500]
+                joined = f" {self.mark} ".join(own)
+                if letters:
+                    ids = self.model.encode_batch_fast([joined.translate(self.letters)], add_special_tokens=False)[0].ids
+                else:
+                    ids = self.encoded(joined)
+                ids = np.array(ids, self.kind)
+                ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * self.kind.itemsize
+                raw, start = ids.tobytes(), 0
+                for stem, end in zip(own, ends.tolist(), strict=True):
+                    self[stem] = raw[start:end]
+                    start = end + self.kind.itemsize
 
 
 @lru_cache(maxsize=1)
@@ -85,11 +132,16 @@ def _known(vocabulary: str) -> ChunkIds:
     return ChunkIds(vocabulary)
 
 
+def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and path of a place; Hadoop's names of S3 count as S3."""
+    return pa.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def _writer(vocabulary: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId()
-        store, path = pa.fs.FileSystem.from_uri(folder)
+        store, path = _store(folder)
         known = _known(vocabulary)
         end = np.array([end_id], known.kind).tobytes()
         pack = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
@@ -109,7 +161,7 @@ def _writer(vocabulary: str, end_id: int, folder: str):
                     out.write(frame)
                     table += struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
             names = np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes()
-            out.write(struct.pack("<II", SKIPPABLE_IDS, len(names)) + names)
+            out.write(struct.pack("<II", SKIPPABLE_IDS, len(names) + 1) + names + bytes([known.kind.itemsize]))
             table += struct.pack("<IBI", len(ids), CHECKSUMS, SEEKABLE_END)
             out.write(struct.pack("<II", SKIPPABLE_TABLE, len(table)) + bytes(table))
         if ids:
@@ -138,15 +190,18 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
 class Reader:
     """Random access to one file; reads its tail first and then only what is asked for."""
 
-    def __init__(self, uri: str, width: int = 2) -> None:
-        store, path = pa.fs.FileSystem.from_uri(uri)
-        self.file, self.kind = store.open_input_file(path), np.dtype(f"<u{width}")
+    def __init__(self, uri: str) -> None:
+        store, path = _store(uri)
+        self.file = store.open_input_file(path)
         size = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEKABLE_END or flags != CHECKSUMS:
             raise ValueError(f"{uri}: no seek table")
-        table = np.frombuffer(self._at(size - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
-        self.doc_ids = np.frombuffer(self._at(size - 9 - 12 * n - 8 - 8 * n, 8 * n), "<i8")
+        tail = self._at(size - 9 - 12 * n - 8 - 8 * n - 1, 20 * n + 9)
+        width = tail[8 * n]
+        table = np.frombuffer(tail[8 * n + 9 :], "<u4").reshape(n, 3)
+        self.kind = np.dtype(f"<u{width}")
+        self.doc_ids = np.frombuffer(tail[: 8 * n], "<i8")
         self.starts = np.concatenate([[0], np.cumsum(table[:, 1].astype(np.int64) // width)])
         self.places = np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
         self.sums = table[:, 2]
@@ -169,11 +224,13 @@ class Reader:
             yield np.frombuffer(body, self.kind)
 
 
-def _reading(folder: str, width: int):
+def _reading(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, reader = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                reader = Reader(f"{folder}/{row['file']}", width)
+                if row["file"] != name:  # the rows of a file come one after the other, so its tail is read once
+                    name, reader = row["file"], Reader(f"{folder}/{row['file']}")
                 first, last = row["first"], min(row["first"] + AT_ONCE, len(reader))
                 for at in range(first, last, 250):
                     to = min(at + 250, last)
@@ -186,11 +243,12 @@ def _reading(folder: str, width: int):
     return run
 
 
-def read_ids(folder: str, files: DataFrame, width: int = 2) -> DataFrame:
+def read_ids(folder: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every document in ``files``; ids as little-endian unsigned 32-bit integers.
 
     ``start`` counts the ids of all documents before it. The files' totals are summed on the driver:
-    a row for each file.
+    a row for each file. The files are read in pieces of AT_ONCE documents, dealt out over as many tasks
+    as there are files.
     """
     spark = files.sparkSession
     base, plan = 0, []
@@ -199,7 +257,8 @@ def read_ids(folder: str, files: DataFrame, width: int = 2) -> DataFrame:
         base += row["n_ids"]
     asked = spark.createDataFrame(plan, "file string, base long, n_docs long")
     asked = asked.select("file", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(AT_ONCE).cast("long"))).alias("first"))
-    return asked.repartition("file", "first").mapInArrow(_reading(folder, width), "doc_id long, start long, ids binary")
+    dealt = asked.repartitionByRange(max(len(plan), 1), "file", "first").sortWithinPartitions("file", "first")
+    return dealt.mapInArrow(_reading(folder), "doc_id long, start long, ids binary")
 
 
 def digests(ids: DataFrame) -> DataFrame:

@@ -88,6 +88,41 @@ def test_token_files(spark, tmp_path):
         [*token_files.Reader(f"file://{tmp_path}/bad").ids(0, 1)]
 
 
+def chunked(known, text):
+    chunks = known.chunks(text)
+    known.learn({*chunks})
+    return np.frombuffer(b"".join(map(known.__getitem__, chunks)), known.kind).tolist()
+
+
+def test_token_ids_equal_the_library_on_every_script():
+    vocabulary = P.path("word_bpe_49k.json")
+    known, library = token_files.ChunkIds(vocabulary), Tokenizer.from_file(vocabulary)
+    library.encode_special_tokens = True
+
+    def of_library(text):
+        return library.encode(text, add_special_tokens=False).ids
+
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 20_000):
+        own = letters[at : at + 20_000]
+        for form in ("{}.", "a{},b", "{}\u0301!", "x.{}?"):
+            text = " ".join(map(form.format, own))
+            assert chunked(known, text) == of_library(text)
+    for text in ("\u0130. \u0958, x", "\u0915\u093c. \u0958!\u0939\u0948\u0964", "\u0130stanbul'da, \u0130. \u0131\u0130;", "\u0f40\u0f0b\u0f41. \u0f43,", "\u0391\u03a3. \u0391\u03a3.\u0391 \u03a3,", "don't. it's, ~.~ a~,b \x85c.\u2003d,"):
+        assert chunked(known, text) == of_library(text)
+
+
+def test_token_ids_of_random_strings():
+    vocabulary = P.path("word_bpe_49k.json")
+    known, library = token_files.ChunkIds(vocabulary, most=300), Tokenizer.from_file(vocabulary)
+    library.encode_special_tokens = True
+    draw = random.Random(5)
+    alphabet = [*"aAzZ09.,;:!?*$%&#'~_^-<|>/ \n\t\x1c", *"\u0130\u0131\u00df\u00e9\u0301\u0307\u0327\u0338\u0344\u0958\u0915\u093c\u0f43\u1100\u1161\u11a8\uac00\u212a\u2126\u2003\u00a0\u3000\ufb01\u0345\u03a3\U00010400\U0001f600\u0660\u00b2\u2160"]
+    for _ in range(6000):
+        text = "".join(draw.choices(alphabet, k=draw.randrange(1, 14)))
+        assert chunked(known, text) == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     folder, files = token_files.write(empty(spark), P.path("word_bpe_49k.json"), 1, f"file://{tmp_path}/none")
     assert files.count() == 0 and token_files.read_ids(folder, files).count() == 0
