@@ -65,22 +65,37 @@ def edit_split(h: Column, r: Column) -> Column:
     return F.pandas_udf(run, "edits int, subs int, dels int, ins int")(h, r)
 
 
-def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", split: bool = False) -> DataFrame:
-    """``pairs`` with hyp_norm, ref_norm, word_edits, word_n, char_edits, char_n, wer, cer and empty_reference.
+def spread(pairs: DataFrame, *keys: str) -> DataFrame:
+    """``pairs`` dealt out by ``keys`` over all shuffle partitions, however few bytes they are: their work is in the distances."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", split: bool = False, rates: tuple[str, ...] = ("wer", "cer")) -> DataFrame:
+    """``pairs`` with hyp_norm, ref_norm, empty_reference, and for wer: word_edits, word_n, wer; for cer: char_edits, char_n, cer.
 
     A null or empty side before normalising makes both rates 1. A reference that normalises to nothing has
     no rate, and is marked; its counts are 0 so that sums leave it out. With ``split`` also subs, dels, ins.
+
+    The counts come out of a generator of one row, which a filter on a rate stays above: pushed below, it
+    would have the normal forms and distances evaluated again, and the words' alphabet for each word. Ask
+    only for the rates that are needed, since a generator's columns aren't pruned; a distance of characters
+    is quadratic in the texts' lengths.
     """
     out = pairs.withColumns({"hyp_norm": normalize(F.col(hypothesis)), "ref_norm": normalize(F.col(reference))})
     out = out.withColumns({"empty_reference": F.col("ref_norm") == "", "_h": words(F.col("hyp_norm")), "_r": words(F.col("ref_norm"))})
-    some = ~F.col("empty_reference")
-    counts = {"word_n": F.size("_r"), "char_n": F.length("ref_norm"), "char_edits": F.when(some, F.levenshtein("hyp_norm", "ref_norm")).otherwise(0)}
+    some, counts = ~F.col("empty_reference"), {}
     if split:
         out = out.withColumn("_split", edit_split(F.col("_h"), F.when(some, F.col("_r")))).withColumn("_split", F.when(some, F.col("_split")))
         counts |= {"word_edits": F.coalesce("_split.edits", F.lit(0)), **{k: F.coalesce(f"_split.{k}", F.lit(0)) for k in ("subs", "dels", "ins")}}
-    else:
+    elif "wer" in rates:
         out = out.withColumn("_words", F.array_distinct(F.concat("_h", "_r")))
         counts |= {"word_edits": F.when(some, word_edits(F.col("_h"), F.col("_r"), F.col("_words"))).otherwise(0)}
-    out = out.withColumns(counts).drop("_h", "_r", "_words", "_split")
+    if split or "wer" in rates:
+        counts |= {"word_n": F.size("_r")}
+    if "cer" in rates:
+        counts |= {"char_n": F.length("ref_norm"), "char_edits": F.when(some, F.levenshtein("hyp_norm", "ref_norm")).otherwise(0)}
+    counted = F.inline(F.array(F.struct(*(v.alias(k) for k, v in counts.items()))))
+    out = out.select("*", counted).drop("_h", "_r", "_words", "_split")
     missing = (F.coalesce(F.col(hypothesis), F.lit("")) == "") | (F.coalesce(F.col(reference), F.lit("")) == "")
-    return out.withColumns({name: F.when(missing, 1.0).otherwise(F.try_divide(f"{unit}_edits", f"{unit}_n")) for name, unit in (("wer", "word"), ("cer", "char"))})
+    of = {"wer": "word", "cer": "char"}
+    return out.withColumns({name: F.when(missing, 1.0).otherwise(F.try_divide(f"{of[name]}_edits", f"{of[name]}_n")) for name in rates})

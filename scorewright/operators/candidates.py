@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import with_error_rates
+from ..functions.distance import spread, with_error_rates
 from ..functions.text import cut_loop, strip
 
 SEGMENTS = "array<struct<Start:double,End:double,Speaker:int,Content:string>>"
@@ -70,7 +70,7 @@ def best_candidates(candidates: DataFrame, references: DataFrame, keys: tuple[st
     of equals wins. Without references with text it is ('', 0).
     """
     pairs = candidates.join(references.where(F.coalesce("reference", F.lit("")) != ""), [*keys])
-    scored = with_error_rates(pairs, "text", "reference").where("wer is not null")
+    scored = with_error_rates(spread(pairs, *keys, "ordinal"), "text", "reference", rates=("wer",)).where("wer is not null")
     best = scored.groupBy(*keys).agg(F.min_by(F.struct("text", "speaker", "wer"), F.struct("wer", "ordinal")).alias("best"))
     all_ = candidates.select(*keys).distinct().join(best, [*keys], "left")
     return all_.select(*keys, F.coalesce("best.text", F.lit("")).alias("text"), F.coalesce("best.speaker", F.lit(0)).alias("speaker"), F.col("best.wer").alias("wer"))

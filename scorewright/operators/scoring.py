@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import with_error_rates
+from ..functions.distance import spread, with_error_rates
 
 KEYS = ("model", "dataset", "ref_name")
 
@@ -32,10 +32,10 @@ def sample_pairs(samples: DataFrame, hypotheses: DataFrame) -> DataFrame:
     return hypotheses.select("model", "dataset", "idx", "hypothesis").join(each, ["dataset", "idx"]).select("model", "dataset", "idx", "ref_name", "reference", "hypothesis")
 
 
-def sample_metrics(samples: DataFrame, hypotheses: DataFrame, split: bool = False) -> DataFrame:
+def sample_metrics(samples: DataFrame, hypotheses: DataFrame, split: bool = False, rates: tuple[str, ...] = ("wer", "cer")) -> DataFrame:
     """The pairs with their edits and rates; dealt out by sample, since the work grows with the texts' lengths."""
-    pairs = sample_pairs(samples, hypotheses).repartition("model", "dataset", "idx")
-    return with_error_rates(pairs, split=split)
+    pairs = spread(sample_pairs(samples, hypotheses), "model", "dataset", "idx")
+    return with_error_rates(pairs, split=split, rates=rates)
 
 
 def reference_metrics(metrics: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -47,7 +47,7 @@ def reference_metrics(metrics: DataFrame, keys: tuple[str, ...] = KEYS) -> DataF
     sums = [F.coalesce(F.sum(F.when(some, F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("word_edits", "word_n", "char_edits", "char_n") if c in metrics.columns]
     sums += [F.sum(c).cast("long").alias(name) for c, name in (("subs", "substitutions"), ("dels", "deletions"), ("ins", "insertions")) if c in metrics.columns]
     out = metrics.groupBy(*keys).agg(*sums, F.count_if(some).alias("num_samples"))
-    rates = {n: F.coalesce(F.try_divide(f"{u}_edits", f"{u}_n"), F.lit(0.0)) for n, u in (("wer", "word"), ("cer", "char"))}
+    rates = {n: F.coalesce(F.try_divide(f"{u}_edits", f"{u}_n"), F.lit(0.0)) for n, u in (("wer", "word"), ("cer", "char")) if f"{u}_n" in metrics.columns}
     return out.withColumns(rates)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.distance import with_error_rates
+from ..functions.distance import spread, with_error_rates
 from ..functions.text import clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, cut_loop, model_tag, normalize, words
 from ..operators import board, candidates, choice, scoring, segments, transcribe
 from ..sources import corpus, manifest, matrix
@@ -21,29 +21,29 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_error_rates(views.turn_pairs(spark, sf_dir).repartition("idx"))
+    out = with_error_rates(spread(views.turn_pairs(spark, sf_dir), "idx"), rates=("wer",))
     return out.select("idx", "word_edits", "word_n", F.round("wer", 6).alias("wer"))
 
 
 def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = views.turn_pairs(spark, sf_dir).repartition("idx").withColumns({"model": F.lit("assistant"), "dataset": F.lit("turns"), "ref_name": F.lit("user")})
-    out = scoring.reference_metrics(with_error_rates(pairs))
+    pairs = spread(views.turn_pairs(spark, sf_dir), "idx").withColumns({"model": F.lit("assistant"), "dataset": F.lit("turns"), "ref_name": F.lit("user")})
+    out = scoring.reference_metrics(with_error_rates(pairs, rates=("wer",)))
     return out.select("model", "dataset", "ref_name", "word_edits", "word_n", F.round("wer", 6).alias("wer"), "num_samples")
 
 
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_error_rates(views.turn_pairs(spark, sf_dir).repartition("idx"))
+    out = with_error_rates(spread(views.turn_pairs(spark, sf_dir), "idx"), rates=("cer",))
     return out.select("idx", "char_edits", "char_n", F.round("cer", 6).alias("cer"))
 
 
 def wer_by_model_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.reference_metrics(scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir)))
+    out = scoring.reference_metrics(scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir), rates=("wer",)))
     return out.select("model", "dataset", "ref_name", "word_edits", "word_n", F.round("wer", 6).alias("wer"), "num_samples")
 
 
 def edit_split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split's totals, and how many samples break one of its two laws."""
-    rows = scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir), split=True)
+    rows = scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir), split=True, rates=("wer",))
     broken = (F.col("subs") + F.col("dels") + F.col("ins") != F.col("word_edits")) | (F.col("dels") - F.col("ins") != F.col("word_n") - F.size(words(F.col("hyp_norm"))))
     out = rows.groupBy("model", "ref_name").agg(F.sum("word_edits").alias("edits"), (F.sum("dels") - F.sum("ins")).alias("dels_less_ins"), F.count_if(broken).alias("broken"))
     return out
@@ -126,7 +126,7 @@ def worst_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs in the order of their rates, the worst first."""
     from pyspark.sql import Window
 
-    pairs = with_error_rates(views.turn_pairs(spark, sf_dir).repartition("idx")).select("idx", F.col("hypothesis"), "reference", "wer")
+    pairs = with_error_rates(spread(views.turn_pairs(spark, sf_dir), "idx"), rates=("wer",)).select("idx", F.col("hypothesis"), "reference", "wer")
     kept = board.matching(pairs, " EN")
     return kept.select("idx", F.row_number().over(Window.orderBy(*board.utterance_order("worst"))).alias("place"))
 
@@ -238,7 +238,7 @@ def token_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hypothesis beside its ground truth, rates at four places."""
-    rows = scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir)).where("ref_name = 'ort'")
+    rows = scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir), rates=("wer",)).where("ref_name = 'ort'")
     return rows.select("model", "dataset", "idx", F.length("hypothesis").alias("hyp_n"), F.length("reference").alias("ref_n"), "word_edits")
 
 

@@ -82,3 +82,14 @@ def test_normalize_twice(spark):
     values = ["Ä b-C  d!", " x\ty ", "İstanbul"]
     once = applied(spark, text.normalize, values)
     assert applied(spark, text.normalize, once) == once
+
+
+def test_filter_on_a_rate_evaluates_it_once(spark):
+    pairs = spark.createDataFrame([("a b c " * 40, "a x c " * 40, 1)] * 3, "hypothesis string, reference string, k int")
+    rated = distance.with_error_rates(pairs, rates=("wer",))
+    for condition in ("wer is not null", "wer > 0.2", "word_edits > 3"):
+        kept = rated.where(condition).select("k", "wer", "word_edits")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("levenshtein(") == 1, plan
+        assert [tuple(r) for r in kept.collect()] == [(1, 40 / 120, 40)] * 3
+    assert "k#" in rated.where("k = 1")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[-1].split("Filter")[-1]
