@@ -312,12 +312,104 @@ def test_main_text_of_pages():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep" and html_text.main_text("<!-- never ends") == "" and html_text.main_text("<p hidden>x</p>") == ""
 
 
+NAMES = "share-price login-form-guide social-history notice-of-hearing cookie-recipes search-and-rescue".split()
+
+
+def test_names_that_only_hold_a_word_of_the_list_leave_nothing_out():
+    for name in NAMES:
+        page = f'<article><h1>T</h1><section class="{name}"><p>One.</p></section><div id="{name}-2">Two.</div></article>'
+        assert html_text.main_text(page) == "T\n\nOne.\n\nTwo.", name
+    for name in ("share", "share-buttons", "sidebar__left", "relatedPosts", "comment-list", "ad-300x250", "td-main-sidebar", "newsletter-signup", "cookieConsent"):
+        assert html_text.main_text(f'<article><h1>T</h1><div class="x {name}">no</div></article>') == "T", name
+
+
+PAGES = "page_id long, url string, html string, host string, path int, text string"
+
+
+def on_pages(spark, pages):
+    return spark.createDataFrame([(k, url, page, "c", 1, "x") for k, url, page in pages], PAGES)
+
+
+def extracted(spark, pages):
+    return {(r["page_id"], r["url"]): r["text"] for r in html_text.extract(on_pages(spark, pages)).collect()}
+
+
 def test_templates_leave_out_what_repeats(spark):
     pages = [(k, f"http://h.example/{k}", f'<body><div class="xa"><a href="/">Home</a> <a href="/b">All</a></div><div class="xb">Same words on each page</div><div class="xc"><p>Own text number {"one two three four five six".split()[k % 6]} {k}</p></div></body>') for k in range(12)]
     pages += [(90, None, "<p>no host"), (91, "http://h.example/91", None), (91, "http://h.example/91", "")]
-    rows = spark.createDataFrame([(*p, "c", 1) for p in pages], "page_id long, url string, html string, host string, path int")
-    out = {(r["page_id"], r["url"]): r["text"] for r in html_text.extract(rows).collect()}
+    out = extracted(spark, pages)
     assert out[3, "http://h.example/3"] == "Own text number four 3" and out[90, None] == "no host" and out[91, "http://h.example/91"] == ""
-    template = {r["path"]: r for r in html_text.templates(rows).collect() if r["host"] == "h.example"}
-    assert template["/body/div.xa"]["class"] == template["/body/div.xb"]["class"] and template["/body/div.xc/p"]["nested_in"] == template["/body/div.xc"]["class"]
-    assert html_text.extract(rows.limit(0)).count() == 0
+    assert extracted(spark, pages * 2) == out
+    assert html_text.extract(on_pages(spark, pages).limit(0)).count() == 0
+
+
+def renamed(page):
+    """A page whose menu, advert, article and footer are all plain elements with names that say nothing."""
+    for old, new in (("nav", "q"), ("article", "z"), ("footer", "v")):
+        page = page.replace(f"<{old}>", f'<div class="{new}">').replace(f"</{old}>", "</div>")
+    return page.replace('class="ad"', 'class="k"')
+
+
+def test_the_template_finds_the_article_without_marks(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(html_text.re.sub(r"^\w+://([^/?#]*).*", r"\1", r["url"]).lower(), set()).add(r["html"])
+    plain = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows)).collect()}
+    out = extracted(spark, [(r["page_id"], r["url"], renamed(r["html"])) for r in rows])
+    large = [r for r in rows if len(hosts[html_text.re.sub(r"^\w+://([^/?#]*).*", r"\1", r["url"]).lower()]) >= html_text.LEAST_PAGES]
+    assert len(large) > 200
+    equal = [out[r["page_id"], r["url"]] == plain[r["page_id"]] for r in large]
+    assert sum(equal) >= 0.97 * len(equal)
+    # by the marks alone the menus and footers would stay
+    assert all(html_text.main_text(renamed(r["html"])) != plain[r["page_id"]] for r in large)
+
+
+def test_templates_reach_into_the_article(spark):
+    words = [" ".join(random.Random(k).choices("un deux trois quatre cinq six sept".split(), k=30)) for k in range(9)]
+    page = '<html><body><article><h1>H {0}</h1><div class="ra"><a href="/x">More of it</a> <a href="/y">and this</a></div><p>{1}</p><div class="rb">Tell your friends today</div><p>Read on.</p></article></body></html>'
+    out = extracted(spark, [(k, f"http://a.example/{k}", page.format(k, w)) for k, w in enumerate(words)])
+    assert out[4, "http://a.example/4"] == f"H 4\n\n{words[4]}\n\nRead on."
+    few = extracted(spark, [(k, f"http://b.example/{k}", page.format(k, w)) for k, w in enumerate(words[:2])])
+    assert few[1, "http://b.example/1"] == f"H 1\n\nMore of it and this\n\n{words[1]}\n\nTell your friends today\n\nRead on."
+
+
+def test_near_copies_keep_their_text(spark):
+    body = "".join(f"<p>The {k} paragraph of an article that was copied.</p>" for k in range(6))
+    pages = [(k, f"http://c.example/{k}", f"<body><div><h1>A title</h1>{body}<p>Copy {k}.</p></div></body>") for k in range(10)]
+    pages.append((77, "http://c.example/77", "<body><div><h1>Another title</h1><p>Another text of its own.</p></div></body>"))
+    out = extracted(spark, pages)
+    assert out[5, "http://c.example/5"].count("paragraph") == 6 and out[5, "http://c.example/5"].startswith("A title")
+    assert out[77, "http://c.example/77"] == "Another title\n\nAnother text of its own."
+
+
+def test_classes_equal_brute_force(spark):
+    draw = random.Random(8)
+    made = []
+    for k in range(40):
+        inner = "".join(f'<div class="{draw.choice("abc")}"><p>t{draw.randrange(9)}</p></div>' for _ in range(draw.randrange(5)))
+        made.append((k % 30, f"http://{'gh'[k % 2]}.example/", f"<body><div class='m'>{inner}<b>x{draw.randrange(3)}</b></div><hr></body>"))
+    made += made[:7]
+    vectors, shown = {}, {}
+    for _, url, page in made:
+        shown.setdefault(url, {})[page] = None
+    for url, pages in shown.items():
+        for at, page in enumerate(pages):
+            for path, _, _, text, n, *_ in html_text.tokens(page):
+                vectors.setdefault((url[7:-1], path, text), [0] * len(pages))[at] += n
+    of_host = {url[7:-1]: len(pages) for url, pages in shown.items()}
+    valid = {k: tuple(v) for k, v in vectors.items() if sum(map(bool, v)) >= max(html_text.LEAST_PAGES, html_text.SUPPORT * of_host[k[0]])}
+    found = html_text.classes(on_pages(spark, made)).collect()
+    assert {(r["host"], r["path"], r["text"]) for r in found} == valid.keys()
+    group = {(r["host"], r["path"], r["text"]): r["class"] for r in found}
+    keys = sorted(valid, key=repr)
+    for a in keys:
+        for b in keys:
+            if a[0] == b[0]:
+                assert (group[a] == group[b]) == (valid[a] == valid[b]), (a, b)
+    assert {(r["host"], r["path"], r["text"]): (r["pages"], r["once"], r["host_pages"]) for r in found} == {k: (sum(map(bool, v)), v.count(1), of_host[k[0]]) for k, v in valid.items()}
+
+
+def test_marks_hold_below_many_open_elements():
+    assert html_text.main_text("<div>" * 1500 + "deep<nav>menu</nav>er") == "deep\n\ner"
+    assert len(html_text.main_text("<b>" * 20_000 + "</i>" * 20_000 + "<p>a</p></u>" * 20_000)) == 3 * 20_000 - 2
