@@ -258,6 +258,48 @@ def test_personal_data_by_context(spark):
     assert done[20] == "context:15:24" and done[21] == "" and done[22] == "phone:25:39,context:12:20"
 
 
+def test_planted_identifiers_are_found_by_their_contexts(spark):
+    draw = random.Random(11)
+    filler = "the a of report meeting house garden train wrote walked found green early quiet number code please send".split()
+
+    def prose(n):
+        return " ".join(draw.choices(filler, k=n))
+
+    def phone():
+        return f"+49 30 {draw.randrange(10**6, 10**7)}"
+
+    def email():
+        return f"u{draw.randrange(10**6)}@mail.example.org"
+
+    shown = ("reach me under", "(my private line)", "E-mail:", "contact person:", "tel.")
+    hidden = [lambda: f"@{draw.choice(filler)}{draw.choice(filler)}", lambda: f"DE{draw.randrange(10**18):018d}", lambda: f"030/{draw.randrange(10**6, 10**7)}", lambda: f"{draw.choice(filler)}.{draw.choice(filler)}", lambda: f"id_{draw.randrange(10**5)}"]
+    rows, planted = [], {}
+    for k in range(400):
+        before, after = shown[k % 5] + " ", ""
+        if k % 5 == 1:
+            before, after = "", " " + shown[1]
+        own = hidden[k // 5 % 5]() if k % 4 == 0 else draw.choice((phone, email))()
+        text = f"{prose(12)} {before}"
+        start = len(text)
+        text += f"{own}{after} {prose(9)} "
+        if k % 4 == 0:
+            planted[k] = (start, start + len(own))
+        # what looks like an identifier but stands at no pattern
+        text += f"version 4.{k} of file_{k} {prose(3)} in {1900 + k % 90} {prose(2)}"
+        rows.append((k, text))
+    done = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {(k, s["start"], s["end"]) for k, spans in done.items() for s in spans if s["kind"] == "context"}
+    want = {(k, *place) for k, place in planted.items()}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.95 * len(found), (len(found & want), len(want), len(found))
+    assert all(any(s["kind"] in ("phone", "email") for s in spans) for k, spans in done.items() if k not in planted)
+
+
+def test_personal_data_of_a_million_characters(spark):
+    text = "a.b@c.de 1.2.3.4, x " * 50_000
+    done = pii.digests(pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()[0]
+    assert (done["n_email"], done["n_ip"]) == (50_000, 50_000) and done["base_sha256"] == plain_pii(text)
+
+
 def test_distance_and_fit():
     def distance(item, text):
         row = [0] * (len(text) + 1)
