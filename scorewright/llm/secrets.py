@@ -32,7 +32,8 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates for decoding.
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+TOKEN_HEAD = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=\.[A-Za-z0-9_-]++\.)")
+TOKEN_TAIL = re.compile(r"\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([^-]*(?:-(?!----)[^-]*)*)-----END [A-Z0-9 ]*PRIVATE KEY-----")
 #: What breaks the lines of a key, and the digits up to its end.
 _BREAK = r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*"
@@ -153,6 +154,20 @@ def is_signed_token(digits: str) -> bool:
     return isinstance(head, dict) and isinstance(claims, dict) and isinstance(head.get("alg"), str)
 
 
+def signed_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the signed tokens: each run before a dot is tried from its first and its last mark of a header on."""
+    done = 0
+    for m in TOKEN_HEAD.finditer(text):
+        if m.start() < done or (first := text.find("eyJ", m.start(), m.end())) < 0:
+            continue
+        end = TOKEN_TAIL.match(text, m.end()).end()
+        for start in dict.fromkeys((first, text.rfind("eyJ", m.start(), m.end()))):
+            if is_signed_token(text[start:end]):
+                yield "jwt", start, end
+                done = end
+                break
+
+
 def _key_kind(raw: bytes | None) -> str | None:
     if raw is None:
         return None
@@ -228,7 +243,7 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    more = [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    more = [*signed_tokens(text)] if "eyJ" in text else []
     for m in PEM.finditer(text) if "-----BEGIN " in text else ():
         if kind := _file_kind(m[1]):
             more.append((kind, m.start(), m.end()))

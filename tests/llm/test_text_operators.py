@@ -6,6 +6,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -181,6 +182,15 @@ def test_structure_is_confirmed():
         assert not secrets.findings(broken), broken
 
 
+def test_signed_tokens_in_linear_time():
+    own = f"{url({'alg': 'HS256'})}.{url({'sub': '1'})}.c2ln"
+    assert [f[0] for f in secrets.findings(f"key_{own} x.{own}, {own}.more a.b.c.d")] == ["jwt"] * 3
+    for text in ("eyJ" * 400_000, "eyJ." * 300_000, "eyJ.eyJ-" * 150_000):
+        began = time.perf_counter()
+        assert not [*secrets.signed_tokens(text)]
+        assert time.perf_counter() - began < 10
+
+
 ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(range(64))))
 LINES = re.findall(".{1,64}", b64(RSA))
 PLANTED = {
