@@ -23,8 +23,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset the warehouse, or in local mode a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place and not spark.sparkContext.master.startswith("local"):
+        place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scorewright-tables"
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="scorewright-")
         spark.sparkContext.setCheckpointDir(place)
