@@ -1,6 +1,7 @@
 """Benchmark passages in documents, within an error budget, by pigeonhole filtering.
 
-Texts are compared as their words in lower case, one blank between them. An item may differ from a
+Texts are compared as their words in lower case, with one blank between them and at both ends, so that
+a match begins and ends with words unless it spends edits on that. An item may differ from a
 passage by as many edits as a share of its length allows. Cut into one piece more than that, it keeps
 at least one piece unharmed wherever it occurs, so an automaton over all pieces finds each place that
 can hold it. Only these places are verified, by Myers' bit-parallel distance of the whole item to
@@ -27,7 +28,8 @@ WORD = re.compile(r"\w+")
 
 
 def normalised(text: str) -> str:
-    return " ".join(WORD.findall(text.lower()))
+    """A text's words in lower case, as many as it has; of all letters only the replaced one would grow by a mark."""
+    return " ".join(WORD.findall(text.replace("\u0130", "I").lower()))
 
 
 def pieces(item: str, budget: int) -> Iterator[tuple[int, str]]:
@@ -75,7 +77,7 @@ class Matcher:
     """Finds benchmark items in normalised texts."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float) -> None:
-        self.items = [(i, t, int(errors * len(t))) for i, t in items if t]
+        self.items = [(i, f" {t} ", int(errors * len(t))) for i, t in items if t]
         self.automaton = ahocorasick.Automaton()
         of: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item, budget) in enumerate(self.items):
@@ -90,6 +92,7 @@ class Matcher:
         """(item_id, distance, start, end) in a normalised text: each item's best fit, the first of equals."""
         if not len(self.automaton):
             return []
+        text = f" {text} "
         places: dict[int, set[int]] = {}
         for last, (size, uses) in self.automaton.iter(text):
             for n, place in uses:
@@ -109,7 +112,10 @@ class Matcher:
                 if start is not None:
                     low, high = (start if low is None else low), start
             if best:
-                out.append((item_id, best[0], begin_of(item, text, best[1], best[0]), best[1]))
+                start, end = begin_of(item, text, best[1], best[0]), best[1]
+                start += text[start : start + 1] == " "
+                end -= end > start and text[end - 1] == " "
+                out.append((item_id, best[0], start - 1, end - 1))
         return sorted(out)
 
 
@@ -161,7 +167,7 @@ def _in_text(text: str, plain: str, start: int, end: int) -> tuple[int, int]:
         first += 1
     a = b = 0
     at = 0
-    # lower-casing may lengthen a word, but words keep their number and order
+    # a normalised text has the words of the text, in their order
     for n, m in enumerate(WORD.finditer(text)):
         if n == first:
             a = m.start()

@@ -340,6 +340,20 @@ def test_leaks(spark):
     assert decontaminate.clean_documents(docs, items).columns == docs.columns
 
 
+def test_leaks_are_whole_words_at_their_places(spark):
+    item = "seven wizards quietly watch from the old stone bridge over there"
+    odd = "\u0130stanbul \u0130\u0130 \u0391\u03a3 \ufb01n \U0001f600 \u00df: "
+    texts = ["heart offers", "state of the art of it", odd + item + "!", odd + item.upper().replace("QUIETLY", "QUIETLI")]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "art of"), (2, item), (2, item + " again"), (2, item)], "item_id long, text string")
+    out = sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+    start = len(odd)
+    assert out[0] == (1, 1, 0, 13, 19)
+    assert [r for r in out if r[0] == 2 and r[2] == 0] == [(2, 2, 0, start, start + len(item))] * 2
+    assert [r for r in out if r[0] == 3 and r[2] == 1] == [(3, 2, 1, start, start + len(item))] * 2
+    assert {r[0] for r in out} == {1, 2, 3}
+
+
 def test_every_edit_within_the_budget_is_found():
     random.seed(9)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
