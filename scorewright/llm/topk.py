@@ -26,19 +26,19 @@ from .common import materialize, small_batches
 SLICES = 4
 #: Queries in a block: with their cutoffs what is broadcast at once.
 BLOCK = 4096
-#: Products stay exact as doubles below this.
-EXACT = 2.0**53
+#: Scores stay exact as doubles below this, and as whole numbers of eight bytes below the other.
+EXACT, LARGEST = 2**53, 2**63
 #: Scores that a task holds at once, and entries that it gathers before it keeps the best of them.
 CELLS, ENTRIES = 1 << 20, 1 << 20
 SCHEMA = "query_id long, kind long, vec_id long, score long"
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Integer vectors as rows of doubles, shorter ones filled with zeros."""
+def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Integer vectors as rows, shorter ones filled with zeros."""
     n = len(column)
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.values.slice(column.offsets[0].as_py(), column.offsets[n].as_py() - column.offsets[0].as_py()).to_numpy(zero_copy_only=False)
-    out = np.zeros((n, width))
+    out = np.zeros((n, width), kind)
     out[np.repeat(np.arange(n), sizes), np.concatenate([np.arange(s) for s in sizes]) if n else []] = flat
     return out
 
@@ -74,7 +74,7 @@ def _first(block, width: int, k: int):
         ids, queries = block.value
         best, held, least = [], 0, None
         for batch in small_batches(batches, max(16, CELLS // len(ids))):
-            names, rows = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width)
+            names, rows = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width, queries.dtype.type)
             parts = [queries[:, a:b] @ rows[:, a:b].T for a, b in _bounds(width)]
             whole = sum(parts)
             own = ids[:, None] == names[None, :]
@@ -109,7 +109,7 @@ def _resolved(block, width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, cutoff, share = block.value
         for batch in small_batches(batches, max(16, CELLS // len(ids))):
-            names, rows = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width)
+            names, rows = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), width, queries.dtype.type)
             reach = np.zeros((len(ids), len(names)), bool)
             for n, (a, b) in enumerate(_bounds(width)):
                 reach |= queries[:, a:b] @ rows[:, a:b].T >= share[n][:, None]
@@ -134,15 +134,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Both inputs have vec_id and ``vector``, an array of whole numbers; others by ``integer_vectors``.
     Ties go to the smaller vec_id; ranks count from 1; fewer rows where there are fewer vectors. A
     vector takes no part as a candidate of a query of its own vec_id. Shorter vectors count as filled
-    with zeros. Rows without vec_id take no part; of queries that repeat a vec_id one is taken; a
+    with zeros. Scores must fit in eight bytes, or it raises. Rows without vec_id take no part; of queries that repeat a vec_id one is taken; a
     candidate that repeats is a candidate each time. Empty inputs give an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.where("vec_id is not null").select("vec_id", "vector")
     size = rows.select(F.max(F.size("vector")).alias("width"), F.max(F.array_max(F.transform("vector", F.abs))).alias("most")).first()
     width, most = size["width"] or 0, size["most"] or 0
-    if most * most * max(width, 1) >= EXACT:
-        raise ValueError("components too large for exact products")
+    if most * most * max(width, 1) >= LARGEST:
+        raise ValueError("scores beyond whole numbers of eight bytes")
+    kind = np.float64 if most * most * max(width, 1) < EXACT else np.int64
     asked = materialize(queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     n_blocks = -(-asked.count() // BLOCK)
     done = []
@@ -150,7 +151,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         own = sorted(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == n).collect(), key=lambda r: r["vec_id"])
         if not own:
             continue
-        ids, matrix = np.array([r["vec_id"] for r in own]), np.zeros((len(own), width))
+        ids, matrix = np.array([r["vec_id"] for r in own]), np.zeros((len(own), width), kind)
         for r, x in zip(matrix, own, strict=True):
             r[: len(x["vector"])] = x["vector"]
         block = spark.sparkContext.broadcast((ids, matrix))
@@ -162,7 +163,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         least = np.array([[lows.get((i, s + 1), 0) for i in ids.tolist()] for s in range(slices)], float)
         cutoff = np.array([cut.get(i, -np.inf) for i in ids.tolist()], float)
         share = least + (cutoff - least.sum(axis=0)) / slices
+        # what is above them stays above them, however their doubles were rounded
         share -= 1e-6 * (1 + np.abs(share))
+        cutoff = np.where(np.isfinite(cutoff), cutoff - 1e-6 * (1 + np.abs(cutoff)), cutoff)
         second = spark.sparkContext.broadcast((ids, matrix, cutoff, np.where(np.isfinite(cutoff), share, -np.inf)))
         found = rows.mapInArrow(_resolved(second, width, k), SCHEMA)
         done.append(found.select("query_id", "vec_id", "score"))

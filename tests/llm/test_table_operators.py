@@ -131,6 +131,15 @@ def test_top_k_edges(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0 and topk.top_k(vectors, vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 50, rng.integers(-(2**29), 2**29, 6).tolist()) for k in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
+    asked = [(0, min(r[1] for r in rows if r[0] == 0)), (20, rows[20][1])]
+    got = sorted(tuple(r) for r in topk.top_k(frame, frame.where("vec_id in (0, 20)"), 7).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(rows, asked, 7)
+
+
 def toxic_rows():
     rng = random.Random(11)
     plain, bad = [f"word{k}" for k in range(300)], ["vilebad", "nastyone", "rudething"]
