@@ -70,7 +70,7 @@ def leaderboard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = board.leaderboard(views.runs(spark, sf_dir), exclude_failed=True, threshold=0.1175)
+    out = board.leaderboard(views.runs(spark, sf_dir), exclude_failed=True, threshold=0.1565)
     return out.select("rank", "model", F.round("average_wer", 6).alias("average_wer"))
 
 
@@ -119,7 +119,11 @@ def first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.coalesce(F.stddev_pop("value"), F.lit(0.0)), 6).alias("std"))
+    """Chart rows of runs that stand for event types, an event a sample."""
+    rated = F.struct(F.col("value").alias("wer"), F.lit(None).cast("double").alias("cer"))
+    samples = F.collect_list(F.struct(F.col("event_id").alias("index"), F.create_map(F.lit("ort"), rated).alias("metrics")))
+    runs = views.table(spark, sf_dir, "events").groupBy("event_type").agg(F.create_map(F.lit("ort"), F.struct(F.avg("value").alias("wer"))).alias("results"), samples.alias("per_sample"))
+    return board.chart_rows(runs.withColumnRenamed("event_type", "name")).select(F.col("name").alias("event_type"), F.round("ort", 6).alias("ort"), F.round("std", 6).alias("std"))
 
 
 def worst_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +241,28 @@ def token_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hypothesis beside its ground truth, rates at four places."""
-    rows = scoring.sample_metrics(views.samples(spark, sf_dir), views.hypotheses(spark, sf_dir), rates=("wer",)).where("ref_name = 'ort'")
-    return rows.select("model", "dataset", "idx", F.length("hypothesis").alias("hyp_n"), F.length("reference").alias("ref_n"), "word_edits")
+    """Every turn of a conversation's run beside its ground truth: conversations are datasets, a run for each role."""
+    return board.drill_down(_turn_runs(spark, sf_dir)).select("name", "dataset", "idx", F.length("hypothesis").alias("hyp_n"), "ref_name", F.length("reference").alias("ref_n"), "wer")
+
+
+def _turn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by conversation and role: a turn a sample, the user's as its first three and the assistant's as its first five letters' reference."""
+    first = F.when(F.col("role") == "user", F.substring("text", 1, 3 + F.col("turn") % 2)).otherwise(F.substring("text", 1, 5))
+    references = F.create_map(F.lit("ort"), F.when(F.col("turn") % 7 == 0, F.lit("")).otherwise(first))
+    metrics = F.create_map(F.lit("ort"), F.struct((F.length("text") / 7000).alias("wer"), F.lit(None).cast("double").alias("cer")))
+    sample = F.struct(F.floor(F.col("turn") / 2).alias("index"), F.lit("s").alias("speaker_id"), F.lit(1.25).alias("duration"), references.alias("references"), F.col("text").alias("hypothesis"), metrics.alias("metrics"))
+    return views.table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.collect_list(sample).alias("per_sample")).select(F.col("role").alias("name"), F.col("conv_id").cast("string").alias("dataset"), F.col("role").alias("position"), "per_sample")
+
+
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = board.ground_truth(_turn_runs(spark, sf_dir))
+    return out.select("dataset", "idx", "speaker", "duration", "ref_name", "reference")
+
+
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of runs that stand for orders, the last for each customer and priority, with its first place and the customer's."""
+    runs = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("file"), F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("dataset"))
+    return board.latest(runs).select("name", "dataset", "file", "position", "ordinal")
 
 
 def reference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +282,6 @@ def queries() -> dict[str, Query]:
         normalize_text, wer_pairs, wer_corpus, cer_pairs, wer_by_model_ref, edit_split_totals, best_candidate, leaderboard_rank, exclude_failed,
         leaderboard_pivot, board_columns, column_bounds, cell_color, best_flags, dataset_meta, last_wins_dedupe, first_nonempty, sample_std, worst_utterances,
         speaker_join, wav_nis_fallback, dense_index_slice, job_matrix, model_route, fixed_chunks, sliding_chunks, greedy_groups, loop_truncate,
-        speaker_segments, answer_text, rtfx, transcribe_stub, marker_clean, token_clean, drilldown, reference_order, run_primary,
+        speaker_segments, answer_text, rtfx, transcribe_stub, marker_clean, token_clean, drilldown, ground_truth, latest_runs, reference_order, run_primary,
     )
     return {f.__name__: f for f in own}
