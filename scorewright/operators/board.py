@@ -112,9 +112,12 @@ def pivoted(cells_: DataFrame, columns_: list[tuple[str, str]], value: str = "we
 
 
 def dataset_meta(runs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(dataset, samples, models, language): the most samples, the number of runs, the first language named."""
+    """(dataset, samples, models, language, references, primary): the most samples, the number of runs, the first language named, the board's columns."""
     spoken = F.when(F.coalesce("language", F.lit("")) != "", F.col("position"))
-    return kept.groupBy("dataset").agg(F.max("num_samples").alias("samples"), F.count("*").alias("models"), F.coalesce(F.min_by("language", spoken), F.lit("")).alias("language"))
+    facts = kept.groupBy("dataset").agg(F.max("num_samples").alias("samples"), F.count("*").alias("models"), F.coalesce(F.min_by("language", spoken), F.lit("")).alias("language"))
+    names = columns(runs, kept).groupBy("dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "ref_name"))), lambda c: c["ref_name"]).alias("references"))
+    out = facts.join(names, "dataset", "left").join(dataset_primary(runs).select("dataset", "primary"), "dataset", "left")
+    return out.select("dataset", "samples", "models", "language", F.coalesce("references", F.array().cast("array<string>")).alias("references"), F.coalesce("primary", F.lit("")).alias("primary"))
 
 
 def ground_truth(kept: DataFrame) -> DataFrame:

@@ -162,7 +162,8 @@ SELECT conv_id, turn, arg_min(ordinal, (wer, ordinal)) FILTER (wer IS NOT NULL)
         "column_bounds": f"WITH {RUNS}, {BOUNDS} SELECT dataset, ref_name, round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM bounds",
         "cell_color": f"WITH {RUNS}, {BOUNDS}, scaled AS (SELECT name, dataset, ref_name, least(1.0, greatest(0.0, (wer - vmin) / (vmax - vmin))) AS t FROM cells JOIN bounds USING (dataset, ref_name)), coloured AS (SELECT name, dataset, ref_name, {channel(0)}, {channel(1)}, {channel(2)} FROM scaled) SELECT *, CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 140 THEN '#000000' ELSE '#ffffff' END AS ink FROM coloured",
         "best_flags": f"WITH {RUNS} SELECT name, dataset, ref_name, CAST(abs(wer - min(wer) OVER (PARTITION BY dataset, ref_name)) < 1e-9 AS INT) AS best FROM cells",
-        "dataset_meta": f"WITH {RUNS} SELECT dataset, max(num_samples) AS samples, count(*) AS models, '' AS language FROM runs GROUP BY dataset",
+        "dataset_meta": f"""WITH {RUNS} SELECT dataset, max(num_samples) AS samples, count(*) AS models, '' AS language, any_value(refs) AS "references", any_value(prim) AS "primary"
+FROM runs JOIN dataset_primary USING (dataset) JOIN (SELECT dataset, string_agg(ref_name, ',' ORDER BY NOT is_primary, ref_name) AS refs FROM (SELECT DISTINCT dataset, ref_name, is_primary FROM cells) GROUP BY dataset) USING (dataset) GROUP BY dataset""",
         "last_wins_dedupe": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_orderkey FROM orders GROUP BY o_custkey",
         "first_nonempty": "SELECT user_id, arg_min(event_type, (ts, event_id)) FILTER (event_type <> 'click') AS event_type, round(arg_min(value, (ts, event_id)), 6) AS value, count(*) AS n FROM events GROUP BY user_id",
         "sample_std": "SELECT event_type, round(avg(value), 6) AS ort, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",

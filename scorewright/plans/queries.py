@@ -101,7 +101,7 @@ def best_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return board.dataset_meta(*_kept(spark, sf_dir))
+    return board.dataset_meta(*_kept(spark, sf_dir)).withColumn("references", F.array_join("references", ","))
 
 
 def last_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def wav_nis_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_index_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents 10 to 59 of each language: an offset and a limit over a dense index."""
     docs = views.table(spark, sf_dir, "documents").select("lang", "doc_id")
-    return manifest.indexed(docs, "doc_id", by=("lang",), offset=10, limit=50)
+    return manifest.indexed(docs, "doc_id", by=("lang",), pieces=(F.floor(F.col("doc_id") / manifest.PIECE),), offset=10, limit=50)
 
 
 def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def rtfx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcribe_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = manifest.indexed(views.table(spark, sf_dir, "conversations").select(F.col("role").alias("dataset"), "conv_id", "turn", "text"), "conv_id", "turn")
+    samples = manifest.indexed(views.table(spark, sf_dir, "conversations").select(F.col("role").alias("dataset"), "conv_id", "turn", "text"), "conv_id", "turn", pieces=(F.floor(F.col("conv_id") / manifest.PIECE),))
     rows = samples.select("dataset", "idx", F.col("text").alias("audio_path"), F.lit(1.0).alias("duration"))
     out = transcribe.transcribe(rows, "doubled", lambda: transcribe.Echo(lambda path: path.replace("a", "bb")), batch_size=16)
     return out.select("model", "dataset", "idx", "batch", F.length("hypothesis").alias("n"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import os
+import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType
 
 from ..functions.text import clean_attribute, clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, join_orthographic, strip
-from .manifest import indexed
+from .manifest import HEAD, header_seconds, indexed
 
 #: Columns of the speaker table and what they are called here (fixed values).
 ATTRIBUTES = {
@@ -87,9 +91,44 @@ def zero_filled(number: Column, width: int = 3) -> Column:
     return F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
 
 
-def speakers(spark: SparkSession, path: str) -> DataFrame:
-    """(speaker, attributes): the speaker table, Latin-1 and tab-separated; of rows with one number the last is taken."""
-    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("value"))
+#: Where the speaker table lies below a corpus or in its archive, the first that is there, and the archive's name (fixed values).
+TABLE_PLACES = ("table/sprk_att.txt", "RVG1Docu/table/sprk_att.txt")
+TABLE_ARCHIVE = "CLARINDocu.zip"
+
+
+@F.pandas_udf(BinaryType())
+def archived_table(archives: pd.Series) -> pd.Series:
+    """The speaker tables that ZIP archives hold; null where there is none or the archive can't be read."""
+
+    def table(content: bytes | None) -> bytes | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+                return next((archive.read(place) for place in TABLE_PLACES if place in archive.namelist()), None)
+        except zipfile.BadZipFile:
+            return None
+
+    return archives.map(table)
+
+
+def found_table(spark: SparkSession, root: str) -> DataFrame:
+    """(content) of a corpus's speaker table: one row, or none where neither its places nor its archive hold one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{{sprk_att.txt,{TABLE_ARCHIVE}}}").load(root)
+    ways = [F.col("path").endswith(f"{root.rstrip('/').rpartition('/')[2]}/{place}") for place in (*TABLE_PLACES, TABLE_ARCHIVE)]
+    choice = reduce(lambda chosen, k: chosen.when(ways[k], k), range(1, len(ways)), F.when(ways[0], 0))
+    first = files.withColumn("choice", choice).where("choice is not null").orderBy("choice").limit(1)
+    packed = F.col("path").endswith(TABLE_ARCHIVE)
+    content = F.when(packed, archived_table(F.when(packed, F.col("content")))).otherwise(F.col("content"))
+    return first.select(content.alias("content")).where("content is not null")
+
+
+def resolved_root(given: str | None, variable: str, default: str) -> str:
+    """A corpus's folder: as given, else from an environment variable, else the default."""
+    return given or os.environ.get(variable) or default
+
+
+def speakers(table: DataFrame) -> DataFrame:
+    """(speaker, attributes) of a speaker table's ``content``, Latin-1 and tab-separated; of rows with one number the last is taken."""
+    whole = table.select(F.decode("content", "ISO-8859-1").alias("value"))
     lines = whole.select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     header = F.transform(F.split(F.col("lines")[0], "\t"), strip)
     rows = lines.select(header.alias("header"), F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line", "row"))
@@ -99,30 +138,15 @@ def speakers(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("speaker").agg(F.max_by("attributes", "line").alias("attributes"))
 
 
-def wav_seconds(content: pd.Series) -> pd.Series:
-    """Durations of WAV files by their headers; 0 where they can't be read."""
-    import io
-    import wave
-
-    def seconds(raw: bytes) -> float:
-        try:
-            with wave.open(io.BytesIO(raw)) as sound:
-                return sound.getnframes() / sound.getframerate()
-        except (wave.Error, EOFError, ZeroDivisionError):
-            return 0.0
-
-    return content.map(seconds)
-
-
 def durations(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
-    """(path, duration) of recordings."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
+    """(path, duration) of recordings, by their headers; no more of them than that leaves the JVM."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "duration": wav_seconds(frame["content"])})
+    @F.pandas_udf(DoubleType())
+    def seconds(heads: pd.Series) -> pd.Series:
+        return heads.map(header_seconds)
 
-    return files.mapInPandas(run, "path string, duration double")
+    return files.select("path", seconds(F.substring("content", 1, HEAD)).alias("duration"))
 
 
 def with_speakers(samples: DataFrame, table: DataFrame) -> DataFrame:
@@ -133,7 +157,10 @@ def with_speakers(samples: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str, channel: str = "c", table: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Samples of the corpus: recordings with a dialect or an orthographic text, numbered by speaker and file."""
+    """Samples of the corpus: recordings with a dialect or an orthographic text, numbered by speaker and file.
+
+    The speakers' attributes come from ``table``, or from where a corpus has its own.
+    """
     rows = segments(spark, root, channel).join(annotations(spark, root), ["speaker", "stem"], "left")
     rows = rows.where(F.coalesce("dialect", "ort").isNotNull()).withColumn("dataset", F.lit("rvg1"))
     rows = indexed(rows, "speaker", "name", offset=offset, limit=limit).join(durations(spark, root, f"sp1{channel}*.wav"), "path", "left")
@@ -149,4 +176,4 @@ def read_corpus(spark: SparkSession, root: str, channel: str = "c", table: str |
         F.col("speaker").alias("speaker_id"),
         F.create_map(F.lit("stem"), F.col("stem")).alias("metadata"),
     )
-    return with_speakers(out, speakers(spark, table)) if table else out
+    return with_speakers(out, speakers(spark.read.format("binaryFile").load(table) if table else found_table(spark, root)))

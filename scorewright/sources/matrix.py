@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import model_tag
+
 #: Which back end runs a model, by what its name holds; the first that fits, all parts of one condition at once (fixed values).
 ROUTES: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = (
     ("crisperwhisper", (("crisper",),)),
@@ -29,16 +31,59 @@ ROUTES: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = (
     ("gemma", (("gemma",),)),
 )
 DEFAULT_ROUTE = "omniasr"
-#: Back ends' names for languages; what isn't listed falls back as ``language`` says (fixed values).
-LANGUAGES = {
-    ("whisper", "deu_Latn"): "german",
-    ("whisper", "eng_Latn"): "english",
-    ("granite", "deu_Latn"): "German",
-    ("gemma", "deu_Latn"): "German",
-    ("phi-4", "deu_Latn"): "German",
-    ("voxtral", "deu_Latn"): "de",
-    ("cohere", "eng_Latn"): "en",
-    ("canary-1b", "deu_Latn"): "de",
+#: Languages by code: their English names and their codes of two letters (fixed values).
+SPOKEN = {
+    "ara_Arab": ("Arabic", "ar"),
+    "bul_Cyrl": ("Bulgarian", "bg"),
+    "cat_Latn": ("Catalan", "ca"),
+    "ces_Latn": ("Czech", "cs"),
+    "dan_Latn": ("Danish", "da"),
+    "deu_Latn": ("German", "de"),
+    "ell_Grek": ("Greek", "el"),
+    "eng_Latn": ("English", "en"),
+    "eus_Latn": ("Basque", "eu"),
+    "fin_Latn": ("Finnish", "fi"),
+    "fra_Latn": ("French", "fr"),
+    "glg_Latn": ("Galician", "gl"),
+    "heb_Hebr": ("Hebrew", "he"),
+    "hin_Deva": ("Hindi", "hi"),
+    "hrv_Latn": ("Croatian", "hr"),
+    "hun_Latn": ("Hungarian", "hu"),
+    "ind_Latn": ("Indonesian", "id"),
+    "ita_Latn": ("Italian", "it"),
+    "jpn_Jpan": ("Japanese", "ja"),
+    "kor_Hang": ("Korean", "ko"),
+    "lit_Latn": ("Lithuanian", "lt"),
+    "nld_Latn": ("Dutch", "nl"),
+    "nor_Latn": ("Norwegian", "no"),
+    "pol_Latn": ("Polish", "pl"),
+    "por_Latn": ("Portuguese", "pt"),
+    "ron_Latn": ("Romanian", "ro"),
+    "rus_Cyrl": ("Russian", "ru"),
+    "slk_Latn": ("Slovak", "sk"),
+    "slv_Latn": ("Slovenian", "sl"),
+    "spa_Latn": ("Spanish", "es"),
+    "swe_Latn": ("Swedish", "sv"),
+    "tha_Thai": ("Thai", "th"),
+    "tur_Latn": ("Turkish", "tr"),
+    "ukr_Cyrl": ("Ukrainian", "uk"),
+    "vie_Latn": ("Vietnamese", "vi"),
+    "zho_Hans": ("Chinese", "zh"),
+}
+#: Languages that each back end knows by name or by two letters (fixed values).
+WHISPER = tuple(code for code in SPOKEN if code not in ("lit_Latn", "ind_Latn"))
+BY_NAME = {
+    "whisper": WHISPER,
+    "crisperwhisper": WHISPER,
+    "granite": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "por_Latn", "jpn_Jpan"),
+    "phi-4": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "por_Latn", "ita_Latn", "jpn_Jpan", "zho_Hans"),
+    "gemma": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "por_Latn", "ita_Latn", "jpn_Jpan", "zho_Hans"),
+    "qwen3-asr": tuple(code for code in SPOKEN if code not in ("eus_Latn", "glg_Latn")),
+}
+BY_LETTERS = {
+    "voxtral": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "por_Latn", "ita_Latn", "nld_Latn", "hin_Deva"),
+    "cohere": ("deu_Latn", "eng_Latn", "fra_Latn", "ita_Latn", "spa_Latn", "por_Latn", "ell_Grek", "nld_Latn", "pol_Latn", "zho_Hans", "jpn_Jpan", "kor_Hang", "vie_Latn", "ara_Arab"),
+    "canary-1b": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "ita_Latn", "por_Latn", "nld_Latn", "pol_Latn", "swe_Latn", "dan_Latn", "nor_Latn", "fin_Latn", "ron_Latn", "hun_Latn", "ces_Latn", "slk_Latn", "bul_Cyrl", "ell_Grek", "tur_Latn", "ukr_Cyrl", "rus_Cyrl", "hrv_Latn", "lit_Latn", "slv_Latn", "cat_Latn"),
 }
 
 
@@ -59,11 +104,16 @@ def route(model: Column) -> Column:
 
 def language(backend: Column, code: Column) -> Column:
     """A back end's name for a language, or its own way to do without: its default, the code's beginning, or none."""
+    names = F.create_map(*(F.lit(x) for c, (name, _) in SPOKEN.items() for x in (c, name)))
+    letters = F.create_map(*(F.lit(x) for c, (_, two) in SPOKEN.items() for x in (c, two)))
     known = F.lit(None).cast("string")
-    for (own, given), said in LANGUAGES.items():
-        known = F.when((backend == own) & (code == given), said).otherwise(known)
+    for own, codes in BY_NAME.items():
+        said = F.try_element_at(names, code)
+        known = F.when((backend == own) & code.isin(*codes), F.lower(said) if codes is WHISPER else said).otherwise(known)
+    for own, codes in BY_LETTERS.items():
+        known = F.when((backend == own) & code.isin(*codes), F.try_element_at(letters, code)).otherwise(known)
     default = F.when(backend.isin("whisper", "crisperwhisper"), "german").when(backend.isin("granite", "phi-4", "gemma"), "English").when(backend == "voxtral", "en").when(backend == "cohere", "de")
-    default = default.when(backend == "canary-1b", F.left(code, F.lit(2))).when(backend == "http", F.substring_index(code, "_", 1))
+    default = default.when(backend == "canary-1b", F.lower(F.left(code, F.lit(2)))).when(backend == "http", F.substring_index(code, "_", 1))
     return F.coalesce(known, default)
 
 
@@ -113,3 +163,11 @@ def read_matrix(spark: SparkSession, text: str) -> DataFrame:
         spark.createDataFrame(datasets, "ordinal int, name string, data_dir string, params map<string,string>"),
         {k: expanded(v) for k, v in (given.get("defaults") or {}).items()},
     )
+
+
+def job_groups(jobs_: DataFrame, by_model: bool = False) -> DataFrame:
+    """(job_group, jobs): the jobs in their order as groups that run together, one for each model and dataset or one for each model."""
+    tag = model_tag(F.col("model"))
+    each = F.struct("model_ordinal", "dataset_ordinal", "model", "dataset", "batch_size", "language")
+    group = tag if by_model else F.concat_ws("__", tag, F.col("dataset"))
+    return jobs_.groupBy(group.alias("job_group")).agg(F.sort_array(F.collect_list(each)).alias("jobs"))

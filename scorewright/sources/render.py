@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators import board
 
-#: Shown names of known references, in this order before others (fixed values).
-LABELS = {"ort": "ORT", "dialect": "TR2", "kan": "KAN"}
 MEDALS = {1: "🥇", 2: "🥈", 3: "🥉"}
 DASH = "–"
 
 
 def percent(rate: float | None) -> str:
-    return DASH if rate is None else f"{100 * rate:.1f}"
+    return DASH if rate is None else f"{100 * rate:.1f}%"
 
 
 def factor(value: float | None) -> str:
@@ -25,8 +23,8 @@ def factor(value: float | None) -> str:
 
 
 def heading(dataset: str, ref_name: str, several: bool) -> str:
-    label = LABELS.get(ref_name, ref_name.upper())
-    return f"{dataset}\n{label}" if several else label
+    """A column's heading: the reference, below its dataset where there are several of them."""
+    return f"{dataset}\n{ref_name.upper()}" if several else ref_name.upper()
 
 
 class Board:
@@ -69,9 +67,9 @@ def markdown(shown: Board) -> str:
     """A Markdown table, the best of each column bold."""
     head, *rows = shown.table()
     for k in range(2, len(head) - 1):
-        rates = [float(r[k]) for r in rows if r[k] != DASH]
+        rates = [float(r[k].rstrip("%")) for r in rows if r[k] != DASH]
         for r in rows:
-            if r[k] != DASH and float(r[k]) == min(rates):
+            if r[k] != DASH and float(r[k].rstrip("%")) == min(rates):
                 r[k] = f"**{r[k]}**"
     for r in rows:
         r[0] = MEDALS.get(int(r[0]), r[0])
@@ -84,10 +82,19 @@ def payload(value: object) -> str:
     return json.dumps(value, ensure_ascii=False).replace("</", "<\\/")
 
 
+def chip(meta: dict[str, object]) -> str:
+    """What a dataset's board is made of, its primary reference starred."""
+    facts = [f"{meta['samples']} samples", f"{meta['models']} models"]
+    facts += [meta["language"]] if meta["language"] else []
+    names = ", ".join(r + "★" if r == meta["primary"] else r for r in meta["references"])
+    facts += [f"refs: {names}"] if names else []
+    return f"{meta['dataset']}: {' · '.join(facts)}"
+
+
 def page(shown: Board) -> str:
     """A page of its own with the coloured table, what the corpora are, and the data for scripts to use."""
     several = len({d for d, _ in shown.columns}) > 1
-    chips = "".join(f"<li>{html.escape(m['dataset'])}: {m['samples']} samples, {m['models']} models {html.escape(m['language'])}</li>" for m in shown.meta)
+    chips = "".join(f"<li>{html.escape(chip(m))}</li>" for m in shown.meta)
     head = "".join(f"<th>{html.escape(heading(d, r, several))}</th>" for d, r in shown.columns)
     body = []
     for row in shown.rows:

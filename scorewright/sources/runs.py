@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +98,35 @@ def write_runs(runs: DataFrame, folder: str, kind: str = "parquet") -> None:
     parts.write.partitionBy("part_dataset", "part_model").mode("overwrite").format(kind).save(folder)
 
 
+#: The fields of a result file in their order (fixed values).
+RESULT_FIELDS = ("model", "dataset", "language", "num_samples", "num_skipped", "schema_version", "references", "primary_reference", "timestamp", "results", "speed", "per_sample")
+
+
+def write_results(runs: DataFrame, folder: str) -> list[str]:
+    """A JSON file of the newer version for each run under ``folder``; the names of the files.
+
+    A file appears whole or not at all, so a task that is tried again only writes it anew. Of runs
+    with one model and dataset one stays.
+    """
+    one = runs.withColumn("schema_version", F.lit(2)).groupBy(file_name(F.col("model"), F.col("dataset")).alias("file")).agg(F.max_by(F.struct(*RESULT_FIELDS), "file").alias("run"))
+    rows = one.select("file", F.to_json("run", {"ignoreNullFields": "false"}).alias("body"))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system.create_dir(root)
+        for frame in frames:
+            for name, body in zip(frame["file"], frame["body"], strict=True):
+                draft = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(body.encode())
+                system.move(draft, f"{root}/{name}")
+            yield frame[["file"]]
+
+    return sorted(r["file"] for r in rows.mapInPandas(write, "file string").collect())
+
+
 def migrated(runs: DataFrame) -> DataFrame:
     """Runs with their version before and after, and what became of them: ``migrated``, or ``skipped`` if new already."""
     before = F.col("schema_version")

@@ -48,7 +48,7 @@ def test_bounds_and_colours(spark):
 def test_rendered(spark):
     shown = render.Board(runs(spark))
     assert "B" in render.text(shown).splitlines()[1]
-    assert "**10.0**" in render.markdown(shown) and render.markdown(shown).count("\n") == 4
+    assert "**10.0%**" in render.markdown(shown) and render.markdown(shown).count("\n") == 4
     page = render.page(shown)
     assert "</script>" in page and "rgb(" in page and render.payload({"x": "</a>"}) == '{"x": "<\\/a>"}'
 

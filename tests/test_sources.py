@@ -1,8 +1,10 @@
 import io
 import json
 import wave
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from scorewright.sources import corpus, manifest, matrix, runs
 from scorewright.streaming.board_stream import follow
@@ -40,6 +42,16 @@ def test_migration(spark, folder, tmp_path):
     assert {r["schema_version"] for r in spark.read.parquet(str(tmp_path / "new")).collect()} == {2}
 
 
+def test_results_written_one_by_one(spark, folder, tmp_path):
+    read = runs.read_runs(spark, str(folder))
+    assert runs.write_results(read, str(tmp_path / "out")) == sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".json" and p.name[0] != ".")
+    (again,) = (json.loads(p.read_text()) for p in (tmp_path / "out").glob("*.json") if json.loads(p.read_text())["model"] == "m/a")
+    assert list(again)[:3] == ["model", "dataset", "language"] and again["results"]["ort"]["wer"] == 0.25 and again["per_sample"][0]["inference_time"] is None
+    facts = ["model", "dataset", "references", "primary_reference", "results", "per_sample"]
+    key = lambda r: str([r[f] for f in facts])
+    assert sorted(map(key, runs.read_runs(spark, str(tmp_path / "out")).collect())) == sorted(map(key, read.collect()))
+
+
 def test_stream(spark, folder, tmp_path):
     places = [str(tmp_path / p) for p in ("runs", "board", "check")]
     (folder / "0.json").write_text(json.dumps(V2 | {"model": "first", "results": {"ort": {"wer": 0.2, "cer": 0.0}}}))
@@ -58,6 +70,37 @@ def test_manifest(spark, tmp_path):
     assert [r["transcript"] for r in manifest.read_manifest(spark, str(tmp_path / "m.jsonl"), offset=1, limit=1).collect()] == ["Ja."]
 
 
+def test_a_missing_duration_comes_from_the_header(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav(2.5))
+    (tmp_path / "m.jsonl").write_text("\n".join(json.dumps({"audio": f"/elsewhere/{n}.wav", "text": "x"} | more) for n, more in (("a", {}), ("b", {}), ("a", {"duration": 9.0}))))
+    rows = manifest.read_manifest(spark, str(tmp_path / "m.jsonl"), audio_root=str(tmp_path)).orderBy("idx").collect()
+    assert [r["duration"] for r in rows] == [2.5, 0.0, 9.0]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    for name, n in (("a.txt", 900), ("b.txt", 40)):
+        (tmp_path / name).write_bytes(b"".join(b"%d\r\n" % k if k % 7 else b"\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        rows = manifest.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a.txt", 900), ("b.txt", 40)):
+        own = sorted((r["line"], r["value"]) for r in rows if r["file"].endswith(name))
+        assert own == [(k, str(k) if k % 7 else "") for k in range(n)]
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_a_dense_index_over_pieces(spark, cut):
+    pieces = (F.floor(F.col("k") / 10),) if cut else ()
+    rows = [(d, k, k % 3) for d in ("x", "y", None) for k in range(0, 95, 2 if d else 5)]
+    got = manifest.indexed(spark.createDataFrame(rows, "dataset string, k long, within int").repartition(7), "k", pieces=pieces).collect()
+    want = {(d, k): n for d in ("x", "y", None) for n, k in enumerate(sorted(k for e, k, _ in rows if e == d))}
+    assert {(r["dataset"], r["k"]): r["idx"] for r in got} == want and len(got) == len(rows) and {r["within"] for r in got} == {0, 1, 2}
+    assert manifest.indexed(spark.createDataFrame([], "dataset string, k long"), "k", pieces=pieces).count() == 0
+
+
 def test_hypotheses(spark, tmp_path):
     (tmp_path / "h.jsonl").write_text('{"ref":"a","text":"b","hyp":"c"}\n{"text":"b","index":7}\n')
     rows = manifest.read_hypotheses(spark, str(tmp_path / "h.jsonl"), "m", "d").orderBy("idx").collect()
@@ -95,6 +138,31 @@ def test_corpus(spark, tmp_path):
     assert two["primary_reference"] == "dialect" and two["duration"] == 0.0 and two["metadata"] == {"stem": "sp1c2"}
 
 
+@pytest.mark.parametrize("place", ["table/sprk_att.txt", "RVG1Docu/table/sprk_att.txt", "CLARINDocu.zip", "elsewhere/sprk_att.txt", "broken.zip"])
+def test_a_corpus_has_its_own_speaker_table(spark, tmp_path, place):
+    root, table = tmp_path / "corpus", b"filenr\tage\n7\t30\n"
+    if place.endswith(".zip"):
+        root.mkdir()
+        with zipfile.ZipFile(root / "CLARINDocu.zip", "w") as archive:
+            archive.writestr("RVG1Docu/table/sprk_att.txt", table)
+        if place == "broken.zip":
+            (root / "CLARINDocu.zip").write_bytes(b"broken")
+    else:
+        (root / place).parent.mkdir(parents=True)
+        (root / place).write_bytes(table)
+    got = [(r["speaker"], r["attributes"]) for r in corpus.speakers(corpus.found_table(spark, str(root))).collect()]
+    assert got == ([] if place in ("elsewhere/sprk_att.txt", "broken.zip") else [("007", {"speaker_number": "7", "age": "30"})])
+
+
+def test_languages_and_groups_of_jobs(spark):
+    asked = [("whisper", "fra_Latn", "french"), ("whisper", "xxx", "german"), ("granite", "ita_Latn", "English"), ("voxtral", "hin_Deva", "hi"), ("cohere", "xxx", "de"), ("canary-1b", "swe_Latn", "sv"), ("canary-1b", "Xyz_Latn", "xy"), ("http", "deu_Latn", "deu"), ("qwen3-asr", "ind_Latn", "Indonesian"), ("qwen3-asr", "eus_Latn", None), ("crisperwhisper", "eus_Latn", "basque")]
+    got = spark.createDataFrame(asked, "backend string, code string, want string").select("want", matrix.language(F.col("backend"), F.col("code")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    jobs = matrix.read_matrix(spark, "datasets: [{name: d1}, {name: d2}]\nmodels: [{name: o/a}, {name: o/b}]")
+    assert {r["job_group"]: [j["dataset"] for j in r["jobs"]] for r in matrix.job_groups(jobs, by_model=True).collect()} == {matrix_tag: ["d1", "d2"] for matrix_tag in ("o_a", "o_b")}
+    assert matrix.job_groups(jobs).count() == 4
+
+
 def test_transliterations(spark, tmp_path):
     (tmp_path / "a.trl").write_text("; note\n\nx: ich +/wir/+ gehe .\nja\n")
     assert corpus.transliterations(spark, str(tmp_path / "a.trl")).first()["text"] == "ich wir gehe. ja"
