@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, pii, secrets, token_files, topk, toxicity, wordpiece
+from . import byte_bpe, decontaminate, divergence, html_text, lexical, pii, quality, secrets, token_files, topk, toxicity, wordpiece
 from .common import read
 from .near_dedup import near_duplicates
 from .oracle import oracle_sql
@@ -66,6 +66,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -78,4 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_secret_scan": op10_secret_scan,
+        "op11_quality": op11_quality,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_ranked_search": op13_ranked_search,
     }
