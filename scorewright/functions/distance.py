@@ -9,29 +9,109 @@ from pyspark.sql import functions as F
 
 from .text import normalize, words
 
-#: Code points that stand for words: the private-use planes, of which no text makes use.
-FIRST_SYMBOL, SYMBOLS = 0xF0000, 131_000
+#: Code points that stand for words: planes 1 to 16, all of them characters to UTF-8.
+FIRST_SYMBOL, SYMBOLS = 0x10000, 1 << 20
+#: Cells of a table of distances up to which the built-in distance fills it.
+CELLS = 1 << 17
+#: The narrowest band of a long distance, and how much wider each next one is.
+NARROWEST, WIDER = 64, 4
 
 
-def symbols(of: Column, alphabet: Column) -> Column:
-    """Words as a string of one code point each: their positions in ``alphabet``."""
+def _code(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SYMBOLS))
 
-    def point(position: Column) -> Column:
-        code = position + FIRST_SYMBOL
-        each = (F.lit(0xF0) + F.shiftright(code, 18), F.lit(0x80) + F.shiftright(code, 12).bitwiseAND(63), F.lit(0x80) + F.shiftright(code, 6).bitwiseAND(63), F.lit(0x80) + code.bitwiseAND(63))
-        return F.decode(F.unhex(F.concat(*(F.hex(x.cast("long")) for x in each))), "UTF-8")
 
-    return F.array_join(F.transform(of, lambda w: point(F.array_position(alphabet, w).cast("int"))), "")
+def clashes(alphabet: Column) -> Column:
+    """Whether two of these different words have one code."""
+    return F.size(F.array_distinct(F.transform(alphabet, _code))) < F.size(alphabet)
 
 
-def word_edits(h: Column, r: Column, alphabet: Column) -> Column:
-    """Edit distance with unit costs of two arrays of words, on the built-in distance of their symbols.
+def symbols(of: Column, alphabet: Column, clash: Column) -> Column:
+    """Words as a string of one code point each: by their hash or, where ``clash``, by their positions in ``alphabet``.
 
-    All three should be columns of their own and not expressions, which would be evaluated for each word.
-    Above SYMBOLS different words in a pair it raises, since its words would run out of symbols.
+    Above SYMBOLS different words in a pair that clashes it raises, since its words would run out of symbols.
     """
-    distance = F.levenshtein(symbols(h, alphabet), symbols(r, alphabet))
-    return F.when(F.size(alphabet) > SYMBOLS, F.raise_error(F.lit("a pair has more different words than symbols")).cast("int")).otherwise(distance)
+    def point(word: Column) -> Column:
+        code = F.when(clash, F.array_position(alphabet, word) - 1).otherwise(_code(word))
+        return F.lpad(F.hex(code + FIRST_SYMBOL), 8, "0")
+
+    written = F.decode(F.unhex(F.array_join(F.transform(of, point), "")), "UTF-32")
+    return F.when(clash & (F.size(alphabet) > SYMBOLS), F.raise_error(F.lit("a pair has more different words than symbols")).cast("string")).otherwise(written)
+
+
+def banded(pattern: str, text: str, band: int) -> int:
+    """An upper bound of the edit distance of two strings, and the distance itself where it is at most ``band``.
+
+    The columns of the table of distances are vectors of bits, a step up and a step down for each row. The
+    text is taken in strips, and a strip's columns have just the rows within ``band`` of its diagonal: rows
+    that come in begin with steps up, and what goes out above counts as a step up for each column. Both
+    never make a distance too small. ``band`` is at least the difference of the lengths.
+    """
+    strip = max(band, NARROWEST)
+    top = bottom = above = up = down = 0
+    for start in range(0, len(text), strip):
+        new_top, new_bottom = max(0, start - band), min(len(pattern), start + strip + band)
+        gone = (1 << (new_top - top)) - 1
+        above += (up & gone).bit_count() - (down & gone).bit_count()
+        up, down = up >> (new_top - top), down >> (new_top - top)
+        up |= ((1 << (new_bottom - bottom)) - 1) << (bottom - new_top)
+        top, bottom = new_top, new_bottom
+        rows, where = (1 << (bottom - top)) - 1, places(pattern[top:bottom])
+        part = text[start : start + strip]
+        for c in part:
+            same = where.get(c, 0)
+            level = ((same & up) + up ^ up) | same
+            right_up, right_down = down | rows & ~(level | up), up & level
+            right_up, right_down = (right_up << 1 | 1) & rows, right_down << 1 & rows
+            same |= down
+            up, down = right_down | rows & ~(same | right_up), right_up & same
+        above += len(part)
+    return above + up.bit_count() - down.bit_count()
+
+
+def places(text: str) -> dict[str, int]:
+    """For each character of a text the places that have it, as bits."""
+    at: dict[str, list[int]] = {}
+    for k, c in enumerate(text):
+        at.setdefault(c, []).append(k)
+    out, flags = {}, np.zeros(len(text), np.uint8)
+    for c, own in at.items():
+        if len(own) < 8:
+            out[c] = sum(1 << k for k in own)
+        else:
+            flags[own] = 1
+            out[c] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+            flags[own] = 0
+    return out
+
+
+def long_distance(a: str, b: str) -> int:
+    """Edit distance of two strings of any length: within a narrow band, then within wider ones until it fits."""
+    least = min(len(a), len(b))
+    at = next((k for k in range(least) if a[k] != b[k]), least)
+    a, b = a[at:], b[at:]
+    least = min(len(a), len(b))
+    at = next((k for k in range(least) if a[-1 - k] != b[-1 - k]), least)
+    a, b = a[: len(a) - at], b[: len(b) - at]
+    if not a or not b:
+        return max(len(a), len(b))
+    band = max(NARROWEST, abs(len(a) - len(b)))
+    while True:
+        found = banded(a, b, band)
+        if found <= band:
+            return found
+        # what was found is an upper bound, so no wider band is needed
+        band = found if found < band * WIDER**2 else band * WIDER
+
+
+def beyond_cells(a: Column, b: Column) -> Column:
+    """Edit distance of two strings whose table has more than CELLS cells, null for others, which the built-in distance takes."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else long_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    beyond = F.length(a).cast("long") * F.length(b) > CELLS
+    return F.pandas_udf(run, "int")(F.when(beyond, a), F.when(beyond, b))
 
 
 def split_counts(h: list[str], r: list[str]) -> tuple[int, int, int, int]:
@@ -78,8 +158,8 @@ def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference
 
     The counts come out of a generator of one row, which a filter on a rate stays above: pushed below, it
     would have the normal forms and distances evaluated again, and the words' alphabet for each word. Ask
-    only for the rates that are needed, since a generator's columns aren't pruned; a distance of characters
-    is quadratic in the texts' lengths.
+    only for the rates that are needed, since a generator's columns aren't pruned. Short strings' distances
+    are the built-in one; of long ones the time grows with their length times their distance.
     """
     out = pairs.withColumns({"hyp_norm": normalize(F.col(hypothesis)), "ref_norm": normalize(F.col(reference))})
     out = out.withColumns({"empty_reference": F.col("ref_norm") == "", "_h": words(F.col("hyp_norm")), "_r": words(F.col("ref_norm"))})
@@ -88,14 +168,17 @@ def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference
         out = out.withColumn("_split", edit_split(F.col("_h"), F.when(some, F.col("_r")))).withColumn("_split", F.when(some, F.col("_split")))
         counts |= {"word_edits": F.coalesce("_split.edits", F.lit(0)), **{k: F.coalesce(f"_split.{k}", F.lit(0)) for k in ("subs", "dels", "ins")}}
     elif "wer" in rates:
-        out = out.withColumn("_words", F.array_distinct(F.concat("_h", "_r")))
-        counts |= {"word_edits": F.when(some, word_edits(F.col("_h"), F.col("_r"), F.col("_words"))).otherwise(0)}
+        out = out.withColumn("_words", F.array_distinct(F.concat("_h", "_r"))).withColumn("_clash", clashes(F.col("_words")))
+        out = out.withColumns({f"{c}s": symbols(F.col(c), F.col("_words"), F.col("_clash")) for c in ("_h", "_r")})
+        out = out.withColumn("_long_words", beyond_cells(F.col("_hs"), F.when(some, F.col("_rs"))))
+        counts |= {"word_edits": F.when(some, F.coalesce("_long_words", F.levenshtein("_hs", "_rs"))).otherwise(0)}
     if split or "wer" in rates:
         counts |= {"word_n": F.size("_r")}
     if "cer" in rates:
-        counts |= {"char_n": F.length("ref_norm"), "char_edits": F.when(some, F.levenshtein("hyp_norm", "ref_norm")).otherwise(0)}
+        out = out.withColumn("_long_chars", beyond_cells(F.col("hyp_norm"), F.when(some, F.col("ref_norm"))))
+        counts |= {"char_n": F.length("ref_norm"), "char_edits": F.when(some, F.coalesce("_long_chars", F.levenshtein("hyp_norm", "ref_norm"))).otherwise(0)}
     counted = F.inline(F.array(F.struct(*(v.alias(k) for k, v in counts.items()))))
-    out = out.select("*", counted).drop("_h", "_r", "_words", "_split")
+    out = out.select("*", counted).drop("_h", "_r", "_hs", "_rs", "_words", "_clash", "_split", "_long_words", "_long_chars")
     missing = (F.coalesce(F.col(hypothesis), F.lit("")) == "") | (F.coalesce(F.col(reference), F.lit("")) == "")
     of = {"wer": "word", "cer": "char"}
     return out.withColumns({name: F.when(missing, 1.0).otherwise(F.try_divide(f"{of[name]}_edits", f"{of[name]}_n")) for name in rates})

@@ -187,6 +187,19 @@ walk AS (
   SELECT x.user_id, x.n, CASE WHEN x.e - w.start <= 86400 THEN w.start ELSE x.s END, x.e, CASE WHEN x.e - w.start <= 86400 THEN w.k ELSE w.k + 1 END
   FROM walk w JOIN numbered x ON x.user_id = w.user_id AND x.n = w.n + 1)
 SELECT user_id, k, min(start) AS start, arg_max("end", n) AS "end" FROM walk GROUP BY user_id, k""",
+        "greedy_groups_hot": """WITH RECURSIVE raw AS (
+  SELECT o_orderstatus AS speaker, CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 86400 + o_orderkey % 86400 AS s FROM orders),
+segs AS (SELECT speaker, s, s + 1 + (s * 37) % 7776000 AS e FROM raw),
+starts AS (SELECT speaker, s AS first, e, CASE WHEN e - s > 5184000 THEN unnest(range(s, e, 5184000)) ELSE s END AS s FROM segs),
+pieces AS (SELECT DISTINCT speaker, s, CASE WHEN e - first > 5184000 THEN least(s + 5184000, e) ELSE e END AS e FROM starts),
+numbered AS (SELECT speaker, s, e, row_number() OVER (PARTITION BY speaker ORDER BY s, e) AS n FROM pieces),
+walk AS (
+  SELECT speaker, n, s AS start, e AS "end", 0 AS k FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.speaker, x.n, CASE WHEN x.e - w.start <= 5184000 THEN w.start ELSE x.s END, x.e, CASE WHEN x.e - w.start <= 5184000 THEN w.k ELSE w.k + 1 END
+  FROM walk w JOIN numbered x ON x.speaker = w.speaker AND x.n = w.n + 1)
+SELECT speaker, k, min(start) AS start, arg_max("end", n) AS "end" FROM walk GROUP BY speaker, k""",
+        "ranked_lines": "SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem",
         "loop_truncate": f"WITH w AS (SELECT doc_id, text, {listed(squeeze('text'))} AS w FROM documents), f AS (SELECT *, array_to_string(w, ' ') AS f FROM w) SELECT doc_id, CAST(length(CASE WHEN len(w) < 100 THEN text ELSE coalesce({cut(3)}, {cut(4)}, {cut(5)}, text) END) AS INT) AS n FROM f",
         "rtfx": "SELECT event_type AS model, round(sum(abs(value)), 6) AS total_audio_s, CAST(sum(user_id % 7) AS DOUBLE) AS total_infer_s, round(sum(abs(value)) / sum(user_id % 7), 6) AS rtfx FROM events GROUP BY event_type HAVING sum(user_id % 7) > 0",
         "transcribe_stub": "SELECT 'doubled' AS model, role AS dataset, idx, idx // 16 AS batch, CAST(length(trim(replace(text, 'a', 'bb'), chr(32) || chr(9) || chr(10) || chr(13))) AS INT) AS n FROM (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS idx FROM conversations)",

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import spread, with_error_rates
 from ..functions.text import clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, cut_loop, model_tag, normalize, words
-from ..operators import board, candidates, choice, scoring, segments, transcribe
+from ..operators import board, candidates, choice, grouping, scoring, segments, transcribe
+from ..operators.order import numbered
+from ..operators.tables import written
 from ..sources import corpus, manifest, matrix
 from . import views
 
@@ -128,11 +130,15 @@ def sample_std(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def worst_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs in the order of their rates, the worst first."""
-    from pyspark.sql import Window
-
     pairs = with_error_rates(spread(views.turn_pairs(spark, sf_dir), "idx"), rates=("wer",)).select("idx", F.col("hypothesis"), "reference", "wer")
-    kept = board.matching(pairs, " EN")
-    return kept.select("idx", F.row_number().over(Window.orderBy(*board.utterance_order("worst"))).alias("place"))
+    kept = written(board.matching(pairs, " EN").select("idx", "wer"), "utterances")
+    return numbered(kept, *board.utterance_order("worst")).select("idx", F.col("place").cast("int").alias("place"))
+
+
+def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order lines by their quantity, the greatest first, ties by order and line: a rank over a whole large table with few different keys."""
+    lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return numbered(lines, F.desc("l_quantity"), F.asc("l_orderkey"), F.asc("l_linenumber"), name="rank")
 
 
 def speaker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,11 +187,16 @@ def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as speech of a second per unit of value, put together to pieces of at most a day."""
-    events = views.table(spark, sf_dir, "events")
     start = F.unix_timestamp("ts")
-    each = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(start.alias("start"), (start + F.floor(F.abs("value")) + 1).alias("end")))).alias("segments"))
-    pieces = segments.grouped_pieces(F.col("segments"), F.lit(0).cast("long"), 86_400)
-    return each.select("user_id", F.posexplode(pieces).alias("k", "p")).select("user_id", "k", "p.start", "p.end")
+    events = views.table(spark, sf_dir, "events").select("user_id", start.alias("start"), (start + F.floor(F.abs("value")) + 1).alias("end"))
+    return grouping.greedy_groups(events, "user_id", 86_400)
+
+
+def greedy_groups_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of a status as one speaker's segments of up to 90 days, cut at 60 and put together to pieces of at most that: three speakers over all ranges."""
+    day = F.datediff("o_orderdate", F.lit("1970-01-01"))
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("speaker"), (day * 86_400 + F.col("o_orderkey") % 86_400).alias("start"))
+    return grouping.greedy_groups(orders.withColumn("end", F.col("start") + 1 + (F.col("start") * 37) % (90 * 86_400)), "speaker", 60 * 86_400)
 
 
 def loop_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +292,7 @@ def queries() -> dict[str, Query]:
     own = (
         normalize_text, wer_pairs, wer_corpus, cer_pairs, wer_by_model_ref, edit_split_totals, best_candidate, leaderboard_rank, exclude_failed,
         leaderboard_pivot, board_columns, column_bounds, cell_color, best_flags, dataset_meta, last_wins_dedupe, first_nonempty, sample_std, worst_utterances,
-        speaker_join, wav_nis_fallback, dense_index_slice, job_matrix, model_route, fixed_chunks, sliding_chunks, greedy_groups, loop_truncate,
+        speaker_join, wav_nis_fallback, dense_index_slice, job_matrix, model_route, fixed_chunks, sliding_chunks, greedy_groups, greedy_groups_hot, ranked_lines, loop_truncate,
         speaker_segments, answer_text, rtfx, transcribe_stub, marker_clean, token_clean, drilldown, ground_truth, latest_runs, reference_order, run_primary,
     )
     return {f.__name__: f for f in own}
