@@ -14,7 +14,9 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates for decoding.
 TOKEN_HEAD = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=\.[A-Za-z0-9_-]++\.)")
+MARK, JSON = re.compile("eyJ"), json.JSONDecoder()
 TOKEN_TAIL = re.compile(r"\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([^-]*(?:-(?!----)[^-]*)*)-----END [A-Z0-9 ]*PRIVATE KEY-----")
 #: What breaks the lines of a key, and the digits up to its end.
@@ -44,15 +47,44 @@ BREAK = re.compile(_BREAK)
 #: Where digits may begin an ASN.1 sequence, OpenSSH's mark or a key file's first line.
 BASE64 = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)")
 HEX_KEY = re.compile(r"(?=(?:30(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4}|83[0-9a-f]{6}|84[0-9a-f]{8})(?:02010[01]|30)|6f70656e7373682d6b65792d763100)[0-9a-f]{34})", re.I | re.A)
-HEX_DIGITS = re.compile(r"(?:[0-9A-Fa-f]{2})++")
+HEX_DIGITS = re.compile("[0-9A-Fa-f]++")
 #: The fewest digits of a key.
 LEAST_DIGITS = 40
+#: Bytes of a candidate that are decoded at once.
+HEAD = 48
+#: More values than any key has side by side.
+MOST_CHILDREN = 16
 #: Object identifiers of encryption by a password begin like these: PKCS #5 and PKCS #12.
 ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 OPENSSH = b"openssh-key-v1\0"
 
 
-def tlv(raw: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+class Digits:
+    """Bytes that base64 or hexadecimal digits stand for from a place on, decoded just where they are looked at."""
+
+    def __init__(self, digits: str, at: int, n: int, per: tuple[int, int], decode: Callable[[str], bytes]) -> None:
+        self.digits, self.at, self.n, self.decode = digits, at, n, decode
+        self.bytes_, self.width = per
+        self.head = b""
+        self.head = self[: min(n, HEAD)]
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int | slice) -> int | bytes:
+        start, stop = (k, k + 1) if isinstance(k, int) else k.indices(self.n)[:2]
+        if stop <= len(self.head):
+            return self.head[k]
+        first = start // self.bytes_
+        got = self.decode(self.digits[self.at + first * self.width : self.at + -(-stop // self.bytes_) * self.width])
+        got = got[start - first * self.bytes_ : stop - first * self.bytes_]
+        return got[0] if isinstance(k, int) else got
+
+
+Bytes = bytes | Digits
+
+
+def tlv(raw: Bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, first byte, end) of the ASN.1 value at ``at``, or None if its length doesn't fit before ``end``."""
     if at + 2 > end:
         return None
@@ -67,18 +99,18 @@ def tlv(raw: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def children(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The values that fill ``at`` to ``end`` exactly, or None."""
+def children(raw: Bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The values that fill ``at`` to ``end`` exactly, or None, also where they are more than a key has."""
     out = []
     while at < end:
-        if (one := tlv(raw, at, end)) is None:
+        if len(out) >= MOST_CHILDREN or (one := tlv(raw, at, end)) is None:
             return None
         out.append(one)
         at = one[2]
     return out
 
 
-def is_private_key(raw: bytes) -> bool:
+def is_private_key(raw: Bytes) -> bool:
     """Whether the bytes are one ASN.1 private key: RSA or DSA numbers, a wrapped key or a curve's key."""
     top = tlv(raw, 0, len(raw))
     if top is None or top[0] != 0x30 or top[2] != len(raw):
@@ -98,7 +130,7 @@ def is_private_key(raw: bytes) -> bool:
     return tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and all(tag in (0xA0, 0xA1) for tag in tags[2:])
 
 
-def is_encrypted_key(raw: bytes) -> bool:
+def is_encrypted_key(raw: Bytes) -> bool:
     """Whether the bytes are one ASN.1 private key encrypted by a password: the encryption and what it gave."""
     top = tlv(raw, 0, len(raw))
     if top is None or top[0] != 0x30 or top[2] != len(raw):
@@ -110,9 +142,9 @@ def is_encrypted_key(raw: bytes) -> bool:
     return bool(inner) and inner[0][0] == 0x06 and raw[inner[0][1] : inner[0][2]].startswith(ENCRYPTIONS)
 
 
-def is_openssh_key(raw: bytes) -> bool:
+def is_openssh_key(raw: Bytes) -> bool:
     """Whether the bytes begin as an OpenSSH private key, with three readable fields and a number of keys."""
-    if not raw.startswith(OPENSSH):
+    if raw[: len(OPENSSH)] != OPENSSH:
         return False
     at = len(OPENSSH)
     for _ in range(3):
@@ -122,7 +154,7 @@ def is_openssh_key(raw: bytes) -> bool:
     return at + 4 <= len(raw) and 1 <= int.from_bytes(raw[at : at + 4], "big") <= 16
 
 
-def openssh_end(raw: bytes) -> int:
+def openssh_end(raw: Bytes) -> int:
     """Where an OpenSSH private key ends: after its public keys and its private part, or with the bytes if it is cut short."""
     at = len(OPENSSH)
     for _ in range(3):
@@ -154,21 +186,49 @@ def is_signed_token(digits: str) -> bool:
     return isinstance(head, dict) and isinstance(claims, dict) and isinstance(head.get("alg"), str)
 
 
+def json_end(text: str, at: int) -> int | None:
+    """Where the JSON value that begins at a place ends, or None; read in parts that grow, so that a wrong one costs no more than it is long."""
+    size = 256
+    while True:
+        part = text[at : at + size]
+        try:
+            return at + JSON.raw_decode(part)[1]
+        except RecursionError:
+            return None
+        except json.JSONDecodeError as failure:
+            # a cut is told by a string without end, or by an error where the part ends
+            if at + size >= len(text) or failure.pos < len(part) - 8 and not failure.msg.startswith("Unterminated"):
+                return None
+        size *= 4
+
+
 def signed_tokens(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of the signed tokens: each run before a dot is tried from its first and its last mark of a header on."""
+    """(kind, start, end) of the signed tokens: each run before a dot is tried from every mark of a header in it on, the first that fits counts.
+
+    A run is decoded once for each of the four ways to cut it into groups of digits, and a header read from
+    its mark only as far as it is JSON.
+    """
     done = 0
     for m in TOKEN_HEAD.finditer(text):
-        if m.start() < done or (first := text.find("eyJ", m.start(), m.end())) < 0:
+        if m.start() < done or text.find("eyJ", m.start(), m.end()) < 0:
             continue
         end = TOKEN_TAIL.match(text, m.end()).end()
-        for start in dict.fromkeys((first, text.rfind("eyJ", m.start(), m.end()))):
-            if is_signed_token(text[start:end]):
-                yield "jwt", start, end
+        claims = decoded(text[m.end() + 1 : end].split(".")[0])
+        if not claims or claims[:1] != b"{":
+            continue
+        ways: dict[int, str] = {}
+        for mark in MARK.finditer(text, m.start(), m.end()):
+            way = (mark.start() - m.start()) % 4
+            if way not in ways:
+                ways[way] = (decoded(text[m.start() + way : m.end()]) or b"").decode("latin-1")
+            stop = json_end(ways[way], (mark.start() - m.start() - way) // 4 * 3)
+            if stop is not None and len(ways[way]) - stop <= 8 and not ways[way][stop:].strip() and is_signed_token(text[mark.start() : end]):
+                yield "jwt", mark.start(), end
                 done = end
                 break
 
 
-def _key_kind(raw: bytes | None) -> str | None:
+def _key_kind(raw: Bytes | None) -> str | None:
     if raw is None:
         return None
     return "key" if is_private_key(raw) or is_encrypted_key(raw) else "openssh" if is_openssh_key(raw) else None
@@ -182,7 +242,7 @@ def _file_kind(body: str) -> str | None:
     return "key" if encrypted and raw and len(raw) >= 16 and len(raw) % 8 == 0 else _key_kind(raw)
 
 
-def _length(raw: bytes) -> int:
+def _length(raw: Bytes) -> int:
     """The length that the header of an ASN.1 sequence gives it, if a version or a sequence comes first in it; else 0."""
     size = raw[1] & 0x7F if raw[1] & 0x80 else 0
     if raw[0] != 0x30 or raw[1] == 0x80 or size > 4:
@@ -193,34 +253,59 @@ def _length(raw: bytes) -> int:
     return 2 + size + (int.from_bytes(raw[2 : 2 + size], "big") if size else raw[1])
 
 
-def _encoded_key(text: str, at: int) -> tuple[str, int] | None:
-    """(kind, end) of the key whose base64 digits begin at ``at``, or None."""
-    need = 0
-    if text[at] == "M":
-        head = BREAK.sub("", text[at : at + 16])
-        need = -(-_length(decoded(head[: len(head) // 4 * 4]) or bytes(9)) * 4 // 3)
-        if need < LEAST_DIGITS:
-            return None
-    run = WRAPPED.match(text, at)[0]
-    broken = [(m.start(), m.end()) for m in BREAK.finditer(run)] if "\n" in run or "\\" in run else []
-    digits = BREAK.sub("", run) if broken else run
+class Run:
+    """Base64 digits on one or more lines, taken apart once for all the keys that may begin in them."""
+
+    def __init__(self, text: str, start: int) -> None:
+        self.start, self.end = start, WRAPPED.match(text, start).end()
+        run = text[start : self.end]
+        breaks = [m.span() for m in BREAK.finditer(run)] if "\n" in run or "\\" in run else []
+        self.digits = BREAK.sub("", run) if breaks else run
+        # by the number of digits before each break, how much longer the text is than the digits after it
+        self.before = [a - skipped for (a, _), skipped in zip(breaks, accumulate((b - a for a, b in breaks), initial=0), strict=False)]
+        self.longer = [0, *accumulate(b - a for a, b in breaks)]
+        self.places = [b for _, b in breaks]
+        self.ways: dict[int, str] = {}
+
+    def digit(self, at: int) -> int:
+        """The number of digits before a place of the text that is a digit."""
+        return at - self.start - self.longer[bisect_right(self.places, at - self.start)]
+
+    def place(self, digit: int) -> int:
+        """The place in the text right after so many digits."""
+        return self.start + digit + self.longer[bisect_left(self.before, digit)]
+
+    def read(self, digit: int, most: int | None = None) -> Digits:
+        """The bytes from a digit on, of at most so many digits."""
+        n = len(self.digits) - digit if most is None else most
+        return Digits(self.digits[: digit + n] if most is None else self.digits, digit, n * 3 // 4, (3, 4), lambda x: decoded(x[: len(x) - (len(x) % 4 == 1)]) or b"")
+
+    def text_from(self, digit: int) -> tuple[str, int]:
+        """What the digits from a place on decode to, as the text of this way to group them, and the place in it."""
+        way = digit % 4
+        if way not in self.ways:
+            own = self.digits[way:]
+            self.ways[way] = (decoded(own) or decoded(own[: len(own) // 4 * 4]) or b"").decode("latin-1")
+        return self.ways[way], digit // 4 * 3
+
+
+def _encoded_key(text: str, at: int, run: Run) -> tuple[str, int] | None:
+    """(kind, end) of the key whose base64 digits begin at ``at`` in ``run``, or None; it looks just at what tells a key."""
+    digit = run.digit(at)
+    left = len(run.digits) - digit
     if text[at] == "L":
-        inside = PEM.search((decoded(digits) or decoded(digits[: len(digits) // 4 * 4]) or b"").decode("latin-1"))
-        kind = _file_kind(inside[1]) if inside else None
-        need = len(digits)
+        inside = PEM.match(*run.text_from(digit))
+        kind, need = _file_kind(inside[1]) if inside else None, left
     elif text[at] == "M":
-        kind = _key_kind(decoded(digits[:need])) if len(digits) >= need else None
+        need = -(-_length(run.read(digit, min(left, 12))[:9].ljust(9, b"\0")) * 4 // 3)
+        kind = _key_kind(run.read(digit, need)) if LEAST_DIGITS <= need <= left else None
     else:
-        raw = decoded(digits) or decoded(digits[: len(digits) // 4 * 4]) or b""
+        raw = run.read(digit)
         kind = "openssh" if is_openssh_key(raw) else None
-        need = min(-(-openssh_end(raw) * 4 // 3), len(digits)) if kind else 0
+        need = min(-(-openssh_end(raw) * 4 // 3), left) if kind else 0
     if kind is None:
         return None
-    end = need
-    for start, stop in broken:
-        if start < end:
-            end += stop - start
-    end += at
+    end = run.place(digit + need)
     if kind == "openssh":  # its padding may go on to the end of the line
         end = WRAPPED_LINE.match(text, end).end()
     elif re.match("[A-Za-z0-9+]", text[end : end + 1]):
@@ -228,13 +313,24 @@ def _encoded_key(text: str, at: int) -> tuple[str, int] | None:
     return kind, PADDING.match(text, end).end()
 
 
-def _hexadecimal_key(text: str, at: int) -> tuple[str, int] | None:
-    """(kind, end) of the key whose hexadecimal digits begin at ``at``, or None."""
-    raw = bytes.fromhex(HEX_DIGITS.match(text, at)[0])
-    if raw.startswith(OPENSSH):
-        return ("openssh", at + 2 * openssh_end(raw)) if is_openssh_key(raw) else None
-    n = _length(raw)
-    kind = _key_kind(raw[:n]) if 0 < n <= len(raw) else None
+class HexRun:
+    """Hexadecimal digits in a row."""
+
+    def __init__(self, text: str, start: int) -> None:
+        self.start, self.end = start, HEX_DIGITS.match(text, start).end()
+
+
+def _hexadecimal_key(text: str, at: int, run: HexRun) -> tuple[str, int] | None:
+    """(kind, end) of the key whose hexadecimal digits begin at ``at``, or None; it looks just at what tells a key."""
+
+    def read(n: int) -> Digits:
+        return Digits(text, at, n, (1, 2), bytes.fromhex)
+
+    left = (run.end - at) // 2
+    if read(left)[: len(OPENSSH)] == OPENSSH:
+        return ("openssh", at + 2 * openssh_end(read(left))) if is_openssh_key(read(left)) else None
+    n = _length(read(left)[:9].ljust(9, b"\0"))
+    kind = _key_kind(read(n)) if 0 < n <= left else None
     return (kind, at + 2 * n) if kind and not re.match("[0-9A-Fa-f]", text[at + 2 * n : at + 2 * n + 1]) else None
 
 
@@ -247,12 +343,20 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     for m in PEM.finditer(text) if "-----BEGIN " in text else ():
         if kind := _file_kind(m[1]):
             more.append((kind, m.start(), m.end()))
-    files = [(start, end) for _, start, end in more]
-    for candidates, key in ((BASE64, _encoded_key), (HEX_KEY, _hexadecimal_key)):
-        done = 0
+    files = sorted((start, end) for _, start, end in more)
+    for candidates, key, kind in ((BASE64, _encoded_key, Run), (HEX_KEY, _hexadecimal_key, HexRun)):
+        done, run, within, last = 0, None, 0, 0
         for m in candidates.finditer(text):
-            if m.start() >= done and not any(s <= m.start() < e for s, e in files) and (one := key(text, m.start())):
-                more.append((one[0], m.start(), one[1]))
+            at = m.start()
+            while within < len(files) and files[within][0] <= at:
+                last = max(last, files[within][1])
+                within += 1
+            if at < done or at < last:
+                continue
+            if run is None or at >= run.end:
+                run = kind(text, at)
+            if one := key(text, at, run):
+                more.append((one[0], at, one[1]))
                 done = one[1]
     return sorted({*found, *more}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
