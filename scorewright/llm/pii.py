@@ -32,7 +32,8 @@ PATTERNS = {
 #: What a text must hold to be searched for a kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Identifier-like strings: runs of letters, digits and what joins them, with a digit, an @, a _ or a dot between letters.
-CANDIDATE = r"(?<![\p{L}0-9@_])(?=[\p{L}+/#-]*+(?:[0-9@_]|\.[\p{L}0-9@_]))[\p{L}0-9@_](?:[.+/#-]*+[\p{L}0-9@_])*+"
+#: A run is looked at from its beginning alone, before which a few joining marks may stand, so that none is read again from its middle.
+CANDIDATE = r"(?=[\p{L}0-9@_])(?<=(?:^|[^\p{L}0-9@_.+/#-])[.+/#-]{0,16})(?=[\p{L}+/#-]*+(?:[0-9@_]|\.[\p{L}0-9@_]))[\p{L}0-9@_](?:[.+/#-]*+[\p{L}0-9@_])*+"
 #: What a text must hold to be searched for them.
 IDENTIFIER_LIKE = r"[0-9@_]|\p{L}\.\p{L}"
 #: Rounds of scoring; confidence and distinct seeds that a pattern needs.
@@ -149,6 +150,8 @@ def confident_patterns(docs: DataFrame, seeds: DataFrame, others: DataFrame) ->
     known = edges(seeds).groupBy("pattern", "value").agg(F.count("*").alias("n"))
     known = materialize(known, "seed-edges")
     promising = materialize(known.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SEEDS).select("pattern"), "promising")
+    if not promising.limit(1).count():
+        return promising.withColumn("trust", F.lit(0.0))
     totals = materialize(occurrences(docs, promising), "pattern-totals")
     more = edges(others).join(totals.select("pattern"), "pattern", "left_semi").groupBy("pattern", "value").agg(F.count("*").alias("n"))
     graph = known.select("pattern", "value", "n", F.lit(True).alias("seed")).unionByName(more.select("pattern", "value", "n", F.lit(False).alias("seed")))
