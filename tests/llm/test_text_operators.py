@@ -68,7 +68,6 @@ def test_every_token_encodes_to_itself():
 def test_token_files(spark, tmp_path):
     vocabulary = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(vocabulary)
-    library.encode_special_tokens = True
     folder, files = token_files.write(table(spark, TEXTS), vocabulary, 1, f"file://{tmp_path}/ids")
     got = token_files.digests(token_files.read_ids(folder, files)).collect()
     ids = [None if k == 1 else min(k, len(TEXTS) - 2) for k in range(len(TEXTS))]
@@ -98,7 +97,6 @@ def chunked(known, text):
 def test_token_ids_equal_the_library_on_every_script():
     vocabulary = P.path("word_bpe_49k.json")
     known, library = token_files.ChunkIds(vocabulary), Tokenizer.from_file(vocabulary)
-    library.encode_special_tokens = True
 
     def of_library(text):
         return library.encode(text, add_special_tokens=False).ids
@@ -116,14 +114,84 @@ def test_token_ids_equal_the_library_on_every_script():
 def test_token_ids_of_random_strings():
     vocabulary = P.path("word_bpe_49k.json")
     known, library = token_files.ChunkIds(vocabulary, most=300), Tokenizer.from_file(vocabulary)
-    library.encode_special_tokens = True
     draw = random.Random(5)
     alphabet = [*"aAzZ09.,;:!?*$%&#'~_^-<|>/ \n\t\x1c", *"\u0130\u0131\u00df\u00e9\u0301\u0307\u0327\u0338\u0344\u0958\u0915\u093c\u0f43\u1100\u1161\u11a8\uac00\u212a\u2126\u2003\u00a0\u3000\ufb01\u0345\u03a3\U00010400\U0001f600\u0660\u00b2\u2160"]
+    alphabet += ["<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startof"]
     for _ in range(6000):
         text = "".join(draw.choices(alphabet, k=draw.randrange(1, 14)))
         assert chunked(known, text) == library.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_strings_of_added_tokens_are_these_tokens():
+    vocabulary = P.path("word_bpe_49k.json")
+    known, library = token_files.ChunkIds(vocabulary), Tokenizer.from_file(vocabulary)
+    assert len(library.encode("x <|startoftext|> y", add_special_tokens=False).ids) == 3
+    for text in ("x <|startoftext|> y", "x<|startoftext|>y", "a.<|endoftext|>, b", "<|endoftext|><|endoftext|>", "<|endoftext|>\n<|startoftext|>", "<|endof text|>"):
+        assert chunked(known, text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+HARD = {
+    "openings": "MIIEpAIBAAKCAQEA",
+    "wrapped": "MIIEpAIBAAKCAQEA" * 4 + "\n",
+    "hexadecimal": "308204a40201000282010100",
+    "files": "LS0tLS1CRUdJTi",
+    "openssh": "b3BlbnNzaC1rZXktdjEA",
+    "marks": "eyJ",
+    "objects": "eyJhIjp7",
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_secrets_of_hard_texts_take_linear_time(name):
+    text = HARD[name] * (1_000_000 // len(HARD[name])) + ".eyJhIjoxfQ.x"
+    began = time.process_time()
+    secrets.findings(text)
+    assert time.process_time() - began < 15
+
+
+def test_signed_tokens_at_any_mark():
+    head, claims = (base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"a":1}'))
+    token = f"{head}.{claims}.sig"
+    for before in ("", "x", "eyJ", "eyJxeyJy", "xeyJ_eyJ-", "eyJh" * 300):
+        assert secrets.findings(before + token) == [("jwt", len(before), len(before + token))]
+    assert secrets.findings(f"{head}eyJ.{claims}.sig") == []
+
+
+def test_keys_within_long_runs():
+    own = [x for x in findings_of_keys()]
+    for key in own:
+        for before in ("M" * 999, "MIIEpAIBAAKCAQEA" * 50 + "-", "0" * 3 + "_"):
+            assert any(k == "key" and s == len(before) for k, s, _ in secrets.findings(before + key + " ")), before[:20]
+
+
+def findings_of_keys():
+    """RSA numbers as a key, in base64 on one line."""
+
+    def value(tag, body):
+        n = len(body)
+        size = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+        return bytes([tag]) + size + body
+
+    draw = random.Random(8)
+    numbers = b"".join(value(2, bytes([draw.randrange(1, 128)]) + draw.randbytes(n)) for n in (128, 3, 128, 64, 64, 64, 64, 64))
+    return [base64.b64encode(value(0x30, value(2, b"\0") + numbers)).decode()]
+
+
+@pytest.mark.parametrize("part", ["a/", "a-b+", "aGVsbG8/", "-", "a.+b/"])
+def test_candidates_of_hard_texts_take_linear_time(spark, part):
+    docs = spark.createDataFrame([(1, part * (1_000_000 // len(part)) + " x5")], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = pii.located_identifiers(docs).select("candidates").collect()
+    assert rows[0]["candidates"][-1]["value"] == "x5" and time.perf_counter() - began < 15
+
+
+def test_candidates_begin_at_runs(spark):
+    texts = {"/path/x5 #tag7 +a_b (c@d) e.f plain word/word --x9": ["path/x5", "tag7", "a_b", "c@d", "e.f", "x9"], "a/b5/c d": ["a/b5/c"]}
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in pii.located_identifiers(docs).collect():
+        assert [c["value"] for c in r["candidates"]] == [*texts.values()][r["doc_id"]]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     folder, files = token_files.write(empty(spark), P.path("word_bpe_49k.json"), 1, f"file://{tmp_path}/none")
     assert files.count() == 0 and token_files.read_ids(folder, files).count() == 0
