@@ -38,14 +38,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written table.
 
     Cuts the lineage, so that a costly step isn't repeated for each use and a lost executor
-    costs only a read.
+    costs only a read. ``rows_a_file``, if not 0, keeps files of large rows small enough to be read one by one.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,16 +8,19 @@ prefix. A term that a level covers whole counts as itself, and the last level is
 longer prefix lives. Only the terms that are left are gathered by source.
 
 Between levels prefixes are 64-bit hashes, and what lives is a bitmap of fixed size that goes to all
-tasks. Two hashes at one bit only let a prefix live on; whole terms are counted exactly in the end.
+tasks. Two hashes at one bit only let a prefix live on; whole terms are counted exactly in the end. Counts
+are dealt out by slices of the bitmap, each task's for a slice in one piece, and added up slice by slice.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +29,14 @@ from pyspark.sql.window import Window
 from .common import materialize, small_batches
 from .terms import term_table, terms
 
-#: Bytes of the shortest prefixes, and bits of the map of living ones (8 MB).
-FIRST, BITS = 4, 1 << 26
-#: Terms of documents that make a chunk, and counts that a task gathers before it adds them up.
-CHUNK, GATHERED = 1 << 21, 1 << 22
-#: Counts below this times SCALE fit in eight bytes.
+#: Bytes of the shortest prefixes, and bits of a map of living ones (8 MB).
+FIRST, BITS = 6, 1 << 26
+#: Slices of the map: at least and at most, and terms of documents that make one more.
+LEAST_SLICES, MOST_SLICES, OF_SLICE = 1 << 9, 1 << 16, 1 << 22
+#: Terms of documents that make a chunk, chunks in a file, and counts that a task gathers before it adds them up.
+CHUNK, IN_FILE, GATHERED = 1 << 18, 8, 1 << 20
+#: Counts below FITTING times SCALE fit in eight bytes.
 SCALE, FITTING = 10**9, 9 * 10**9
-#: Bits in one row of Spark's bitmap aggregate (fixed by Spark).
-ROW_BITS = 32_768
 CHUNKS = "lang string, sources array<string>, source binary, vocabulary binary, doc binary, term binary, n binary"
 
 
@@ -42,18 +45,18 @@ class Chunk:
 
     def __init__(self, lang: str) -> None:
         self.lang, self.sources, self.vocabulary = lang, {}, {}
-        self.source, self.doc, self.term, self.n = [], [], [], []
+        self.source, self.doc, self.term, self.n = (array("i") for _ in range(4))
 
     def add(self, source: str, words: list[bytes]) -> None:
         counts = Counter(words)
         known = self.vocabulary
-        self.doc += [len(self.source)] * len(counts)
-        self.term += [known.setdefault(t, len(known)) for t in counts]
-        self.n += counts.values()
+        self.doc.extend([len(self.source)] * len(counts))
+        self.term.extend([known.setdefault(t, len(known)) for t in counts])
+        self.n.extend(counts.values())
         self.source.append(self.sources.setdefault(source, len(self.sources)))
 
     def row(self) -> pa.RecordBatch:
-        numbers = [pa.array([np.array(x, np.int32).tobytes()], pa.binary()) for x in (self.source, self.doc, self.term, self.n)]
+        numbers = [pa.array([x.tobytes()], pa.binary()) for x in (self.source, self.doc, self.term, self.n)]
         rest = pa.array([self.lang]), pa.array([[*self.sources]], pa.list_(pa.string())), pa.array([b" ".join(self.vocabulary)], pa.binary())
         return pa.record_batch([rest[0], rest[1], numbers[0], rest[2], *numbers[1:]], names=["lang", "sources", "source", "vocabulary", "doc", "term", "n"])
 
@@ -81,107 +84,153 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def hashes(lang: str, words: list[bytes], length: int | None) -> np.ndarray:
-    """64-bit hashes of a language's words, whole, or of their first ``length`` bytes; the two never meet."""
-    seed = xxhash.xxh3_64_intdigest(lang, 0 if length is None else 1)
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w[:length], seed) for w in words), np.uint64, len(words))
+    """64-bit hashes of a language's words, whole and odd, or of their first ``length`` bytes and even; the two never meet."""
+    digest, seed = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest(lang)
+    of = np.fromiter((digest(w[:length], seed) for w in words), np.uint64, len(words))
+    return of | np.uint64(1) if length is None else of & ~np.uint64(1)
+
+
+def bit(of: np.ndarray) -> np.ndarray:
+    """A hash's place in the map."""
+    return (of >> np.uint64(1)).astype(np.int64) & (BITS - 1)
 
 
 def lives(bitmap: np.ndarray, of: np.ndarray) -> np.ndarray:
-    at = of & np.uint64(BITS - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    at = bit(of)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
 
+def sliced(slice_: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each slice with the places that have it."""
+    order = np.argsort(slice_, kind="stable")
+    different, first = np.unique(slice_[order], return_index=True)
+    yield from zip(different.tolist(), np.split(order, first[1:]) if len(order) else (), strict=True)
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, whether each is a whole term's, and numbers of documents, added up by hash."""
-    of, whole, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    different, first, at = np.unique(of, return_index=True, return_inverse=True)
-    return different, whole[first], np.bincount(at, n, len(different)).astype(np.int64)
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and numbers of documents, added up by hash."""
+    of, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    different, at = np.unique(of, return_inverse=True)
+    return different, np.bincount(at, n, len(different)).astype(np.int64)
 
-def _level(length: int, before: int | None, living) -> object:
+
+def _level(length: int, before: int | None, living, width: int):
     """Counts the documents of each prefix of ``length`` bytes, or shorter whole term, whose prefix of ``before`` bytes lives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = [], 0
-        for batch in batches:
-            for lang, vocabulary, doc, term in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words = vocabulary.split()
-                longer = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) > (before or 0))
-                if before is not None:
-                    longer = longer[lives(living.value, hashes(lang, [words[k] for k in longer], before))]
-                some = [words[k] for k in longer]
-                whole = np.fromiter((len(w) <= length for w in some), bool, len(some))
-                of = np.where(whole, hashes(lang, some, None), hashes(lang, some, length))
-                different, first, at = np.unique(of, return_index=True, return_inverse=True)
-                place = np.full(len(words), -1, np.int64)
-                place[longer] = at
-                place, doc = place[np.frombuffer(term, np.int32)], np.frombuffer(doc, np.int32)
-                pairs = np.unique(place[place >= 0] << 32 | doc[place >= 0])
-                gathered.append((different, whole[first], np.bincount(pairs >> 32, minlength=len(different))))
-                held += len(different)
-                if held >= GATHERED:
-                    gathered = [_summed(gathered)]
-                    held = len(gathered[0][0])
+        for batch in small_batches(batches, 1):
+            lang, vocabulary, doc, term = (batch.column(k)[0].as_py() for k in range(4))
+            words = vocabulary.split()
+            longer = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) > (before or 0))
+            if before is not None:
+                longer = longer[lives(living.value, hashes(lang, [words[k] for k in longer], before))]
+            some = [words[k] for k in longer]
+            whole = np.fromiter((len(w) <= length for w in some), bool, len(some))
+            of = np.where(whole, hashes(lang, some, None), hashes(lang, some, length))
+            different, at = np.unique(of, return_inverse=True)
+            place = np.full(len(words), -1, np.int64)
+            place[longer] = at
+            place, doc = place[np.frombuffer(term, np.int32)], np.frombuffer(doc, np.int32)
+            pairs = np.unique(place[place >= 0] << 32 | doc[place >= 0])
+            gathered.append((different, np.bincount(pairs >> 32, minlength=len(different))))
+            held += len(different)
+            if held >= GATHERED:
+                gathered = [_summed(gathered)]
+                held = len(gathered[0][0])
         if gathered:
-            of, whole, n = _summed(gathered)
-            for at in range(0, len(of), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.record_batch([pa.array(of[part].view(np.int64)), pa.array(whole[part]), pa.array(n[part])], names=["h", "whole", "docs"])
+            of, n = _summed(gathered)
+            rows = [(k, of[own].tobytes(), n[own].tobytes()) for k, own in sliced(bit(of) // width)]
+            if rows:
+                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "of", "docs"])
 
     return run
 
 
-def bitmap(survivors: DataFrame) -> np.ndarray:
-    """The map of BITS bits of the hashes ``h``, built in parts of fixed size by Spark's bitmap aggregate."""
-    at = F.col("h").bitwiseAND(BITS - 1) + 1
-    parts = survivors.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in parts:
-        start = (r["part"] - 1) * (ROW_BITS // 8)
-        out[start : start + ROW_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def refine(cut: DataFrame, least: int) -> np.ndarray:
     """The map of the whole terms that no level has discarded."""
     spark = cut.sparkSession
-    rows = cut.select("lang", "vocabulary", "doc", "term")
+    rows, width = cut.select("lang", "vocabulary", "doc", "term"), BITS // _slices(cut)
+
+    def living_of(table: pa.Table) -> pa.Table:
+        """A slice's maps of the prefixes and of the whole terms in enough documents."""
+        of, docs = (np.concatenate([np.frombuffer(x, np.int64) for x in table[c].to_pylist()]) for c in ("of", "docs"))
+        of, docs = _summed([(of.view(np.uint64), docs)])
+        out = []
+        for odd in (0, 1):
+            flags = np.zeros(width, np.uint8)
+            flags[bit(of[(docs >= least) & (of & np.uint64(1) == odd)]) % width] = 1
+            out.append(pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()))
+        return pa.table([table["slice"].combine_chunks()[:1], *out], names=["slice", "prefixes", "terms"])
+
     kept, living, length, before = np.zeros(BITS // 8, np.uint8), None, FIRST, None
     while True:
-        counted = rows.mapInArrow(_level(length, before, living), "h long, whole boolean, docs long").groupBy("h", "whole").agg(F.sum("docs").alias("docs"))
-        survivors = materialize(counted.where(F.col("docs") >= least).select("h", "whole"), "living-prefixes")
-        kept |= bitmap(survivors.where("whole"))
-        prefixes = survivors.where(~F.col("whole"))
-        if not prefixes.limit(1).count():
+        counted = rows.mapInArrow(_level(length, before, living, width), "slice int, of binary, docs binary")
+        parts = counted.groupBy("slice").applyInArrow(living_of, "slice int, prefixes binary, terms binary").collect()
+        prefixes = np.zeros(BITS // 8, np.uint8)
+        for r in parts:
+            own = slice(r["slice"] * width // 8, (r["slice"] + 1) * width // 8)
+            prefixes[own] = np.frombuffer(r["prefixes"], np.uint8)
+            kept[own] |= np.frombuffer(r["terms"], np.uint8)
+        if not prefixes.any():
             return kept
-        living, before, length = spark.sparkContext.broadcast(bitmap(prefixes)), length, 2 * length
+        living, before, length = spark.sparkContext.broadcast(prefixes), length, 2 * length
+
+
+def _slices(cut: DataFrame) -> int:
+    """A power of two of slices, by the number of terms of documents."""
+    size = (cut.agg(F.sum(F.length("doc"))).first()[0] or 0) // 4
+    return min(MOST_SLICES, max(LEAST_SLICES, 1 << (size // OF_SLICE).bit_length()))
 
 
 def kept_terms(cut: DataFrame, least: int = 3) -> DataFrame:
     """(lang, term, sources: array of (source, n)) for the terms in at least ``least`` documents of a language, n in all of a source."""
     kept = cut.sparkSession.sparkContext.broadcast(refine(cut, least))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, sources, source, vocabulary, doc, term, n in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                words = vocabulary.split()
-                living = lives(kept.value, hashes(lang, words, None))
-                source, doc, term, n = (np.frombuffer(x, np.int32) for x in (source, doc, term, n))
-                own = living[term]
-                key, at = np.unique(term[own].astype(np.int64) * len(sources) + source[doc[own]], return_inverse=True)
-                docs, total = np.bincount(at, minlength=len(key)), np.bincount(at, n[own], len(key)).astype(np.int64)
-                names = pa.array(sources, pa.string())
-                of = pa.array(words, pa.binary()).cast(pa.string())
-                for part in (slice(k, k + (1 << 16)) for k in range(0, len(key), 1 << 16)):
-                    term_at, source_at = np.divmod(key[part], len(sources))
-                    columns = [pa.array([lang] * len(term_at)), names.take(pa.array(source_at)), of.take(pa.array(term_at)), pa.array(docs[part]), pa.array(total[part])]
-                    yield pa.record_batch(columns, names=["lang", "source", "term", "docs", "n"])
-
-    each = cut.mapInArrow(run, "lang string, source string, term string, docs long, n long")
-    each = each.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    out = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("sources"))
-    return out.where(F.col("docs") >= least).select("lang", "term", "sources")
+    width = BITS // _slices(cut)
+    columns = ["lang", "term", "source", "docs", "n"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            lang, sources, source, vocabulary, doc, term, n = (batch.column(k)[0].as_py() for k in range(7))
+            words = vocabulary.split()
+            of = hashes(lang, words, None)
+            source, doc, term, n = (np.frombuffer(x, np.int32) for x in (source, doc, term, n))
+            own = lives(kept.value, of)[term]
+            key, at = np.unique(term[own].astype(np.int64) * len(sources) + source[doc[own]], return_inverse=True)
+            docs, total = np.bincount(at, minlength=len(key)), np.bincount(at, n[own], len(key)).astype(np.int64)
+            term_at, source_at = np.divmod(key, max(len(sources), 1))
+            rows = []
+            for k, places in sliced(bit(of[term_at]) // width):
+                names = b" ".join(words[t] for t in term_at[places])
+                rows.append((lang, sources, k, names, source_at[places].astype(np.int32).tobytes(), docs[places].tobytes(), total[places].tobytes()))
+            if rows:
+                kinds = (pa.string(), pa.list_(pa.string()), pa.int32(), *[pa.binary()] * 4)
+                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "sources", "slice", "terms", "source", "docs", "n"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        """A slice's terms with the sums of their sources, by the terms themselves."""
+        parts = []
+        for r in table.to_pylist():
+            words = pa.array(r["terms"].split(), pa.binary()).cast(pa.string())
+            source = pa.array(r["sources"], pa.string()).take(pa.array(np.frombuffer(r["source"], np.int32)))
+            parts.append(pa.table([pa.array([r["lang"]] * len(words), pa.string()), words, source, *(pa.array(np.frombuffer(r[c], np.int64)) for c in ("docs", "n"))], names=columns))
+        all_ = pa.concat_tables(parts).group_by(columns[:3]).aggregate([("docs", "sum"), ("n", "sum")])
+        all_ = all_.sort_by([(c, "ascending") for c in columns[:3]]).combine_chunks()
+        fresh = np.ones(len(all_), bool)
+        for c in columns[:2] if len(all_) > 1 else ():
+            same = pc.equal(all_[c][1:], all_[c][:-1]).to_numpy(zero_copy_only=False)
+            fresh[1:] = same == 0 if c == "lang" else fresh[1:] | (same == 0)
+        first = np.flatnonzero(fresh)
+        frequent = np.add.reduceat(all_["docs_sum"].to_numpy(), first) >= least
+        all_ = all_.filter(pa.array(np.repeat(frequent, np.diff([*first, len(all_)]))))
+        sizes = np.diff([*first, len(fresh)])[frequent]
+        ends = np.cumsum(sizes)
+        starts = pa.array(ends - sizes)
+        struct = pa.StructArray.from_arrays([all_["source"].combine_chunks(), all_["n_sum"].combine_chunks()], ["source", "n"])
+        return pa.table([all_["lang"].take(starts), all_["term"].take(starts), pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), struct)], names=["lang", "term", "sources"])
+
+    dealt = cut.mapInArrow(gather, "lang string, sources array<string>, slice int, terms binary, source binary, docs binary, n binary")
+    return dealt.groupBy("slice").applyInArrow(merge, "lang string, term string, sources array<struct<source:string,n:bigint>>")
 
 
 def shares(n: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -209,7 +258,7 @@ def divergence(docs: DataFrame, least: int = 3, ranks: int = 200) -> DataFrame:
     sources of a language, so what is gathered for each source is smaller than it.
     """
     spark = docs.sparkSession
-    cut = materialize(chunks(docs), "term-chunks")
+    cut = materialize(chunks(docs), "term-chunks", IN_FILE)
     kept = materialize(kept_terms(cut, least), "kept-terms")
     used = kept.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("n"))
     size = kept.groupBy("lang").agg(F.count("*").alias("v"))
