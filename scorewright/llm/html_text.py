@@ -8,9 +8,11 @@ whatever the number of pages; pages that are equal count once. A class is valid
 and valid classes nest as the paths of their tokens do. Those that a page holds once are the frame;
 what stands in a token of the frame and in none below it is that token's slot.
 
-The main text is in the slots of one token, found by going down the nesting from the root: to the
-token below in which most of the text is that is neither a link nor the same on most pages, as long as
-no headings are left outside. Slots below it that are mostly links or the same on most pages go. Marks
+The classes tell the template's texts: a text in one class with an element around it belongs to that
+element on every page. The main text is in the slots of one token, found by going down the nesting from
+the root: to the token below in which most of the text is that is neither a link nor the template's, as
+long as no headings are left outside. Slots below it that hold just the template's texts, or are mostly
+links or the same on most pages, go; what an element of running text holds in a slot that stays, stays. Marks
 (element names, and names that say what an element is) take part as well: what an element marks as
 menu, footer, advert and the like is no text of the template's slots; and a host of too few pages, or a
 page that lacks the token, has only its marks.
@@ -34,11 +36,13 @@ from .common import materialize, small_batches, texts_of
 
 #: Elements by what they are to the main text (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video map select option datalist button input textarea label fieldset form nav footer aside dialog menu".split())
+SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video map select option datalist button input textarea label fieldset nav footer aside dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY_BLOCKS = "p"
 MAIN = frozenset(("article", "main"))
+#: A form is left out unless it holds an article, a title of the page or this share of the page's text.
+FORM, TITLE, WHOLE = "form", "h1", 0.9
 #: Words that mark what isn't the article, and words that may go with them in a class, id or role (fixed values).
 CHROME = frozenset(
     """ad ads adsbygoogle advert adverts advertisement advertisements advertising alert alertdialog banner breadcrumb breadcrumbs captcha comment comments commentlist complementary consent
@@ -78,10 +82,11 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 class Element:
     """An element, whose path is a hash of the names, ids and first classes from the root; digits in them count alike."""
 
-    __slots__ = ("above", "chars", "chrome", "heading", "links", "main", "name", "path", "print")
+    __slots__ = ("above", "chars", "chrome", "form", "heading", "links", "main", "name", "path", "print")
 
     def __init__(self, above: Element | None, path: int, name: str, chrome: bool, main: bool) -> None:
         self.above, self.path, self.name, self.chrome, self.main = above, path, name, chrome, main
+        self.form = self if name == FORM else above and above.form
         self.chars = self.links = self.print = 0
         self.heading = name in HEADINGS and not chrome
 
@@ -224,7 +229,24 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if len(stack) < DEEPEST:
             stack.append((name, of, inline, link or name == "a"))
             opened[name] += 1
-    return elements, blocks
+    return elements, _without_forms(elements, blocks)
+
+
+def _without_forms(elements: list[Element], blocks: list[Block]) -> list[Block]:
+    """The blocks that aren't in a form; a form around the page's text is none, and its elements stay."""
+    own = {e for e in elements if e.form is not None and not e.form.main and not e.chrome and (e.name == TITLE or e.main)}
+    forms = dict.fromkeys((e.form for e in elements if e.form is not None), 0)
+    if not forms:
+        return blocks
+    for b in blocks:
+        if b.of.form is not None:
+            forms[b.of.form] += sum(map(len, b.text))
+    total, kept = sum(len(t) for b in blocks for t in b.text), {e.form for e in own}
+    kept |= {f for f, chars in forms.items() if chars >= WHOLE * total}
+    for e in elements:
+        if e.form is not None and e.form not in kept:
+            e.chrome, e.heading = True, False
+    return [b for b in blocks if b.of.form is None or b.of.form in kept]
 
 
 def _text(raw: list[str]) -> str:
@@ -341,26 +363,61 @@ def nested(valid: list[dict]) -> dict[int, list[dict]]:
     return out
 
 
-def dull(t: dict) -> bool:
-    """Whether a token's slots are mostly links or the same on most pages; elements that hold text themselves or headings never are."""
+def shared_texts(rows: list[dict]) -> list[dict]:
+    """The texts of the template: those in an equivalence class that also holds an element around them.
+
+    Such a text stands on just the pages, and as often on each, as that element does; one that comes and goes
+    within its element is the pages' own, on however many of them it is.
+    """
+    above = {t["path"]: t["above"] for t in rows if t["text"] is None}
+    classes = {t["path"]: t["class"] for t in rows if t["text"] is None}
+
+    def around(path: int | None) -> Iterator[int]:
+        while path in above:
+            yield classes[path]
+            path = above[path]
+
+    return [t for t in rows if t["text"] is not None and t["class"] in around(t["path"])]
+
+
+def fixed_chars(rows: list[dict], shared: list[dict]) -> dict[int, int]:
+    """By path, the characters of the template's texts in an element and all that it holds."""
+    above, out = {t["path"]: t["above"] for t in rows if t["text"] is None}, {}
+    for t in shared:
+        path = t["path"]
+        while path in above:
+            out[path] = out.get(path, 0) + t["chars"]
+            path = above[path]
+    return out
+
+
+def dull(t: dict, fixed: dict[int, int]) -> bool:
+    """Whether a token's slots hold just the template's texts, are mostly links or the same on most pages.
+
+    Elements that hold text themselves never are; those with headings only if all in them is the template's.
+    """
+    if t["name"] in TEXT_ELEMENTS:
+        return False
+    whole = t["chars"] > 0 and fixed.get(t["path"], 0) >= WHOLE * t["chars"]
     same = t["same"] >= SUPPORT * t["pages"] and t["chars"] > 0
-    return t["name"] not in TEXT_ELEMENTS and not t["heading"] and (same or t["links"] > LINKS * t["chars"])
+    return whole or not t["heading"] and (same or t["links"] > LINKS * t["chars"])
 
 
-def slots(valid: list[dict], frame: dict[int, list[dict]]) -> dict[int, int]:
+def slots(valid: list[dict], frame: dict[int, list[dict]], fixed: dict[int, int]) -> dict[int, int]:
     """Characters of own text in a token's slots and in those nested in it, without what dull ones hold."""
     of, own = {t["path"]: t for t in valid}, {}
     for path in reversed([*frame]):  # a token comes after the one that it stands in
         t = of[path]
-        own[path] = 0 if dull(t) else t["chars"] - t["links"] - sum(x["chars"] - x["links"] - own[x["path"]] for x in frame[path])
+        own[path] = 0 if dull(t, fixed) else t["chars"] - t["links"] - sum(x["chars"] - x["links"] - own[x["path"]] for x in frame[path])
     return own
 
 
 def template(rows: list[dict]) -> Template:
     """The template of a host, from the tokens of its valid classes."""
     valid = [t for t in rows if t["text"] is None]
-    frame = nested(valid)
-    own = slots(valid, frame)
+    frame, shared = nested(valid), shared_texts(rows)
+    fixed = fixed_chars(rows, shared)
+    own = slots(valid, frame, fixed)
     at = next(t for t in valid if t["above"] is None)
     while below := frame.get(at["path"]):
         best = next((t for t in below if t["main"]), max(below, key=lambda t: own[t["path"]]))
@@ -371,17 +428,18 @@ def template(rows: list[dict]) -> Template:
     out, todo = set(), [*frame.get(at["path"], ())]
     while todo:
         t = todo.pop()
-        if dull(t):
+        if dull(t, fixed):
             out.add(t["path"])
         else:
             todo += frame.get(t["path"], ())
-    texts = ((t["path"], t["text"]) for t in rows if t["text"] is not None)
+    holds_text = {t["path"] for t in valid if t["name"] in TEXT_ELEMENTS}
+    texts = ((t["path"], t["text"]) for t in shared if t["path"] not in holds_text)
     return Template(at["path"], frozenset(out), frozenset(texts))
 
 
 def templates(valid: DataFrame) -> DataFrame:
     """(host, main: long, out: array<long>, texts: array of path, print) from ``classes``; a host's valid tokens are at most twice those of its longest page."""
-    each = valid.groupBy("host").agg(F.collect_list(F.struct("path", "above", "name", "text", "pages", "host_pages", "once", "chars", "links", "same", "heading", "main")).alias("rows"))
+    each = valid.groupBy("host").agg(F.collect_list(F.struct("path", "above", "name", "text", "class", "pages", "host_pages", "once", "chars", "links", "same", "heading", "main")).alias("rows"))
     pair = pa.list_(pa.struct([("path", pa.int64()), ("print", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

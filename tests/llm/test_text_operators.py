@@ -508,6 +508,54 @@ def test_templates_reach_into_the_article(spark):
     assert few[1, "http://b.example/1"] == f"H 1\n\nMore of it and this\n\n{words[1]}\n\nTell your friends today\n\nRead on."
 
 
+def test_repeated_headings_and_paragraphs_stay_without_marks(spark):
+    names = "Soup Bread Cake Pie Salad Stew Roast".split()
+    draw = random.Random(3)
+    food = "flour water salt eggs milk onions leeks beans rice oats plums pears".split()
+    menu = '<div class="q"><div>Home</div><div>All recipes</div><div>About</div></div>'
+    side = '<div class="s"><h3>Our book</h3><p>Buy the book of all our recipes.</p></div>'
+    page = "<html><body>{menu}<div class='w'><div class='t'><h1>{name}</h1><h2>Ingredients</h2><ul>{items}</ul><h2>Method</h2><p>{how}</p><p>Serve warm.</p></div>{side}</div><div class='v'>All rights reserved</div></body></html>"
+    made, want = [], {}
+    for k, name in enumerate(names):
+        items, how = draw.sample(food, 3 + k % 3), " ".join(draw.choices(food, k=12)) + "."
+        made.append((k, f"http://r.example/{k}", page.format(menu=menu, side=side, name=name, items="".join(f"<li>{x}</li>" for x in items), how=how)))
+        want[k, f"http://r.example/{k}"] = "\n\n".join([name, "Ingredients", *items, "Method", how, "Serve warm."])
+    assert extracted(spark, made) == want
+
+
+def test_the_templates_texts_share_a_class_with_an_element_around_them(spark):
+    draw, made, truth = random.Random(5), [], {}
+    for k in range(24):
+        banner = "<div class='b'>Open today<p>Come in</p></div>" if k % 4 else ""
+        tip = "<div class='c'>Tip of the day</div>" if k % 3 else "<div class='c'>Own tip {k}</div>"
+        made.append((k, "http://t.example/", f"<body><div class='a'>Name of the site</div>{banner}{tip}<div class='m'><p>{draw.random()} {k}</p></div></body>"))
+    vectors, elements = {}, {}
+    for _, _, page in made:
+        for path, above, name, text, n, *_ in html_text.tokens(page):
+            vectors.setdefault((path, text), {})[page] = n
+            if text is None:
+                elements[path] = above, name
+    rows = [r.asDict() for r in html_text.classes(on_pages(spark, made)).collect()]
+    got = {(t["path"], t["text"]) for t in html_text.shared_texts(rows)}
+    for (path, text), vector in vectors.items():
+        if text is not None and (path, text) in {(r["path"], r["text"]) for r in rows}:
+            around, at = [], path
+            while at is not None:
+                around.append(vectors[at, None])
+                at = elements[at][0]
+            truth[path, text] = vector in around
+    assert got == {k for k, v in truth.items() if v} and 0 < len(got) < len(truth)
+
+
+def test_forms_around_the_page(spark):
+    article = "<div><h1>Title</h1><p>Some words of it.</p></div>"
+    assert html_text.main_text(f"<body><form action='x'>{article}<input value='v'><label>Name</label></form></body>") == "Title\n\nSome words of it."
+    assert html_text.main_text(f"<body>{article}<form><p>Log in to comment</p><button>Go</button></form></body>") == "Title\n\nSome words of it."
+    assert html_text.main_text("<body><form><div>Only text</div><textarea>t</textarea></form></body>") == "Only text"
+    assert html_text.main_text("<body><form><article><p>A</p></article></form><p>Much more text outside of it than in it.</p></body>") == "A"
+    assert html_text.main_text("<form><form><p>x") == "x"
+
+
 def test_near_copies_keep_their_text(spark):
     body = "".join(f"<p>The {k} paragraph of an article that was copied.</p>" for k in range(6))
     pages = [(k, f"http://c.example/{k}", f"<body><div><h1>A title</h1>{body}<p>Copy {k}.</p></div></body>") for k in range(10)]
