@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.distance import spread, with_error_rates
 from ..functions.text import cut_loop, strip
@@ -11,16 +15,20 @@ from ..functions.text import cut_loop, strip
 SEGMENTS = "array<struct<Start:double,End:double,Speaker:int,Content:string>>"
 ANSWER = "struct<text:string,transcript:string,result:array<struct<result_index:double,transcript_formatted:string,transcript:string>>>"
 OBJECT = "struct<Speaker:int,Content:string>"
-#: What a line of a plain answer may begin with: its times in brackets, and a numbered speaker.
-LINE_HEAD = r"\[[0-9:.\s-]+\]|(?i:speaker)[_\s]?[0-9]+:\s*"
+#: A span of times and a numbered speaker, wherever they stand in a line (fixed values).
+TIMES, SPOKEN_BY = r"\[\d{2}:\d{2}\.\d{2}\s*-\s*\d{2}:\d{2}\.\d{2}\]", r"(?i)speaker[_\s]?\d+:\s*"
+#: A JSON string, an object without objects in it, and one that is cut off within a string.
+STRING = r'"(?:[^"\\]|\\.)*+"'
+CLOSED = rf'\{{(?:[^{{}}"]|{STRING})*+\}}'
+CUT_OFF = rf'\{{(?:[^{{}}"]|{STRING})*+"(?:[^"\\]|\\.)*+$'
 
 
 def objects(raw: Column, closed: bool) -> Column:
     """The flat JSON objects of a broken answer, each parsed on its own: the closed ones, or one that is cut off within a string, closed here."""
     if closed:
-        parsed = F.transform(F.regexp_extract_all(raw, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.from_json(x, OBJECT))
+        parsed = F.transform(F.regexp_extract_all(raw, F.lit(f"(?s){CLOSED}"), F.lit(0)), lambda x: F.from_json(x, OBJECT))
     else:
-        parsed = F.array(F.from_json(F.concat(F.regexp_extract(raw, r"\{[^{}]*$", 0), F.lit('"}')), OBJECT))
+        parsed = F.array(F.from_json(F.concat(F.regexp_extract(raw, f"(?s){CUT_OFF}", 0), F.lit('"}')), OBJECT))
     return F.filter(parsed, lambda x: x["Content"].isNotNull())
 
 
@@ -29,7 +37,7 @@ def plain_text(raw: Column) -> Column:
     raw = F.coalesce(raw, F.lit(""))
     contents = F.transform(objects(raw, closed=True), lambda x: x["Content"])
     cut_off = strip(F.coalesce(F.try_element_at(objects(raw, closed=False), F.lit(1))["Content"], F.lit("")))
-    lines = F.transform(F.split(strip(raw), "\n"), lambda x: strip(F.regexp_replace(x, LINE_HEAD, "")))
+    lines = F.transform(F.split(strip(raw), "\n"), lambda x: strip(F.regexp_replace(F.regexp_replace(x, TIMES, ""), SPOKEN_BY, "")))
     return F.when(F.size(contents) > 0, cut_loop(F.array_join(contents, " "))).when(cut_off != "", cut_loop(cut_off)).otherwise(F.array_join(F.filter(lines, lambda x: x != ""), " "))
 
 
@@ -77,3 +85,39 @@ def best_candidates(candidates: DataFrame, references: DataFrame, keys: tuple[st
     best = scored.groupBy(*keys).agg(F.min_by(F.struct("text", "speaker", "wer"), F.struct("wer", "ordinal")).alias("best"))
     all_ = candidates.select(*keys).distinct().join(best, [*keys], "left")
     return all_.select(*keys, F.coalesce("best.text", F.lit("")).alias("text"), F.coalesce("best.speaker", F.lit(0)).alias("speaker"), F.col("best.wer").alias("wer"))
+
+
+def speaker_choice(answers: DataFrame, samples: DataFrame) -> DataFrame:
+    """(model, dataset, idx, hypothesis, raw_hypothesis, selected_speaker, all_speakers): of each answer the speaker who fits a reference best.
+
+    ``answers`` has model, dataset, idx and raw, ``samples`` has dataset, idx and references. A speaker's score
+    is the least word error rate over the references with text; the first of equals wins. ``all_speakers`` has
+    for each speaker, by number, the text and the rates against every reference: map<string, struct<text,
+    rates: map<string, struct<wer, cer>>>>. An answer none of whose speakers has a rate has an empty
+    hypothesis and speaker 0, but its speakers' texts are kept. Answers to no sample are left out.
+    """
+    keys = ("model", "dataset", "idx")
+    said = speaker_texts(answers.select(*keys, "raw"), "raw", keys).select(*keys, "ordinal", F.coalesce("speaker", F.lit(0)).alias("speaker"), "text")
+    references = samples.select("dataset", "idx", F.explode(F.map_filter("references", lambda _, t: F.coalesce(t, F.lit("")) != "")).alias("ref_name", "reference"))
+    pairs = spread(said.join(references, ["dataset", "idx"]), *keys, "ordinal")
+    scored = with_error_rates(pairs, "text", "reference")
+    rates = F.sort_array(F.collect_list(F.struct("ref_name", F.struct("wer", "cer").alias("rates"))))
+    each = scored.groupBy(*keys, "ordinal").agg(rates.alias("rates"), F.min("wer").alias("score"))
+    all_ = said.join(samples.select("dataset", "idx"), ["dataset", "idx"], "left_semi").join(each, [*keys, "ordinal"], "left")
+    none = F.array().cast("array<struct<ref_name:string,rates:struct<wer:double,cer:double>>>")
+    entry = F.struct("ordinal", F.col("speaker").cast("string").alias("speaker"), "text", F.coalesce("rates", none).alias("rates"))
+    place = F.when(F.col("score").isNotNull(), F.struct("score", "ordinal"))
+    chosen = all_.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.min_by(F.struct("text", "speaker"), place).alias("best"))
+    own = F.map_from_entries(F.transform("entries", lambda x: F.struct(x["speaker"], F.struct(x["text"].alias("text"), F.map_from_entries(x["rates"]).alias("rates")))))
+    out = chosen.join(answers.select(*keys, F.col("raw").alias("raw_hypothesis")), [*keys])
+    return out.select(*keys, F.coalesce("best.text", F.lit("")).alias("hypothesis"), "raw_hypothesis", F.coalesce("best.speaker", F.lit(0)).alias("selected_speaker"), own.alias("all_speakers"))
+
+
+@F.pandas_udf(StringType())
+def override_extra(selected: pd.Series, all_speakers: pd.Series) -> pd.Series:
+    """What a sample of a result file keeps of its speakers, as JSON: the one chosen, and for each the text and every reference's rates."""
+
+    def entry(said: dict) -> dict:
+        return {"text": said["text"]} | {f"{ref}_{kind}": rates[kind] for ref, rates in dict(said["rates"]).items() for kind in ("wer", "cer")}
+
+    return pd.Series([json.dumps({"selected_speaker": None if pd.isna(s) else int(s), "all_speakers": {k: entry(v) for k, v in dict(own).items()}}, ensure_ascii=False) for s, own in zip(selected, all_speakers, strict=True)])

@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -16,6 +18,12 @@ from pyspark.sql import functions as F
 ANSWERS = "model string, dataset string, idx long, batch long, hypothesis string, error string, audio_s double, batch_infer_s double"
 
 
+#: Sends a body, or asks for a page where there is none; the answer's status and content.
+Send = Callable[[str, bytes | None], tuple[int, bytes]]
+#: States of an answer after which a request is sent again: too many requests, and what passes in a server or before it.
+RETRIED = (429, 500, 502, 503, 504)
+
+
 class Transcriber(Protocol):
     """Answers for a batch of audio paths, as many and in their order."""
 
@@ -55,42 +63,99 @@ class OneByOne:
             return ""
 
 
+class Busy(OSError):
+    """A server's answer that it can't take a request now."""
+
+
 class Server:
-    """A remote transcriber: posts the audio, base64-coded, and reads the answer; a failure gives an empty one."""
+    """A remote transcriber: posts recordings and hands on the texts of its answers in the recordings' order.
 
-    def __init__(self, url: str, language: str, send: Callable[[str, bytes], tuple[int, bytes]] | None = None, load: Callable[[str], bytes] | None = None) -> None:
-        self.url, self.language, self.send, self.load = url, language, send or _post, load or _bytes
+    At most ``window`` requests are under way at once. A server is first asked for its status until it
+    runs. A request that fails, or that the server is too busy for, is sent again after a wait that grows
+    each time; one that fails ``tries`` times, or is refused for another reason, and a recording that can't be
+    read give an empty text, and the others of the batch theirs.
+    """
+
+    def __init__(self, url: str, language: str, model: str = "large-v3", batch_size: int = 1, vad: bool = True, sample_rate: int = 16_000, window: int = 4, tries: int = 4, wait: float = 1.0, send: Send | None = None, load: Callable[[str], bytes] | None = None) -> None:
+        self.url, self.window, self.tries, self.wait = url.rstrip("/"), window, tries, wait
+        self.body = {"model": model, "language": language, "batch_size": batch_size, "vad": vad, "sample_rate": sample_rate}
+        self.send, self.load, self.is_ready = send or _send, load or _bytes, False
 
     def transcribe_batch(self, paths: Sequence[str]) -> list[str]:
-        return [self._one(p) for p in paths]
+        if not self.is_ready and not self.ready():
+            return [""] * len(paths)
+        with ThreadPoolExecutor(self.window) as pool:
+            return [*pool.map(self._one, paths)]
 
     def _one(self, path: str) -> str:
-        body = json.dumps({"audio": base64.b64encode(self.load(path)).decode(), "language": self.language}).encode()
         try:
-            status, answer = self.send(self.url, body)
-        except OSError:
+            body = json.dumps({"file": base64.b64encode(self.load(path)).decode(), **self.body}).encode()
+        except (OSError, ValueError):
             return ""
-        return answer.decode("utf-8", "replace") if status == 200 else ""
+        for k in range(self.tries):
+            if k:
+                time.sleep(self.wait * 2 ** (k - 1))
+            try:
+                status, answer = self.send(f"{self.url}/transcribe", body)
+                if status in RETRIED:
+                    raise Busy(status)
+                return server_text(json.loads(answer)) if status == 200 else ""
+            except OSError:
+                continue
+            except ValueError:
+                return ""
+        return ""
 
-    def ready(self, probe: Callable[[str], bool], wait: float = 5, most: float = 300) -> bool:
-        """Asks until the server is ready, at most for so many seconds."""
+    def status(self) -> str:
+        """What the server says of itself, in capitals; empty where it says nothing that can be read."""
+        try:
+            status, answer = self.send(f"{self.url}/info", None)
+            return str(json.loads(answer)["result"]["status"]).upper() if status == 200 else ""
+        except (OSError, ValueError, KeyError, TypeError):
+            return ""
+
+    def ready(self, most: float = 300, wait: float = 5) -> bool:
+        """Asks until the server runs, at most for so many seconds."""
         end = time.monotonic() + most
-        while not probe(self.url):
+        while self.status() != "RUNNING":
             if time.monotonic() + wait > end:
                 return False
             time.sleep(wait)
+        self.is_ready = True
         return True
 
 
+def server_text(answer: object) -> str:
+    """The text of a server's parsed answer: a string, its text or transcript, or those of its results by their index."""
+    if isinstance(answer, str):
+        return answer.strip()
+    if not isinstance(answer, dict):
+        return ""
+    if direct := answer.get("text") or answer.get("transcript"):
+        return str(direct).strip()
+    results = [x for x in answer.get("result") or [] if isinstance(x, dict)] if isinstance(answer.get("result"), list) else []
+    if all(isinstance(x.get("result_index", 0), int | float) for x in results):
+        results.sort(key=lambda x: x.get("result_index", 0))
+    parts = (str(x.get("transcript_formatted") or x.get("transcript") or "").strip() for x in results)
+    return " ".join(filter(None, parts))
+
+
 def _bytes(path: str) -> bytes:
-    with open(path, "rb") as file:
+    """A recording's bytes, from any place that pyarrow opens."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    with system.open_input_stream(place) as file:
         return file.read()
 
 
-def _post(url: str, body: bytes) -> tuple[int, bytes]:
-    request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
-    with urllib.request.urlopen(request, timeout=300) as answer:
-        return answer.status, answer.read()
+def _send(url: str, body: bytes | None) -> tuple[int, bytes]:
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json"} if body is not None else {})
+    try:
+        with urllib.request.urlopen(request, timeout=300) as answer:
+            return answer.status, answer.read()
+    except urllib.error.HTTPError as refusal:
+        return refusal.code, refusal.read()
 
 
 def coerced(answer: object) -> str:

@@ -136,6 +136,30 @@ TURNS = """turns AS (
 truth AS (SELECT dataset, idx, arg_min(r, name) FILTER (r <> '') AS reference FROM turns GROUP BY dataset, idx)"""
 
 
+OVERRIDE = """said AS (
+  SELECT conv_id, turn, regexp_replace(text, '["\\\\\\n]', ' ', 'g') AS text FROM conversations),
+refs AS (SELECT conv_id, CASE turn WHEN 2 THEN 'a' ELSE 'b' END AS ref_name, text AS reference FROM said WHERE turn IN (2, 3) AND text <> ''),
+speakers AS (SELECT c.conv_id, v.s AS speaker, coalesce(t.text, '') AS hypothesis FROM (SELECT DISTINCT conv_id FROM said) c CROSS JOIN (VALUES (0), (1)) v(s) LEFT JOIN said t ON t.conv_id = c.conv_id AND t.turn = v.s),
+own AS (SELECT p.conv_id, p.speaker, r.ref_name, p.hypothesis, r.reference FROM speakers p JOIN refs r USING (conv_id))"""
+RATED = """rated AS (SELECT o.conv_id, o.speaker, o.ref_name, CASE WHEN hypothesis = '' THEN 1.0 ELSE word_edits / nullif(word_n, 0) END AS wer FROM own o JOIN scored USING (conv_id, speaker, ref_name)),
+best AS (SELECT conv_id, coalesce(arg_min(speaker, (score, speaker)) FILTER (score IS NOT NULL), 0) AS selected FROM (SELECT conv_id, speaker, min(wer) AS score FROM rated GROUP BY ALL) GROUP BY conv_id)"""
+
+
+def language_sql() -> str:
+    """The languages' names from the same fixed tables, joined instead of mapped."""
+    from ..sources import matrix
+
+    names, codes = matrix.backends(), [*matrix.SPOKEN, "Xyz_Latn"]
+    spoken = ", ".join(f"('{c}', '{n}', '{two}')" for c, (n, two) in matrix.SPOKEN.items())
+    known = ", ".join([f"('{b}', '{c}', '{'lower' if b in ('whisper', 'crisperwhisper') else 'name'}')" for b, own in matrix.BY_NAME.items() for c in own] + [f"('{b}', '{c}', 'letters')" for b, own in matrix.BY_LETTERS.items() for c in own])
+    return f"""WITH spoken(code, name, two) AS (VALUES {spoken}), known(backend, code, way) AS (VALUES {known}),
+asked AS (SELECT p_partkey, {names}[p_partkey % {len(names)} + 1] AS backend, {codes}[p_partkey // {len(names)} % {len(codes)} + 1] AS code FROM part)
+SELECT p_partkey, backend, code, CASE way WHEN 'lower' THEN lower(name) WHEN 'name' THEN name WHEN 'letters' THEN two ELSE
+  CASE WHEN backend IN ('whisper', 'crisperwhisper') THEN 'german' WHEN backend IN ('granite', 'phi-4', 'gemma') THEN 'English' WHEN backend = 'voxtral' THEN 'en' WHEN backend = 'cohere' THEN 'de'
+  WHEN backend = 'canary-1b' THEN lower(left(code, 2)) WHEN backend = 'http' THEN lower(string_split(code, '_')[1]) END END AS language
+FROM asked LEFT JOIN known USING (backend, code) LEFT JOIN spoken USING (code)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "cer_pairs": f"""WITH {PAIRS}, bare AS (SELECT idx, hypothesis, reference, {norm("hypothesis")} AS h, {norm("reference")} AS r FROM pairs),
@@ -207,6 +231,19 @@ SELECT speaker, k, min(start) AS start, arg_max("end", n) AS "end" FROM walk GRO
         "drilldown": f"WITH {TURNS} SELECT name, dataset, idx, CAST(length(text) AS INT) AS hyp_n, 'ort' AS ref_name, CAST(length(reference) AS INT) AS ref_n, round_even(length(text) / 7000, 4) AS wer FROM turns JOIN truth USING (dataset, idx)",
         "reference_order": "SELECT dataset, ref_name, min(idx) AS idx, CAST(arg_min(pos, idx) AS INT) AS pos FROM (SELECT role AS dataset, conv_id * 1000 + turn AS idx, unnest(CASE WHEN turn % 2 = 0 THEN ['b', 'a'] ELSE ['c'] END) AS ref_name, unnest(CASE WHEN turn % 2 = 0 THEN [0, 1] ELSE [0] END) AS pos FROM conversations) GROUP BY dataset, ref_name",
         "run_primary": "SELECT role AS dataset, arg_min(CASE (conv_id * 1000 + turn) % 3 WHEN 1 THEN 'dialect' ELSE 'ort' END, conv_id * 1000 + turn) FILTER ((conv_id * 1000 + turn) % 3 <> 0) AS primary_reference FROM conversations GROUP BY role",
+        "speaker_override": f"WITH RECURSIVE {OVERRIDE}, {edits('own', 'conv_id', 'speaker', 'ref_name')}, {RATED} SELECT conv_id, CAST(selected AS BIGINT) AS selected_speaker, CAST(speaker AS BIGINT) AS speaker, ref_name, round(wer, 6) AS wer FROM rated JOIN best USING (conv_id)",
+        "override_rates": f"""WITH RECURSIVE {OVERRIDE.replace("IN (2, 3)", "= 2")}, {edits('own', 'conv_id', 'speaker', 'ref_name')}, {RATED}
+SELECT 'm' AS model, 'd' AS dataset, ref_name, CAST(sum(CASE WHEN word_n > 0 THEN word_edits ELSE 0 END) AS BIGINT) AS word_edits, CAST(sum(word_n) AS BIGINT) AS word_n, count(*) FILTER (word_n > 0) AS num_samples
+FROM scored JOIN best USING (conv_id) WHERE speaker = selected GROUP BY ref_name""",
+        "result_file_runs": "SELECT role || '__d' || (conv_id % 3) || '.json' AS file, role AS model, 'd' || (conv_id % 3) AS dataset, count(*) AS num_samples, count(*) AS samples, 'ort' AS primary_reference, round(avg(length(text) / 7000), 6) AS wer FROM conversations GROUP BY ALL",
+        "result_file_samples": "SELECT role || '__d' || (conv_id % 3) || '.json' AS file, conv_id * 1000 + turn AS idx, CAST(length(text) AS INT) AS hyp_n, CAST(length(substr(text, 1, 9)) AS INT) AS ref_n, round(length(text) / 7000, 6) AS wer FROM conversations",
+        "migrated_files": "WITH f AS (SELECT role || '-d' || (conv_id % 3) || '.json' AS file, role AS model, CAST(2 AS INT) AS schema_version, 'ort' AS primary_reference, count(*) AS num_samples, CAST(count(*) AS INT) AS n, round(avg(length(text) / 7000), 6) AS wer FROM conversations GROUP BY ALL) SELECT *, CAST(count(*) OVER () AS INT) AS migrated, CAST(0 AS INT) AS failed FROM f",
+        "manifest_samples": f"SELECT '/root/' || doc_id || '.wav' AS audio_path, t AS text, round(doc_id / 4, 6) AS duration, 'ref' AS primary_reference FROM (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 50), '^{SPACE}+', ''), '{SPACE}+$', '') AS t FROM documents WHERE doc_id % 11 > 2) WHERE t <> ''",
+        "hypothesis_lines": rf"SELECT conv_id * 1000 + turn AS idx, regexp_replace(regexp_replace(CASE WHEN turn % 2 = 0 THEN ' ' || substr(text, 1, 20) || ' ' ELSE substr(text, 1, 9) END, '^{SPACE}+', ''), '{SPACE}+$', '') AS reference, CAST(length(regexp_replace(regexp_replace(text, '^{SPACE}+', ''), '{SPACE}+$', '')) AS INT) AS n, CAST(0 AS DOUBLE) AS duration FROM conversations",
+        "language_names": language_sql(),
+        "utterance_shards": f"WITH {TURNS} SELECT dataset, min(idx) AS first, max(idx) AS last, count(DISTINCT idx) AS n FROM turns GROUP BY dataset, idx // 2",
+        "utterances": f"WITH {TURNS} SELECT dataset, idx // 2 AS shard, idx, name, CAST(length(text) AS INT) AS hyp_n, CAST(length(reference) AS INT) AS ref_n, round_even(length(text) / 7000, 4) AS wer FROM turns JOIN truth USING (dataset, idx)",
+        "board_by_state": "WITH cells AS (SELECT role AS model, 'd' || (conv_id % 3) AS dataset, avg(length(text) / 7000) AS wer, avg(length(text) / 9000) AS cer, count(*) AS n FROM conversations GROUP BY ALL), a AS (SELECT model, avg(wer) AS w, avg(cer) AS c, avg(n) AS s FROM cells GROUP BY model) SELECT CAST(row_number() OVER (ORDER BY w, model) AS INT) AS rank, model, round(w, 6) AS average_wer, round(c, 6) AS average_cer, round(s, 6) AS rtfx FROM a",
         "speaker_segments": """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS speaker, CAST(length(CASE WHEN turn % 3 = 2 THEN trim(regexp_replace(text, '["\\\\\\n]', ' ', 'g'), ' ') ELSE regexp_replace(text, '["\\\\\\n]', ' ', 'g') END) AS INT) AS n FROM conversations""",
         "answer_text": """SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN trim(t, ' ') || ' end' ELSE t END AS text FROM (SELECT *, regexp_replace(text, '["\\\\\\n]', ' ', 'g') AS t FROM conversations)""",
     }

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import spread, with_error_rates
 from ..functions.text import clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, cut_loop, model_tag, normalize, words
 from ..operators import board, candidates, choice, grouping, scoring, segments, transcribe
 from ..operators.order import numbered
-from ..operators.tables import written
-from ..sources import corpus, manifest, matrix
+from ..operators.tables import shared_folder, written
+from ..sources import corpus, manifest, matrix, migration, render, result_stream, runs
+from ..streaming import board_state
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +64,8 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    runs = board.named(views.runs(spark, sf_dir))
-    return runs, board.latest(runs)
+    named = board.named(views.runs(spark, sf_dir))
+    return named, board.latest(named)
 
 
 def leaderboard_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +126,8 @@ def sample_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chart rows of runs that stand for event types, an event a sample."""
     rated = F.struct(F.col("value").alias("wer"), F.lit(None).cast("double").alias("cer"))
     samples = F.collect_list(F.struct(F.col("event_id").alias("index"), F.create_map(F.lit("ort"), rated).alias("metrics")))
-    runs = views.table(spark, sf_dir, "events").groupBy("event_type").agg(F.create_map(F.lit("ort"), F.struct(F.avg("value").alias("wer"))).alias("results"), samples.alias("per_sample"))
-    return board.chart_rows(runs.withColumnRenamed("event_type", "name")).select(F.col("name").alias("event_type"), F.round("ort", 6).alias("ort"), F.round("std", 6).alias("std"))
+    each = views.table(spark, sf_dir, "events").groupBy("event_type").agg(F.create_map(F.lit("ort"), F.struct(F.avg("value").alias("wer"))).alias("results"), samples.alias("per_sample"))
+    return board.chart_rows(each.withColumnRenamed("event_type", "name")).select(F.col("name").alias("event_type"), F.round("ort", 6).alias("ort"), F.round("std", 6).alias("std"))
 
 
 def worst_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +274,8 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of runs that stand for orders, the last for each customer and priority, with its first place and the customer's."""
-    runs = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("file"), F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("dataset"))
-    return board.latest(runs).select("name", "dataset", "file", "position", "ordinal")
+    orders = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("file"), F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("dataset"))
+    return board.latest(orders).select("name", "dataset", "file", "position", "ordinal")
 
 
 def reference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,11 +290,110 @@ def run_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.run_primary(rows, ("ort", "dialect"))
 
 
+def speaker_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two turns of a conversation as a diarised answer, held against the next two: all speakers' rates, and who is chosen."""
+    turns = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("turn", "text"))).alias("t"))
+
+    def said(k: int) -> Column:
+        return F.regexp_replace(F.coalesce(F.try_element_at("t", F.lit(k).cast("long")), F.lit("")), r'["\\\n]', " ")
+
+    raw = F.to_json(F.array(*(F.struct(F.lit(k).alias("Speaker"), said(k).alias("Content")) for k in (0, 1))))
+    keys = [F.lit("m").alias("model"), F.lit("d").alias("dataset"), F.col("conv_id").alias("idx")]
+    samples = turns.select(*keys[1:], F.create_map(F.lit("a"), said(2), F.lit("b"), said(3)).alias("references"))
+    out = candidates.speaker_choice(turns.select(*keys, raw.alias("raw")), samples)
+    each = out.select(F.col("idx").alias("conv_id"), "selected_speaker", F.explode("all_speakers").alias("speaker", "said"))
+    each = each.select("conv_id", "selected_speaker", "speaker", F.explode("said.rates").alias("ref_name", "r"))
+    return each.select("conv_id", F.col("selected_speaker").cast("long").alias("selected_speaker"), F.col("speaker").cast("long").alias("speaker"), "ref_name", F.round("r.wer", 6).alias("wer"))
+
+
+def override_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of the chosen speakers by the engine that scores every run."""
+    turns = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    said = [F.regexp_replace(F.coalesce(F.try_element_at("t", F.lit(k).cast("long")), F.lit("")), r'["\\\n]', " ") for k in range(3)]
+    raw = F.to_json(F.array(*(F.struct(F.lit(k).alias("Speaker"), said[k].alias("Content")) for k in (0, 1))))
+    samples = turns.select(F.lit("d").alias("dataset"), F.col("conv_id").alias("idx"), F.create_map(F.lit("a"), said[2]).alias("references"))
+    chosen = candidates.speaker_choice(turns.select(F.lit("m").alias("model"), F.lit("d").alias("dataset"), F.col("conv_id").alias("idx"), raw.alias("raw")), samples)
+    out = scoring.reference_metrics(scoring.sample_metrics(samples, chosen, rates=("wer",)))
+    return out.select("model", "dataset", "ref_name", "word_edits", "word_n", "num_samples")
+
+
+def result_file_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files written from the turns, read as runs without their samples."""
+    out = result_stream.runs_of_any_size(spark, views.result_folder(spark, sf_dir, "result-files"))
+    return out.select("file", "model", "dataset", "num_samples", "samples", "primary_reference", F.round(F.col("results")["ort"]["wer"], 6).alias("wer"))
+
+
+def result_file_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files written from the turns, read sample by sample."""
+    out = result_stream.samples_of_any_size(spark, views.result_folder(spark, sf_dir, "result-files"))
+    return out.select("file", F.col("sample.index").alias("idx"), F.length("sample.hypothesis").alias("hyp_n"), F.length(F.col("sample.references")["ort"]).alias("ref_n"), F.round(F.col("sample.metrics")["ort"]["wer"], 6).alias("wer"))
+
+
+def migrated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files of the older version, written from the turns, migrated in place and read again."""
+    folder = views.old_result_folder(spark, sf_dir)
+    counts = migration.migrate_in_place(spark, folder)
+    out = runs.read_runs(spark, folder)
+    return out.select("file", "model", "schema_version", "primary_reference", "num_samples", F.size("per_sample").alias("n"), F.round(F.col("results")["ort"]["wer"], 6).alias("wer"), F.lit(counts["migrated"]).alias("migrated"), F.lit(counts["failed"]).alias("failed"))
+
+
+def manifest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written from the documents, with blank, broken and incomplete lines, read as samples."""
+    folder = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    docs = views.table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct(F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_filepath"), F.concat(F.lit(" "), F.substring("text", 1, 50)).alias("text"), (F.col("doc_id") / 4).alias("duration")))
+    kind = F.col("doc_id") % 11
+    docs.select(F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("{"), line)).when(kind == 2, F.regexp_replace(line, "audio_filepath", "file")).otherwise(line).alias("value")).write.text(folder)
+    out = manifest.read_manifest(spark, folder, audio_root="/root")
+    return out.select("audio_path", F.col("transcript").alias("text"), F.round("duration", 6).alias("duration"), "primary_reference")
+
+
+def hypothesis_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers written from the turns as lines with an index, read back; references and answers without blanks at their ends."""
+    folder = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    turns = views.table(spark, sf_dir, "conversations")
+    own = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit(" ")))
+    turns.select(F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("index"), own.alias("ref"), F.substring("text", 1, 9).alias("text"), F.concat("text", F.lit("\t")).alias("hyp"))).alias("value")).write.text(folder)
+    out = manifest.read_hypotheses(spark, folder, "m", "d")
+    return out.select("idx", "reference", F.length("hypothesis").alias("n"), "duration")
+
+
+def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every back end's name for every language, and for codes that none knows, by the parts' numbers."""
+    backends, codes = matrix.backends(), [*matrix.SPOKEN, "Xyz_Latn"]
+    parts = views.table(spark, sf_dir, "part").select("p_partkey")
+    rows = parts.select("p_partkey", F.get(F.array(*map(F.lit, backends)), (F.col("p_partkey") % len(backends)).cast("int")).alias("backend"), F.get(F.array(*map(F.lit, codes)), (F.floor(F.col("p_partkey") / len(backends)) % len(codes)).cast("int")).alias("code"))
+    return rows.select("p_partkey", "backend", "code", matrix.language(F.col("backend"), F.col("code")).alias("language"))
+
+
+def utterance_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drill-down's files: conversations are datasets, two utterances a file."""
+    index = render.write_shards(_turn_runs(spark, sf_dir), f"{shared_folder(spark)}/page-{uuid.uuid4().hex}", size=2)
+    return spark.createDataFrame([(x["dataset"], x["first"], x["last"], x["n"]) for x in index], "dataset string, first long, last long, n long")
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the drill-down's files for each utterance, read out of their JSON."""
+    rows = render.shard_rows(_turn_runs(spark, sf_dir), size=2)
+    truth = F.from_json("truth", "spk string, dur double, refs map<string,string>")
+    said = F.from_json("said", "map<string,struct<hyp:string,m:map<string,array<double>>>>")
+    each = rows.select("dataset", "shard", "idx", truth.alias("t"), F.explode(said).alias("name", "s"))
+    return each.select("dataset", "shard", "idx", "name", F.length("s.hyp").alias("hyp_n"), F.length(F.col("t.refs")["ort"]).alias("ref_n"), F.col("s.m")["ort"][0].alias("wer"))
+
+
+def board_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board of result files written from the turns, as the stream with state leaves it."""
+    folder, own = views.result_folder(spark, sf_dir, "result-stream"), f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    board_state.follow_with_state(spark, folder, f"{own}/facts", f"{own}/board", f"{own}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{own}/board").select("rank", "model", *(F.round(c, 6).alias(c) for c in ("average_wer", "average_cer", "rtfx")))
+
+
 def queries() -> dict[str, Query]:
     own = (
         normalize_text, wer_pairs, wer_corpus, cer_pairs, wer_by_model_ref, edit_split_totals, best_candidate, leaderboard_rank, exclude_failed,
         leaderboard_pivot, board_columns, column_bounds, cell_color, best_flags, dataset_meta, last_wins_dedupe, first_nonempty, sample_std, worst_utterances,
         speaker_join, wav_nis_fallback, dense_index_slice, job_matrix, model_route, fixed_chunks, sliding_chunks, greedy_groups, greedy_groups_hot, ranked_lines, loop_truncate,
         speaker_segments, answer_text, rtfx, transcribe_stub, marker_clean, token_clean, drilldown, ground_truth, latest_runs, reference_order, run_primary,
+        speaker_override, override_rates, result_file_runs, result_file_samples, migrated_files, manifest_samples, hypothesis_lines, language_names, utterance_shards, utterances, board_by_state,
     )
     return {f.__name__: f for f in own}

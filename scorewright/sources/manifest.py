@@ -116,16 +116,18 @@ def read_manifest(spark: SparkSession, path: str, dataset: str = "manifest", ref
 def read_hypotheses(spark: SparkSession, path: str, model: str, dataset: str) -> DataFrame:
     """(model, dataset, idx, reference, hypothesis, raw_hypothesis, duration, utt_id) of a file of answers; a broken line raises.
 
-    ``ref`` goes before ``text``; a missing answer is empty; a missing index is the line's number.
+    ``ref`` goes before ``text``, and both and the answer are without white space at their ends; a missing
+    answer is empty; a missing index is the number of the file's lines before that aren't blank.
     """
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    lines = indexed(lines, "line", by=("file",), pieces=(F.floor(F.col("line") / PIECE),))
     rows = lines.withColumn("row", F.from_json("value", HYPOTHESIS, {"mode": "FAILFAST"}))
     return rows.select(
         F.lit(model).alias("model"),
         F.lit(dataset).alias("dataset"),
-        F.coalesce("row.index", F.col("line").cast("long")).alias("idx"),
-        F.coalesce(F.nullif(F.col("row.ref"), F.lit("")), "row.text", F.lit("")).alias("reference"),
-        F.coalesce("row.hyp", F.lit("")).alias("hypothesis"),
+        F.coalesce("row.index", F.col("idx")).alias("idx"),
+        strip(F.coalesce(F.nullif(F.col("row.ref"), F.lit("")), "row.text", F.lit(""))).alias("reference"),
+        strip(F.coalesce("row.hyp", F.lit(""))).alias("hypothesis"),
         F.col("row.hyp_raw").alias("raw_hypothesis"),
         F.coalesce("row.duration", F.lit(0.0)).alias("duration"),
         "row.utt_id",

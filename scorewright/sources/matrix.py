@@ -80,7 +80,9 @@ BY_NAME = {
     "gemma": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "por_Latn", "ita_Latn", "jpn_Jpan", "zho_Hans"),
     "qwen3-asr": tuple(code for code in SPOKEN if code not in ("eus_Latn", "glg_Latn")),
 }
+IN_LOWER_CASE = ("whisper", "crisperwhisper")
 BY_LETTERS = {
+    "http": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "ita_Latn"),
     "voxtral": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "por_Latn", "ita_Latn", "nld_Latn", "hin_Deva"),
     "cohere": ("deu_Latn", "eng_Latn", "fra_Latn", "ita_Latn", "spa_Latn", "por_Latn", "ell_Grek", "nld_Latn", "pol_Latn", "zho_Hans", "jpn_Jpan", "kor_Hang", "vie_Latn", "ara_Arab"),
     "canary-1b": ("deu_Latn", "eng_Latn", "fra_Latn", "spa_Latn", "ita_Latn", "por_Latn", "nld_Latn", "pol_Latn", "swe_Latn", "dan_Latn", "nor_Latn", "fin_Latn", "ron_Latn", "hun_Latn", "ces_Latn", "slk_Latn", "bul_Cyrl", "ell_Grek", "tur_Latn", "ukr_Cyrl", "rus_Cyrl", "hrv_Latn", "lit_Latn", "slv_Latn", "cat_Latn"),
@@ -102,6 +104,11 @@ def route(model: Column) -> Column:
     return out.otherwise(DEFAULT_ROUTE)
 
 
+def backends() -> list[str]:
+    """All back ends that routing can name."""
+    return ["http", *(name for name, _ in ROUTES), DEFAULT_ROUTE]
+
+
 def language(backend: Column, code: Column) -> Column:
     """A back end's name for a language, or its own way to do without: its default, the code's beginning, or none."""
     names = F.create_map(*(F.lit(x) for c, (name, _) in SPOKEN.items() for x in (c, name)))
@@ -109,11 +116,11 @@ def language(backend: Column, code: Column) -> Column:
     known = F.lit(None).cast("string")
     for own, codes in BY_NAME.items():
         said = F.try_element_at(names, code)
-        known = F.when((backend == own) & code.isin(*codes), F.lower(said) if codes is WHISPER else said).otherwise(known)
+        known = F.when((backend == own) & code.isin(*codes), F.lower(said) if own in IN_LOWER_CASE else said).otherwise(known)
     for own, codes in BY_LETTERS.items():
         known = F.when((backend == own) & code.isin(*codes), F.try_element_at(letters, code)).otherwise(known)
     default = F.when(backend.isin("whisper", "crisperwhisper"), "german").when(backend.isin("granite", "phi-4", "gemma"), "English").when(backend == "voxtral", "en").when(backend == "cohere", "de")
-    default = default.when(backend == "canary-1b", F.lower(F.left(code, F.lit(2)))).when(backend == "http", F.substring_index(code, "_", 1))
+    default = default.when(backend == "canary-1b", F.lower(F.left(code, F.lit(2)))).when(backend == "http", F.lower(F.substring_index(code, "_", 1)))
     return F.coalesce(known, default)
 
 

@@ -30,7 +30,8 @@ def run_schema():
     return StructType.fromDDL(SCHEMA)
 
 
-def _sample(s: Column, old: bool) -> Column:
+def normal_sample(s: Column, old: bool) -> Column:
+    """A sample of a file's version as one of the newer version."""
     if old:
         texts = F.map_filter(F.create_map(*(x for r in OLD_REFERENCES for x in (F.lit(r), s[f"{r}_reference"]))), lambda _, v: v.isNotNull())
         rates = F.map_filter(F.create_map(*(x for r in OLD_REFERENCES for x in (F.lit(r), F.struct(s[f"{r}_wer"].alias("wer"), s[f"{r}_cer"].alias("cer"))))), lambda _, v: v["wer"].isNotNull() | v["cer"].isNotNull())
@@ -70,7 +71,7 @@ def unified(raw: DataFrame) -> DataFrame:
             results.alias("results"),
             (F.coalesce("speed", empty_speed)).alias("speed"),
             F.coalesce("timestamp", F.lit("")).alias("timestamp"),
-            F.coalesce(F.transform("per_sample", lambda s: _sample(s, old)), F.array().cast(f"array<struct<{SAMPLE_FIELDS}>>")).alias("per_sample"),
+            F.coalesce(F.transform("per_sample", lambda s: normal_sample(s, old)), F.array().cast(f"array<struct<{SAMPLE_FIELDS}>>")).alias("per_sample"),
         )
 
     return shaped(rows.where(version < 2), True).unionByName(shaped(rows.where(version >= 2), False))

@@ -155,7 +155,7 @@ def test_a_corpus_has_its_own_speaker_table(spark, tmp_path, place):
 
 
 def test_languages_and_groups_of_jobs(spark):
-    asked = [("whisper", "fra_Latn", "french"), ("whisper", "xxx", "german"), ("granite", "ita_Latn", "English"), ("voxtral", "hin_Deva", "hi"), ("cohere", "xxx", "de"), ("canary-1b", "swe_Latn", "sv"), ("canary-1b", "Xyz_Latn", "xy"), ("http", "deu_Latn", "deu"), ("qwen3-asr", "ind_Latn", "Indonesian"), ("qwen3-asr", "eus_Latn", None), ("crisperwhisper", "eus_Latn", "basque")]
+    asked = [("whisper", "fra_Latn", "french"), ("whisper", "xxx", "german"), ("granite", "ita_Latn", "English"), ("voxtral", "hin_Deva", "hi"), ("cohere", "xxx", "de"), ("canary-1b", "swe_Latn", "sv"), ("canary-1b", "Xyz_Latn", "xy"), ("http", "deu_Latn", "de"), ("qwen3-asr", "ind_Latn", "Indonesian"), ("qwen3-asr", "eus_Latn", None), ("crisperwhisper", "eus_Latn", "basque")]
     got = spark.createDataFrame(asked, "backend string, code string, want string").select("want", matrix.language(F.col("backend"), F.col("code")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
     jobs = matrix.read_matrix(spark, "datasets: [{name: d1}, {name: d2}]\nmodels: [{name: o/a}, {name: o/b}]")
