@@ -34,7 +34,7 @@ FIRST, BITS = 6, 1 << 26
 #: Slices of the map: at least and at most, and terms of documents that make one more.
 LEAST_SLICES, MOST_SLICES, OF_SLICE = 1 << 9, 1 << 16, 1 << 22
 #: Terms of documents that make a chunk, chunks in a file, and counts that a task gathers before it adds them up.
-CHUNK, IN_FILE, GATHERED = 1 << 18, 8, 1 << 20
+CHUNK, IN_FILE, GATHERED = 1 << 19, 4, 1 << 20
 #: Counts below FITTING times SCALE fit in eight bytes.
 SCALE, FITTING = 10**9, 9 * 10**9
 CHUNKS = "lang string, sources array<string>, source binary, vocabulary binary, doc binary, term binary, n binary"
@@ -50,7 +50,7 @@ class Chunk:
     def add(self, source: str, words: list[bytes]) -> None:
         counts = Counter(words)
         known = self.vocabulary
-        self.doc.extend([len(self.source)] * len(counts))
+        self.doc += array("i", [len(self.source)]) * len(counts)
         self.term.extend([known.setdefault(t, len(known)) for t in counts])
         self.n.extend(counts.values())
         self.source.append(self.sources.setdefault(source, len(self.sources)))
@@ -183,6 +183,49 @@ def _slices(cut: DataFrame) -> int:
     return min(MOST_SLICES, max(LEAST_SLICES, 1 << (size // OF_SLICE).bit_length()))
 
 
+GATHERED_ROWS = "slice int, langs array<string>, sources array<string>, lang binary, terms binary, at binary, docs binary, n binary"
+
+
+class Gathered:
+    """Counts of terms by source that a task has met: documents and occurrences for each term and source, by their numbers here."""
+
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = {}
+        self.sources: dict[str, int] = {}
+        self.of = array("Q")
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    @staticmethod
+    def places(known: dict, names: Iterator, n: int) -> np.ndarray:
+        return np.fromiter((known.setdefault(x, len(known)) for x in names), np.int64, n)
+
+    def add(self, at: np.ndarray, docs: np.ndarray | None, n: np.ndarray) -> None:
+        different, back = np.unique(at, return_inverse=True)
+        self.parts.append((different, np.bincount(back, docs, len(different)).astype(np.int64), np.bincount(back, n, len(different)).astype(np.int64)))
+        self.held += len(different)
+
+    def rows(self, width: int) -> Iterator[pa.RecordBatch]:
+        """A row for each slice, with its own terms and languages and all the sources."""
+        if not self.held:
+            return
+        at, docs, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        self.add(at, docs, np.zeros(len(at)))
+        n = np.bincount(np.searchsorted(self.parts[0][0], at), n, len(self.parts[0][0])).astype(np.int64)
+        at, docs, _ = self.parts[0]
+        names, langs = [k.rpartition(b"\0") for k in self.terms], {}
+        lang_of = np.array([langs.setdefault(lang.decode(), len(langs)) for lang, _, _ in names], np.int32)
+        term = at >> 32
+        rows = []
+        for k, own in sliced(bit(np.frombuffer(self.of, np.uint64))[term] // width):
+            different, local = np.unique(term[own], return_inverse=True)
+            packed = local.astype(np.int64) << 32 | at[own] & 0xFFFFFFFF
+            rows.append((k, [*langs], [*self.sources], lang_of[different].tobytes(), b" ".join(names[t][2] for t in different), packed.tobytes(), docs[own].tobytes(), n[own].tobytes()))
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5)
+        yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in GATHERED_ROWS.split(", ")])
+
+
 def kept_terms(cut: DataFrame, least: int = 3) -> DataFrame:
     """(lang, term, sources: array of (source, n)) for the terms in at least ``least`` documents of a language, n in all of a source."""
     kept = cut.sparkSession.sparkContext.broadcast(refine(cut, least))
@@ -190,30 +233,34 @@ def kept_terms(cut: DataFrame, least: int = 3) -> DataFrame:
     columns = ["lang", "term", "source", "docs", "n"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Gathered()
         for batch in small_batches(batches, 1):
             lang, sources, source, vocabulary, doc, term, n = (batch.column(k)[0].as_py() for k in range(7))
             words = vocabulary.split()
             of = hashes(lang, words, None)
             source, doc, term, n = (np.frombuffer(x, np.int32) for x in (source, doc, term, n))
-            own = lives(kept.value, of)[term]
-            key, at = np.unique(term[own].astype(np.int64) * len(sources) + source[doc[own]], return_inverse=True)
-            docs, total = np.bincount(at, minlength=len(key)), np.bincount(at, n[own], len(key)).astype(np.int64)
-            term_at, source_at = np.divmod(key, max(len(sources), 1))
-            rows = []
-            for k, places in sliced(bit(of[term_at]) // width):
-                names = b" ".join(words[t] for t in term_at[places])
-                rows.append((lang, sources, k, names, source_at[places].astype(np.int32).tobytes(), docs[places].tobytes(), total[places].tobytes()))
-            if rows:
-                kinds = (pa.string(), pa.list_(pa.string()), pa.int32(), *[pa.binary()] * 4)
-                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "sources", "slice", "terms", "source", "docs", "n"])
+            living = np.flatnonzero(lives(kept.value, of))
+            place = np.full(len(words), -1, np.int64)
+            mark = lang.encode() + b"\0"
+            place[living] = own.places(own.terms, (mark + words[k] for k in living), len(living))
+            own.of.frombytes(of[living[place[living] >= len(own.of)]].tobytes())
+            source = own.places(own.sources, iter(sources), len(sources))[source]
+            place = place[term]
+            own.add(place[place >= 0] << 32 | source[doc[place >= 0]], None, n[place >= 0])
+            if own.held >= GATHERED // 2:
+                yield from own.rows(width)
+                own = Gathered()
+        yield from own.rows(width)
 
     def merge(table: pa.Table) -> pa.Table:
         """A slice's terms with the sums of their sources, by the terms themselves."""
         parts = []
         for r in table.to_pylist():
-            words = pa.array(r["terms"].split(), pa.binary()).cast(pa.string())
-            source = pa.array(r["sources"], pa.string()).take(pa.array(np.frombuffer(r["source"], np.int32)))
-            parts.append(pa.table([pa.array([r["lang"]] * len(words), pa.string()), words, source, *(pa.array(np.frombuffer(r[c], np.int64)) for c in ("docs", "n"))], names=columns))
+            at, docs, n = (np.frombuffer(r[c], np.int64) for c in ("at", "docs", "n"))
+            names, sources = pa.array(r["terms"].split(b" "), pa.binary()).cast(pa.string()), pa.array(r["sources"], pa.string())
+            langs = pa.array(r["langs"], pa.string()).take(pa.array(np.frombuffer(r["lang"], np.int32)))
+            term = pa.array(at >> 32)
+            parts.append(pa.table([langs.take(term), names.take(term), sources.take(pa.array(at & 0xFFFFFFFF)), pa.array(docs), pa.array(n)], names=columns))
         all_ = pa.concat_tables(parts).group_by(columns[:3]).aggregate([("docs", "sum"), ("n", "sum")])
         all_ = all_.sort_by([(c, "ascending") for c in columns[:3]]).combine_chunks()
         fresh = np.ones(len(all_), bool)
@@ -229,7 +276,7 @@ def kept_terms(cut: DataFrame, least: int = 3) -> DataFrame:
         struct = pa.StructArray.from_arrays([all_["source"].combine_chunks(), all_["n_sum"].combine_chunks()], ["source", "n"])
         return pa.table([all_["lang"].take(starts), all_["term"].take(starts), pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), struct)], names=["lang", "term", "sources"])
 
-    dealt = cut.mapInArrow(gather, "lang string, sources array<string>, slice int, terms binary, source binary, docs binary, n binary")
+    dealt = cut.mapInArrow(gather, GATHERED_ROWS)
     return dealt.groupBy("slice").applyInArrow(merge, "lang string, term string, sources array<struct<source:string,n:bigint>>")
 
 
