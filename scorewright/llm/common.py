@@ -63,6 +63,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of whole numbers in ascending order, by a sort."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
+
+
 class WordHashes(dict):
     """64-bit hashes by word; forgets all when it has ``most`` of them, to bound a worker's memory."""
 

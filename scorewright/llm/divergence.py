@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small_batches
+from .common import distinct, materialize, small_batches
 from .terms import term_table, terms
 
 #: Bytes of the shortest prefixes, and bits of a map of living ones (8 MB).
@@ -132,7 +132,7 @@ def _level(length: int, before: int | None, living, width: int):
             place = np.full(len(words), -1, np.int64)
             place[longer] = at
             place, doc = place[np.frombuffer(term, np.int32)], np.frombuffer(doc, np.int32)
-            pairs = np.unique(place[place >= 0] << 32 | doc[place >= 0])
+            pairs = distinct(place[place >= 0] << 32 | doc[place >= 0])
             gathered.append((different, np.bincount(pairs >> 32, minlength=len(different))))
             held += len(different)
             if held >= GATHERED:

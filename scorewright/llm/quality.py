@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix64, small_batches, texts_of
+from .common import distinct, documents, materialize, mix64, small_batches, texts_of
 
 #: Bound of the training sample: labelled texts of each class.
 MOST_EACH = 12_000
@@ -63,7 +63,7 @@ def ngrams(text: str, words: Words) -> np.ndarray:
             break
         run = mix64(run[:-1] * STEP + shapes[n - 1 :] + np.uint64(n))
         found.append(run)
-    return np.unique((np.concatenate(found) >> np.uint64(32)).astype(np.uint32))
+    return distinct((np.concatenate(found) >> np.uint64(32)).astype(np.uint32))
 
 
 def positions(found: np.ndarray, features: np.ndarray) -> np.ndarray:
