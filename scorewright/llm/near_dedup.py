@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialize, mix64, small_batches, texts_of
+from .common import WordHashes, distinct, documents, materialize, mix64, small_batches, texts_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -65,7 +65,7 @@ def shingle_set(text: str, hashes: WordHashes, size: int = SHINGLE) -> np.ndarra
         total = np.zeros(n - size + 1, np.uint64)
         for k in range(size):
             total += words[k : n - size + 1 + k] * _PLACES[k]
-        return np.unique(mix64(total + np.uint64(size)))
+        return distinct(mix64(total + np.uint64(size)))
 
 
 def minwise(tokens: np.ndarray) -> np.ndarray:
