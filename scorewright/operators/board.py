@@ -147,6 +147,16 @@ def utterance_order(by: str) -> list[Column]:
     return {"index": [F.asc("idx")], "worst": [F.desc_nulls_last("wer"), F.asc("idx")], "best": [F.asc_nulls_last("wer"), F.asc("idx")]}[by]
 
 
+#: What stands for a missing value where a table is sorted, so that it comes last in ascending order only (fixed value).
+MISSING_LAST = 1e9
+
+
+def table_order(column: str, descending: bool = False) -> list[Column]:
+    """Sort keys for a board's table by a column of numbers, and then by its rank."""
+    value = F.coalesce(F.col(column).cast("double"), F.lit(MISSING_LAST))
+    return [value.desc() if descending else value.asc(), F.asc("rank")]
+
+
 def chart_rows(runs: DataFrame) -> DataFrame:
     """(name, dialect, ort, std): bars for charts in ascending order of the orthographic rate; none or 0 come last."""
     each = runs.select("name", *(F.try_element_at("results", F.lit(r))["wer"].alias(r) for r in ("dialect", "ort")), F.transform("per_sample", lambda s: F.try_element_at(s["metrics"], F.lit("ort"))["wer"]).alias("each"))

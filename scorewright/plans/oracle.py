@@ -197,6 +197,13 @@ FROM runs JOIN dataset_primary USING (dataset) JOIN (SELECT dataset, string_agg(
         "dense_index_slice": "SELECT * FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx FROM documents) WHERE idx >= 10 AND idx < 60",
         "job_matrix": "SELECT n_nationkey AS model_ordinal, r_regionkey AS dataset_ordinal, n_name AS model, r_name AS dataset, coalesce(nullif(n_nationkey % 4, 0), 8) AS batch_size, CASE WHEN n_regionkey = 1 THEN 'eng_Latn' ELSE 'deu_Latn' END AS language, 'test' AS split, '/data' AS data_dir, 'omniasr' AS backend FROM nation, region",
         "model_route": f"SELECT p_partkey, translate(m, '/\\', '__') AS tag, {ROUTES} AS backend FROM (SELECT p_partkey, m, lower(m) AS n FROM (SELECT p_partkey, {NAMES}[p_partkey % 16 + 1] || '-' || p_partkey AS m FROM part))",
+        "token_clean": rf"""WITH s AS (SELECT conv_id, turn, {listed("regexp_replace(text, '[" + chr(92) + "s<>" + chr(34) + "''`~$%#*=_/" + chr(92) * 2 + ":;!-]+', ' ', 'g')")} AS w FROM conversations),
+e AS (SELECT conv_id, turn, CAST(k - 1 AS INT) AS k, w[k] AS w FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS k FROM s))
+SELECT conv_id, turn, k, CASE length(w) % 5 WHEN 2 THEN '' WHEN 3 THEN w || '/x' WHEN 4 THEN '+/' || w || '/+' ELSE w END AS ort,
+  CASE length(w) % 5 WHEN 0 THEN reverse(w) WHEN 1 THEN w WHEN 2 THEN 'ä' || w WHEN 3 THEN replace(replace(w || '/x', '+/', ''), '/', '') ELSE '' END AS dialect FROM e""",
+        "model_names": """WITH m AS (SELECT p_partkey, 'o/m ' || p_partkey || ['', '-online', '-norepeat', ' (server)', '-NoRepeat', '/x-online-norepeat'][p_partkey % 6 + 1] AS m FROM part)
+SELECT p_partkey, translate(m, '/ ()', '__') AS tag, CASE WHEN m LIKE '%-online' THEN left(m, length(m) - 7) WHEN lower(m) LIKE '%-norepeat' THEN left(m, length(m) - 9) ELSE m END AS name, m LIKE '%-online' AS online, lower(m) LIKE '%-norepeat' AS no_repeat FROM m""",
+        "table_order": f"{board('true')}, r AS (SELECT {RANKED}, rtfx FROM averages) SELECT CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN rank % 4 <> 0 THEN rtfx END, 1e9) DESC, rank) AS INT) AS place, model FROM r",
         "fixed_chunks": """WITH pieces AS (
   SELECT doc_id, n_chars, CASE WHEN n_chars <= 350 THEN [CAST(0 AS BIGINT)] ELSE range(0, n_chars, 300) END AS s FROM documents),
 kept AS (SELECT doc_id, n_chars, CASE WHEN len(s) > 1 AND n_chars - s[len(s)] < 20 THEN s[:len(s) - 1] ELSE s END AS s FROM pieces)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import spread, with_error_rates
-from ..functions.text import clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, cut_loop, model_tag, normalize, words
+from ..functions.text import clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, cut_loop, hypothesis_tag, loaded_model, model_tag, normalize, words
 from ..operators import board, candidates, choice, grouping, scoring, segments, transcribe
 from ..operators.order import numbered
 from ..operators.tables import shared_folder, written
@@ -177,6 +177,19 @@ def model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", model_tag(F.col("model")).alias("tag"), matrix.route(F.col("model")).alias("backend"))
 
 
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with blanks, brackets and suffixes: as part of a file's name, and what they load."""
+    endings = F.array(*map(F.lit, ("", "-online", "-norepeat", " (server)", "-NoRepeat", "/x-online-norepeat")))
+    parts = views.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("o/m "), F.col("p_partkey").cast("string"), F.get(endings, (F.col("p_partkey") % 6).cast("int"))).alias("model"))
+    return parts.select("p_partkey", hypothesis_tag(F.col("model")).alias("tag"), loaded_model(F.col("model")).alias("l")).select("p_partkey", "tag", "l.name", "l.online", "l.no_repeat")
+
+
+def table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board's models by their speed, unknown speeds first as in a table that is sorted downwards."""
+    out = board.leaderboard(views.runs(spark, sf_dir)).withColumn("rtfx", F.when(F.col("rank") % 4 != 0, F.col("rtfx")))
+    return numbered(written(out, "board"), *board.table_order("rtfx", descending=True)).select(F.col("place").cast("int").alias("place"), "model")
+
+
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(segments.fixed_pieces(F.col("n_chars"), 300, 20, 350)).alias("k", "p")).select("doc_id", "k", "p.start", "p.end")
@@ -394,6 +407,6 @@ def queries() -> dict[str, Query]:
         leaderboard_pivot, board_columns, column_bounds, cell_color, best_flags, dataset_meta, last_wins_dedupe, first_nonempty, sample_std, worst_utterances,
         speaker_join, wav_nis_fallback, dense_index_slice, job_matrix, model_route, fixed_chunks, sliding_chunks, greedy_groups, greedy_groups_hot, ranked_lines, loop_truncate,
         speaker_segments, answer_text, rtfx, transcribe_stub, marker_clean, token_clean, drilldown, ground_truth, latest_runs, reference_order, run_primary,
-        speaker_override, override_rates, result_file_runs, result_file_samples, migrated_files, manifest_samples, hypothesis_lines, language_names, utterance_shards, utterances, board_by_state,
+        speaker_override, override_rates, result_file_runs, result_file_samples, migrated_files, manifest_samples, hypothesis_lines, language_names, utterance_shards, utterances, board_by_state, model_names, table_order,
     )
     return {f.__name__: f for f in own}

@@ -10,10 +10,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import BinaryType
 
 from ..functions.text import clean_attribute, clean_dialect_token, clean_orthographic_token, clean_phonemic, clean_transliteration, join_orthographic, strip
-from .manifest import HEAD, header_seconds, indexed
+from .manifest import indexed, recorded_seconds
 
 #: Columns of the speaker table and what they are called here (fixed values).
 ATTRIBUTES = {
@@ -139,14 +139,9 @@ def speakers(table: DataFrame) -> DataFrame:
 
 
 def durations(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
-    """(path, duration) of recordings, by their headers; no more of them than that leaves the JVM."""
+    """(path, duration) of recordings, by their headers, of which just the beginnings are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-
-    @F.pandas_udf(DoubleType())
-    def seconds(heads: pd.Series) -> pd.Series:
-        return heads.map(header_seconds)
-
-    return files.select("path", seconds(F.substring("content", 1, HEAD)).alias("duration"))
+    return files.select("path", recorded_seconds(F.regexp_replace("path", "^file:/+", "/")).alias("duration"))
 
 
 def with_speakers(samples: DataFrame, table: DataFrame) -> DataFrame:
@@ -156,11 +151,17 @@ def with_speakers(samples: DataFrame, table: DataFrame) -> DataFrame:
     return out.withColumn("metadata", F.map_concat("metadata", F.coalesce(prefixed, F.create_map().cast("map<string,string>")))).drop("attributes")
 
 
-def read_corpus(spark: SparkSession, root: str, channel: str = "c", table: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+#: Where the corpus is if nothing else says so, and the variable that does (fixed values).
+ROOT, ROOT_VARIABLE = "data/BAS-RVG1", "BAS_RVG1_DATA_DIR"
+
+
+def read_corpus(spark: SparkSession, root: str | None = None, channel: str = "c", table: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Samples of the corpus: recordings with a dialect or an orthographic text, numbered by speaker and file.
 
-    The speakers' attributes come from ``table``, or from where a corpus has its own.
+    The speakers' attributes come from ``table``, or from where a corpus has its own. Without a ``root`` it is
+    where the environment says, or ROOT.
     """
+    root = resolved_root(root, ROOT_VARIABLE, ROOT)
     rows = segments(spark, root, channel).join(annotations(spark, root), ["speaker", "stem"], "left")
     rows = rows.where(F.coalesce("dialect", "ort").isNotNull()).withColumn("dataset", F.lit("rvg1"))
     rows = indexed(rows, "speaker", "name", offset=offset, limit=limit).join(durations(spark, root, f"sp1{channel}*.wav"), "path", "left")

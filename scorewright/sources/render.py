@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from urllib.parse import quote
 
 import pandas as pd
@@ -94,13 +94,29 @@ class Board:
         return [(f"{k}. {model}", model, rate) for k, (model, rate) in enumerate(each, 1)]
 
 
-def text(shown: Board) -> str:
-    """A table for a terminal; a message where there is nothing to show."""
-    rows = shown.table()
+#: What begins and ends a style in a terminal (fixed values).
+DIM, BOLD, PLAIN = "\x1b[2m", "\x1b[1m", "\x1b[0m"
+
+
+def style(own: dict[str, object] | None, best: bool) -> str:
+    """What a rate is written in: dim if it is missing, else in its colour, and bold if it is its column's best."""
+    if own is None:
+        return DIM
+    rgb = own["rgb"]
+    return (BOLD if best else "") + f"\x1b[38;2;{rgb['r']};{rgb['g']};{rgb['b']}m"
+
+
+def text(shown: Board, styled: bool = False) -> str:
+    """A table for a terminal, its rates in their colours if ``styled``; a message where there is nothing to show."""
+    rows, columns = shown.table(), shown.rate_columns()
     if len(rows) == 1:
         return "No results."
     widths = [max(len(r[k]) for r in rows) for k in range(len(rows[0]))]
-    return "\n".join("  ".join(c.ljust(w) if k == 1 else c.rjust(w) for k, (c, w) in enumerate(zip(r, widths, strict=True))) for r in rows)
+    cells = [[c.ljust(w) if k == 1 else c.rjust(w) for k, (c, w) in enumerate(zip(r, widths, strict=True))] for r in rows]
+    for row, own in zip(shown.rows, cells[1:], strict=True) if styled else ():
+        for k, (_, column, kind) in enumerate(columns, 2):
+            own[k] = style(shown.rates.get((row["model"], column, kind)), shown.is_best(row["model"], column, kind)) + own[k] + PLAIN
+    return "\n".join("  ".join(r) for r in cells)
 
 
 def markdown(shown: Board) -> str:
@@ -117,6 +133,16 @@ def payload(value: object) -> str:
     return json.dumps(value, ensure_ascii=False).replace("</", "<\\/")
 
 
+#: What references are called beside an utterance, in the order in which they stand there (fixed values).
+LABELS = {"ort": "ORT", "dialect": "TR2", "kan": "KAN"}
+
+
+def labelled(references: Iterable[str]) -> list[tuple[str, str]]:
+    """(name, label) of references: the known ones first, others after them as they come, under their own names."""
+    given = [*dict.fromkeys(references)]
+    return [(r, LABELS[r]) for r in LABELS if r in given] + [(r, r) for r in given if r not in LABELS]
+
+
 def chip(meta: dict[str, object]) -> str:
     """What a dataset's board is made of, its primary reference starred."""
     facts = [f"{meta['samples']} samples", f"{meta['models']} models"]
@@ -160,7 +186,7 @@ def page(shown: Board, shards: list[dict[str, object]] | None = None) -> str:
         )
         charts.append(f"<details><summary>{html.escape(name)}</summary>{bars}</details>")
     links = "".join(f"<li><a href='{html.escape(str(x['file']))}'>{html.escape(str(x['dataset']))}: {x['first']} to {x['last']}</a></li>" for x in shards or ())
-    data = payload({"rows": shown.rows, "columns": shown.columns, "bounds": [[*c, k, *b] for (c, k), b in sorted(shown.bounds.items())], "shards": shards or []})
+    data = payload({"rows": shown.rows, "columns": shown.columns, "bounds": [[*c, k, *b] for (c, k), b in sorted(shown.bounds.items())], "labels": labelled(r for _, r in shown.columns), "shards": shards or []})
     style = ".best{font-weight:bold}.bar b{display:inline-block;min-width:3em}"
     return f"<!doctype html><meta charset='utf-8'><title>Leaderboard</title><style>{style}</style><ul>{chips}</ul><table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>{''.join(charts)}<ul>{links}</ul><script type='application/json' id='data'>{data}</script>"
 

@@ -77,9 +77,9 @@ def unified(raw: DataFrame) -> DataFrame:
     return shaped(rows.where(version < 2), True).unionByName(shaped(rows.where(version >= 2), False))
 
 
-def result_files(spark: SparkSession, folder: str) -> DataFrame:
+def result_files(spark: SparkSession, folder: str, mode: str = "PERMISSIVE") -> DataFrame:
     """What a folder's result files hold, broken ones too; hidden files and boards are skipped."""
-    raw = spark.read.schema(run_schema()).json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", pathGlobFilter="*.json")
+    raw = spark.read.schema(run_schema()).json(folder, multiLine=True, mode=mode, columnNameOfCorruptRecord="_corrupt_record", pathGlobFilter="*.json")
     raw = raw.withColumn("file", F.col("_metadata.file_name"))
     return raw.where(~F.col("file").isin(*SKIPPED) & ~F.col("file").startswith("."))
 
@@ -89,6 +89,12 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     return unified(result_files(spark, folder))
 
 
+def read_chart_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs that charts are made of: also those without a model, which have an empty one; a broken file raises."""
+    raw = result_files(spark, folder, mode="FAILFAST").withColumn("_corrupt_record", F.lit(None).cast("string"))
+    return unified(raw.withColumn("model", F.coalesce("model", F.lit(""))))
+
+
 def file_name(model: Column, dataset: Column) -> Column:
     return F.concat(model_tag(model), F.lit("__"), dataset, F.lit(".json"))
 

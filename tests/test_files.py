@@ -371,3 +371,66 @@ def test_the_board_with_state(spark, folder, tmp_path):  # noqa: F811
     last = sorted((tmp_path / "facts").iterdir(), key=lambda p: int(p.name))[-1]
     kept = spark.read.parquet(str(last))
     assert kept.count() == 6 and "per_sample" not in kept.first()["fact"]
+
+
+# smaller items
+
+
+def test_datasets_and_transcribers_by_name(spark, tmp_path, monkeypatch):
+    from scorewright.sources import registry
+
+    (tmp_path / "m.jsonl").write_text('{"audio":"b.wav","text":"Ja.","duration":1.0}')
+    preset = registry.open_dataset(spark, "KSOF", path=str(tmp_path / "m.jsonl")).first()
+    assert (preset["dataset"], preset["primary_reference"], preset["transcript"]) == ("ksof", "ref", "Ja.")
+    registry.add_dataset("My-Own", lambda session, n: session.range(n))
+    assert registry.open_dataset(spark, "my_OWN", n=3).count() == 3
+    with pytest.raises(KeyError, match="manifest"):
+        registry.open_dataset(spark, "nothing")
+    names = ["openai/whisper", "nyra/CrisperWhisper", "https://x", "unheard of", "stt_de_conformer", "granite-nar"]
+    routes = spark.createDataFrame([(n,) for n in names], "n string").select(matrix.route(F.col("n")).alias("r")).collect()
+    assert [registry.backend_of(n) for n in names] == [r["r"] for r in routes]
+    assert isinstance(registry.maker("http://h", "de")(), transcribe.Server)
+    with pytest.raises(KeyError):
+        registry.maker("openai/whisper", "de")
+    registry.add_transcriber("whisper", lambda model, language, size: transcribe.Echo(lambda p: f"{model} {language} {size} {p}"))
+    assert registry.maker("openai/whisper", "de", 2)().transcribe_batch(["p"]) == ["openai/whisper de 2 p"]
+    monkeypatch.delitem(registry.TRANSCRIBERS, "whisper")
+    monkeypatch.delitem(registry.DATASETS, "my_own")
+
+
+def test_a_corpus_is_where_the_environment_says(spark, tmp_path, monkeypatch):
+    from scorewright.sources import corpus
+
+    from .test_sources import wav
+
+    (tmp_path / "001").mkdir()
+    (tmp_path / "001" / "sp1c1.wav").write_bytes(wav(1.5))
+    (tmp_path / "001" / "sp1c1.par").write_text("ORT:\t0\tja\n")
+    monkeypatch.setenv(corpus.ROOT_VARIABLE, str(tmp_path))
+    (row,) = corpus.read_corpus(spark).collect()
+    assert (row["transcript"], row["duration"]) == ("ja", 1.5)
+
+
+def test_chart_runs_need_no_model_and_no_mercy(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"results": {"ort": {"wer": 0.5}}, "schema_version": 2}))
+    assert runs.read_chart_runs(spark, str(tmp_path)).first()["model"] == "" and runs.read_runs(spark, str(tmp_path)).count() == 0
+    (tmp_path / "b.json").write_text("{broken")
+    with pytest.raises(Exception):  # noqa: B017
+        runs.read_chart_runs(spark, str(tmp_path)).collect()
+
+
+def test_terminal_styles_and_labels(spark):
+    shown = render.Board(some_runs(spark, {"a": 0.1, "b": 0.4, "c": None}))
+    plain, styled = render.text(shown), render.text(shown, styled=True)
+    assert "\x1b" not in plain and styled.count(render.BOLD) == 4 and styled.count(render.DIM) == 4
+    import re
+
+    assert re.sub("\x1b[^m]*m", "", styled) == plain
+    assert render.labelled(["ref", "kan", "ort", "x", "ref"]) == [("ort", "ORT"), ("kan", "KAN"), ("ref", "ref"), ("x", "x")]
+    assert '"labels": [["ort", "ORT"]]' in render.page(shown)
+
+
+def test_missing_values_are_last_upwards_and_first_downwards(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5.0), (3, 1.0), (4, None)], "rank int, v double")
+    assert [r["rank"] for r in rows.orderBy(*board.table_order("v")).collect()] == [3, 2, 1, 4]
+    assert [r["rank"] for r in rows.orderBy(*board.table_order("v", descending=True)).collect()] == [1, 4, 2, 3]

@@ -15,12 +15,14 @@ def applied(spark, function, values):
     ("function", "pairs"),
     [
         (text.normalize, [(None, ""), ("", ""), ("Hallo,  Welt!", "hallo welt"), ("E-Mail", "email"), ("a - b", "a b"), ("„Ja“", "„ja“"), ("???", ""), ("a b\u001cc", "a b c")]),
-        (text.clean_orthographic_token, [('sch"on', "schön"), ('gro"s', "groß"), ("<P>", ""), ("#", ""), ("a_b", "a b"), ("*Haus=t", "Haust"), ("ja:>", "ja"), (None, "")]),
-        (text.clean_dialect_token, [("das", "das"), ("das<!1 des>", "des"), ("x<!1 y><!2 z>", "z"), ("+/h/+", ""), ('<"ah>', "äh"), ("<A>", "<A>"[0:0]), ("<#Klopfen>", ""), ("zwei_drei", "zweidrei"), ("ge/gangen", "gegangen"), ("", "")]),
+        (text.clean_orthographic_token, [("a<>b", "a<>b"), ("<>", ""), ("ja::>>", "ja"), ("a<b<c>d>e", "a d>e"), ("``Ja''", "Ja"), ('``a', "ä"), ("<", "<"), ("x<P>y", "x y"), (" # ", ""), ('sch"on', "schön"), ('gro"s', "groß"), ("<P>", ""), ("#", ""), ("a_b", "a b"), ("*Haus=t", "Haust"), ("ja:>", "ja"), (None, "")]),
+        (text.clean_dialect_token, [("a<>b", "ab"), ("ja::>>", "ja:>"), ("a<b<c>d>e", "ad>e"), ("<~~ah>", "ah"), ("<z><so>", "so"), ("<;x><:y>", ""), ("12<!2 zwölf><!>", "zwölf"), ("+/+", ""), ("-/ab/-", ""), ("ge\\'h", "ge'h"), ("<!1 a#b>das", "das"), ("..<ja>", "ja"), ("a+/b", "ab"), ("das", "das"), ("das<!1 des>", "des"), ("x<!1 y><!2 z>", "z"), ("+/h/+", ""), ('<"ah>', "äh"), ("<A>", "<A>"[0:0]), ("<#Klopfen>", ""), ("zwei_drei", "zweidrei"), ("ge/gangen", "gegangen"), ("", "")]),
         (text.clean_transliteration, [("ich +/wir/+ gehe .", "ich wir gehe."), ("-/aber/- und", "aber und"), ("<!1 hab> so", "hab so"), ("<P> ja", "ja")]),
         (text.clean_phonemic, [('h"aUs#t', "haUs t"), ("+/Qa/+", "?a"), ("a/b", "a b")]),
         (text.clean_attribute, [("-", None), ("", None), (' M"unchen ', "München"), ('Bad  T"olz', "Bad Tölz")]),
         (text.model_tag, [("a/b\\c", "a_b_c")]),
+        (text.hypothesis_tag, [("a/b c (x)", "a_b_c_x")]),
+        (lambda c: text.loaded_model(c)["name"], [("m-online", "m"), ("m-NoRepeat", "m"), ("m-norepeat-online", "m-norepeat"), ("m", "m")]),
     ],
 )
 def test_vectors(spark, function, pairs):
