@@ -4,7 +4,7 @@ A group begins with the first segment that doesn't fit in the one before, so eac
 the first after it whose end is too far from its start. The segments are sorted into ranges by speaker and
 start. A speaker within one range is grouped there. For one who spans ranges, each range finds by a sorted
 search and pointer doubling the last group start that a chain from each of its segments comes to; then
-the chain goes from range to range, again by pointer doubling, over those last starts alone. At last each
+the chain goes from range to range, again by pointer doubling where they are many, over those last starts alone. At last each
 range, told where the chain enters it, makes its groups, and a group that goes over a bound is put together.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
@@ -26,6 +26,10 @@ from .order import in_ranges
 from .tables import written
 
 
+#: Edges between ranges that go through the driver; more of them are followed as tables.
+MOST_COLLECTED = 200_000
+
+
 def cut(segments: DataFrame, most: int) -> DataFrame:
     """Each segment (start, end) as pieces of at most ``most``; others stay."""
     start, end = F.col("start").cast("long"), F.col("end").cast("long")
@@ -94,23 +98,23 @@ def greedy_groups(segments: DataFrame, by: str, most: int, ranges: int | None =
         for part in pc.unique(table["part"]).to_pylist() if table is not None else ():
             own = table.filter(pc.equal(table["part"], part)).sort_by("at").combine_chunks()
             names, start, end = own["by"].combine_chunks(), own["start"].to_numpy(), own["end"].to_numpy()
-            runs, out = _runs(names), {c: [] for c in ("at", "k", "from", "to", "exit")}
+            runs, out = _runs(names), {c: [] for c in ("at", "k", "from", "to", "exit", "exit_start")}
             for n, (a, b) in enumerate(runs):
                 if 0 < n < len(runs) - 1:
                     s, e = start[a:b].tolist(), end[a:b].tolist()
                     for k, (x, y) in enumerate(chain(s, e, most)):
-                        for c, v in zip(out, (a, k, s[x], e[y], None), strict=True):
+                        for c, v in zip(out, (a, k, s[x], e[y], None, None), strict=True):
                             out[c].append(v)
                 else:
                     exits = last_starts(successors(start[a:b], end[a:b], most)) + a
-                    for c, v in zip(out, (range(a, b), [None] * (b - a), start[a:b].tolist(), end[a:b].tolist(), exits.tolist()), strict=True):
+                    for c, v in zip(out, (range(a, b), [None] * (b - a), start[a:b].tolist(), end[a:b].tolist(), exits.tolist(), start[exits].tolist()), strict=True):
                         out[c] += v
             at = pa.array(out["at"], pa.int64())
-            columns = [names.take(at), pa.array([part] * len(at), pa.int64()), at, *(pa.array(out[c], pa.int64()) for c in ("k", "from", "to", "exit"))]
-            yield pa.record_batch(columns, names=["by", "part", "at", "k", "start", "end", "exit"])
+            columns = [names.take(at), pa.array([part] * len(at), pa.int64()), at, *(pa.array(out[c], pa.int64()) for c in ("k", "from", "to", "exit", "exit_start"))]
+            yield pa.record_batch(columns, names=shape.names)
 
     long = LongType()
-    shape = StructType([StructField("by", kind), *(StructField(c, long) for c in ("part", "at", "k", "start", "end", "exit"))])
+    shape = StructType([StructField("by", kind), *(StructField(c, long) for c in ("part", "at", "k", "start", "end", "exit", "exit_start"))])
     once = written(placed.mapInArrow(first_pass, shape), "group-pieces")
     inner = once.where("k is not null").select("by", "k", "start", "end")
     outer = _over_ranges(once.where("k is null").drop("k"), most, shape)
@@ -148,10 +152,10 @@ def _over_ranges(pieces: DataFrame, most: int, shape: StructType) -> DataFrame:
                 rows += [(a, k, start[a + x], a + y) for k, (x, y) in enumerate(chain(start[a:b], end[a:b], most, entry))]
             if rows:
                 a, k, s, y = zip(*rows, strict=True)
-                columns = [names.take(pa.array(a, pa.int64())), pa.array([part] * len(a), pa.int64()), pa.array(at[list(y)]), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array([end[x] for x in y], pa.int64()), pa.nulls(len(a), pa.int64())]
-                yield pa.record_batch(columns, names=["by", "part", "at", "k", "start", "end", "exit"])
+                columns = [names.take(pa.array(a, pa.int64())), pa.array([part] * len(a), pa.int64()), pa.array(at[list(y)]), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array([end[x] for x in y], pa.int64())]
+                yield pa.record_batch(columns, names=shape.names[:6])
 
-    made = written(pieces.select("by", "part", "at", F.lit(None).cast("long").alias("k"), "start", "end", "exit").repartition("part").mapInArrow(second_pass, shape), "groups").drop("exit")
+    made = written(pieces.select("by", "part", "at", "start", "end").repartition("part").mapInArrow(second_pass, StructType(shape.fields[:6])), "groups")
     counts: dict[object, list[tuple[int, int]]] = {}
     for r in made.groupBy("by", "part").agg(F.count("k").alias("n")).orderBy("part").collect():
         counts.setdefault(r["by"], []).append((r["part"], r["n"]))
@@ -185,22 +189,16 @@ def _entries(pieces: DataFrame, most: int, tops: dict[object, list[tuple[int, in
     asks = sought.select("by", F.col("target").alias("part"), (F.col("start") + most).alias("value"), F.lit(0).alias("kind"), nothing.alias("at"), F.col("part").alias("node_part"), F.col("at").alias("node"))
     later = Window.partitionBy("by", "part").orderBy(F.desc("value"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     met = points.unionByName(asks).withColumn("entry", F.min("at").over(later)).where("kind = 0")
-    edges = met.join(pieces.select("part", F.col("at").alias("entry"), "exit"), ["part", "entry"])
-    edges = written(edges.select("by", "node_part", "node", "part", "entry", "exit"), "group-edges")
-    jumps = edges.select(F.col("node_part").alias("p"), F.col("node").alias("a"), F.col("part").alias("q"), F.col("exit").alias("b"))
+    edges = met.join(pieces.select("part", F.col("at").alias("entry"), "exit", "exit_start"), ["part", "entry"])
+    edges = written(edges.select("by", "node_part", "node", "part", "entry", "exit", "exit_start"), "group-edges")
     firsts = spark.createDataFrame([(by, own[0]) for by, (own, _) in reach.items()], StructType([pieces.schema["by"], StructField("part", LongType())]))
-    seeds = pieces.join(F.broadcast(firsts), ["by", "part"]).groupBy("by", "part").agg(F.min_by("exit", "at").alias("a"))
-    reached = written(seeds.select(F.col("part").alias("p"), "a"), "group-reached")
-    while jumps.limit(1).count():
-        reached = written(reached.unionByName(reached.join(jumps, ["p", "a"]).select(F.col("q").alias("p"), F.col("b").alias("a"))).distinct(), "group-reached")
-        twice = jumps.select("p", "a", F.col("q").alias("_p"), F.col("b").alias("_a"))
-        onward = jumps.select(F.col("p").alias("_p"), F.col("a").alias("_a"), "q", "b")
-        jumps = written(twice.join(onward, ["_p", "_a"]).select("p", "a", "q", "b"), "group-jumps")
-    taken = edges.join(reached, (edges.node_part == reached.p) & (edges.node == reached.a))
-    entries = {(r["by"], r["part"]): r["entry"] for r in taken.select("by", "part", "entry").collect()}
+    seeds = pieces.join(F.broadcast(firsts), ["by", "part"]).groupBy("by", "part").agg(F.min_by(F.struct("exit", "exit_start"), "at").alias("s"))
+    seeds = written(seeds.select("by", "part", "s.exit", "s.exit_start"), "group-seeds")
+    taken = (_chained if edges.count() <= MOST_COLLECTED else _reached)(edges, seeds)
+    entries = {(r["by"], r["part"]): r["entry"] for r in taken}
     last: dict[object, dict[int, int]] = {}
-    for r in pieces.join(reached.select(F.col("p").alias("part"), F.col("a").alias("at")), ["part", "at"]).select("by", "part", "start").collect():
-        last.setdefault(r["by"], {})[r["part"]] = r["start"]
+    for r in [*seeds.collect(), *taken]:
+        last.setdefault(r["by"], {})[r["part"]] = r["exit_start"]
     carried = {}
     for by, (parts, _) in reach.items():
         open_ = None
@@ -208,3 +206,24 @@ def _entries(pieces: DataFrame, most: int, tops: dict[object, list[tuple[int, in
             carried[by, part] = open_
             open_ = last[by].get(part, open_)
     return entries, carried
+
+
+def _chained(edges: DataFrame, seeds: DataFrame) -> list[Row]:
+    """The edges that chains from the seeds take, gone along one by one."""
+    onward, out = {(r["node_part"], r["node"]): r for r in edges.collect()}, []
+    for r in seeds.collect():
+        while (r := onward.get((r["part"], r["exit"]))) is not None:
+            out.append(r)
+    return out
+
+
+def _reached(edges: DataFrame, seeds: DataFrame) -> list[Row]:
+    """The edges that chains from the seeds take, at most one for each speaker and range, by pointer doubling over tables."""
+    jumps = edges.select(F.col("node_part").alias("p"), F.col("node").alias("a"), F.col("part").alias("q"), F.col("exit").alias("b"))
+    reached = seeds.select(F.col("part").alias("p"), F.col("exit").alias("a"))
+    while jumps.limit(1).count():
+        reached = written(reached.unionByName(reached.join(jumps, ["p", "a"]).select(F.col("q").alias("p"), F.col("b").alias("a"))).distinct(), "group-reached")
+        twice = jumps.select("p", "a", F.col("q").alias("_p"), F.col("b").alias("_a"))
+        onward = jumps.select(F.col("p").alias("_p"), F.col("a").alias("_a"), "q", "b")
+        jumps = written(twice.join(onward, ["_p", "_a"]).select("p", "a", "q", "b"), "group-jumps")
+    return edges.join(reached.select(F.col("p").alias("node_part"), F.col("a").alias("node")), ["node_part", "node"]).collect()

@@ -115,8 +115,9 @@ def brute_groups(rows, most):
     return sorted(x for x in out if x[3] > x[2])
 
 
-@pytest.mark.parametrize("span,ranges", [(30, 9), (400, 1), (400, 23), (5000, 7)])
-def test_greedy_groups_over_ranges(spark, span, ranges):
+@pytest.mark.parametrize("span,ranges,collected", [(30, 9, True), (400, 1, True), (400, 23, False), (5000, 7, True), (5000, 12, False)])
+def test_greedy_groups_over_ranges(spark, monkeypatch, span, ranges, collected):
+    monkeypatch.setattr(grouping, "MOST_COLLECTED", 200_000 if collected else -1)
     rng = random.Random(span)
     rows = [(rng.choice(["hot"] * 8 + ["a", "b", "c"]), s := rng.randrange(20_000), s + rng.randrange(span)) for _ in range(600)]
     rows += rows[:50] + [(None, 1, 2), ("a", None, 2), ("a", 3, None), ("empty", 5, 5), ("one", 7, 9)]
