@@ -256,7 +256,7 @@ def _involved(least: int):
 
 
 def _linked(least: int, percent: int, size: int):
-    """Links (a, b) among the rows (node, block, id, label, bits, packed) of leaf nodes, confirmed on the full sets.
+    """Links (a, b) between the labels of rows (node, block, id, label, bits, packed) of leaf nodes, confirmed on the full sets.
 
     Pairs are taken from the likeliest on; a pair that the links of its node connect already is passed over.
     """
@@ -280,8 +280,8 @@ def _linked(least: int, percent: int, size: int):
                 a, b = top((node[i], labels[i])), top((node[j], labels[j]))
                 if a != b and alike(sets.of(ids[i], packed[i]), sets.of(ids[j], packed[j]), percent):
                     above[max(a, b)] = min(a, b)
-                    left.append(ids[i])
-                    right.append(ids[j])
+                    left.append(labels[i])
+                    right.append(labels[j])
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
@@ -361,10 +361,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         labelled = deeper.select("node", "id", "label", "tree", "bits").mapInArrow(_next_nodes(level, branches), "node long, id long, label long, tree int")
     found = materialize(found, "involved").join(texts, "id").select("node", "block", "id", "label", "bits", "packed")
     more = found.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(least, percent, size), "a long, b long")
-    component = materialize(connected_components(links.unionByName(more)), "components")
-
-    of_class = classes.select("print", "id").join(component, F.col("id") == F.col("v"), "left").select("print", F.coalesce("label", "id").alias("component"))
-    of_class = materialize(of_class, "class-components")
+    # what the first links have joined is one vertex for the others, its smallest id
+    joined = connected_components(more).select(F.col("v").alias("was"), F.col("label").alias("component"))
+    of_class = classes.select("print", "id").join(labels, F.col("id") == F.col("v"), "left").select("print", F.coalesce("label", "id").alias("was"))
+    of_class = materialize(of_class.join(joined, "was", "left").select("print", F.coalesce("component", "was").alias("component")), "class-components")
     out = base.select("doc_id", "n_shingles", "print").join(of_class, "print", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
