@@ -1,15 +1,19 @@
 """Operators that hold rows against each other, with brute force beside them, and the pipeline."""
 
+import base64
+import hashlib
 import math
 import random
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 
 import __spark_entry__
 import corpus_pipeline
-from scorewright.llm import near_dedup, topk, toxicity
+from scorewright.llm import decontaminate, near_dedup, secrets, topk, toxicity
 from scorewright.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -193,9 +197,42 @@ def test_pipeline(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).count() == kept.count()
 
 
+def test_the_pipeline_equals_its_parts_one_by_one(spark):
+    """run() against the learned model's own scores, similarities of all pairs, every item against every whole text, and the tokenizer's library."""
+    docs, labels, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = toxicity.train(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    scores = toxicity.Scorer(*model)([t or "" for _, t in rows])
+    rows = [r for r, x in zip(rows, scores, strict=True) if x < 0.5]
+    assert 0 < docs.count() - len(rows) < docs.count() / 2
+    first = {d for d, _, _, kept in brute(rows, 80) if kept}
+    assert len(first) < len(rows)
+    rows = [r for r in rows if r[0] in first]
+    asked = [f" {decontaminate.normalised(r['text'])} " for r in items.collect()]
+
+    def leaks(text):
+        plain = f" {decontaminate.normalised(text or '')} "
+        return any(decontaminate.best_fit(item, plain, int(decontaminate.ERRORS * (len(item) - 2))) for item in asked)
+
+    clean = [(d, t) for d, t in rows if not leaks(t)]
+    assert len(clean) < len(rows)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for d, t in clean:
+        out, at = "", 0
+        for _, start, end in secrets.findings(t or ""):
+            if end > at:
+                out, at = (out + (t or "")[at:start] + "[SECRET]" if start >= at else out), end
+        ids = library.encode_ordinary(out + (t or "")[at:])
+        want[d] = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert got == want
+
+
 def test_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_the_cut_weighs_classes_by_all_labels(spark, monkeypatch):
@@ -213,3 +250,25 @@ def test_a_weight_counts_as_so_many_rows():
     weights = np.array([1, 1, 8, 1, 8, 8])
     assert toxicity.calibrated(margins, toxic, weights) == toxicity.calibrated(np.repeat(margins, weights), np.repeat(toxic, weights), np.ones(27)) == 3.5
     assert toxicity.calibrated(margins, toxic, np.ones(6)) == 1.5
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_in_large_mixed_nodes(spark, monkeypatch, percent):
+    """All texts share a passage, so nodes are large and mixed down to deep levels; pairs near the threshold are planted among them."""
+    monkeypatch.setattr(near_dedup, "LEAF", 24)
+    rng = random.Random(percent)
+    words = [f"w{k}" for k in range(5000)]
+    passage, rows = rng.choices(words, k=60), []
+    for k in range(450):
+        own = [*passage, *rng.choices(words, k=50)]
+        rows.append((k, " ".join(own)))
+        other = [*own]
+        for at in rng.sample(range(5, 105, 6), rng.randrange(1, 4)):
+            other[at] = rng.choice(words)
+        rows.append((10_000 + k, " ".join(other)))
+    want = {d: c for d, _, c, _ in brute(rows, percent)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, percent).collect()}
+    linked = [d for d in want if want[d] != d]
+    assert len(linked) > 80 and all(got[d] >= want[d] for d in want)
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)

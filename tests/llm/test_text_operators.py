@@ -408,6 +408,44 @@ def test_leaks(spark):
     assert decontaminate.clean_documents(docs, items).columns == docs.columns
 
 
+def test_leaks_equal_brute_force(spark):
+    """All stretches of all texts against all items, by the plain table of distances."""
+    draw = random.Random(6)
+    words = "ab abc b bcd c cde d def e efg".split()
+    items = [(k, " ".join(draw.choices(words, k=draw.randrange(1, 12)))) for k in range(14)] + [(3, "ab abc"), (90, None), (91, ""), (92, "?!"), (None, "ab")]
+    texts = []
+    for k in range(60):
+        own = draw.choices(words, k=draw.randrange(14))
+        if k % 2:
+            held = [*(draw.choice(items[:14])[1])]
+            for _ in range(draw.randrange(3)):
+                at = draw.randrange(len(held))
+                held[at : at + draw.randrange(2)] = draw.choice(["", "x", "b"])
+            own.insert(draw.randrange(len(own) + 1), "".join(held))
+        texts.append((k, " ".join(own)))
+    texts += [texts[5], (700, None), (701, "")]
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for k, a in enumerate(item, 1):
+            new = [k]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row)
+
+    for errors in (0.08, 0.2):
+        want = []
+        for d, t in texts:
+            plain = f" {decontaminate.normalised(t or '')} "
+            for i, x in items:
+                item = decontaminate.normalised(x or "")
+                if i is not None and item and (n := least(f" {item} ", plain)) <= int(errors * (len(item) + 2)):
+                    want.append((d, i, n))
+        got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), errors).select("doc_id", "item_id", "distance").collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
 def test_leaks_are_whole_words_at_their_places(spark):
     item = "seven wizards quietly watch from the old stone bridge over there"
     odd = "\u0130stanbul \u0130\u0130 \u0391\u03a3 \ufb01n \U0001f600 \u00df: "
