@@ -308,7 +308,7 @@ def _next_nodes(level: int, branches: tuple[int, ...]):
                 value = bits[np.arange(len(tree)), (first + tree) % SKETCH].astype(np.uint64)
                 with np.errstate(over="ignore"):
                     out = mix64(mix64(node + np.uint64(branch)) + value).view(np.int64)
-                yield pa.record_batch([pa.array(out), batch.column(1), batch.column(2), pa.array(tree)], names=["node", "id", "label", "tree"])
+                yield pa.record_batch([pa.array(out), batch.column(1), batch.column(2), pa.array(tree), batch.column(4)], names=["node", "id", "label", "tree", "bits"])
 
     return run
 
@@ -352,13 +352,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         mixed = materialize(per_label.groupBy("node").agg(F.sum("count").alias("n"), F.count("*").alias("n_labels")).where("n_labels > 1"), "mixed")
         large = mixed.where(F.col("n") > LEAF)
         any_large = level < LEVELS and large.limit(1).count() > 0
-        leaf = labelled.join(mixed if not any_large else mixed.where(F.col("n") <= LEAF), "node")
-        involved = _leaf_rows(leaf, bits).mapInArrow(_involved(least), LEAF_ROW)
+        rows = labelled.join(mixed, "node")
+        if level == 1:  # what may be compared carries its sketch from here on
+            rows = materialize(rows.join(bits, "id").select("node", "id", "label", "tree", "n", "bits"), "mixed-rows")
+        leaf = rows.where(F.col("n") <= LEAF) if any_large else rows
+        involved = _leaf_rows(leaf).mapInArrow(_involved(least), LEAF_ROW)
         found = involved if found is None else found.unionByName(involved)
         if not any_large:
             break
-        deeper = labelled.join(large.select("node"), "node").join(bits, "id")
-        labelled = deeper.select("node", "id", "label", "tree", "bits").mapInArrow(_next_nodes(level, branches), "node long, id long, label long, tree int")
+        deeper = rows.where(F.col("n") > LEAF).select("node", "id", "label", "tree", "bits")
+        labelled = deeper.mapInArrow(_next_nodes(level, branches), "node long, id long, label long, tree int, bits binary")
     found = materialize(found, "involved").join(texts, "id").select("node", "block", "id", "label", "bits", "packed")
     more = found.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(least, percent, size), "a long, b long")
     # what the first links have joined is one vertex for the others, its smallest id
@@ -381,8 +384,8 @@ def without_copies(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> D
 LEAF_ROW = "node long, block int, id long, label long, bits binary"
 
 
-def _leaf_rows(leaf: DataFrame, bits: DataFrame) -> DataFrame:
-    """The rows of ``leaf`` (node, id, label, n) with their sketches, gathered by node; over LEAF rows, in blocks.
+def _leaf_rows(leaf: DataFrame) -> DataFrame:
+    """The rows of ``leaf`` (node, id, label, n, bits), gathered by node; over LEAF rows, in blocks.
 
     A row of a large node goes to one task for each pair of blocks that its own block is in.
     """
@@ -395,8 +398,9 @@ def _leaf_rows(leaf: DataFrame, bits: DataFrame) -> DataFrame:
         F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).alias("block"),
         "id",
         "label",
+        "bits",
     )
-    return dealt.join(bits, "id").select("node", "block", "id", "label", "bits").repartition("node").sortWithinPartitions("node")
+    return dealt.repartition("node").sortWithinPartitions("node")
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
