@@ -440,7 +440,7 @@ def test_leaks_equal_brute_force(spark):
             plain = f" {decontaminate.normalised(t or '')} "
             for i, x in items:
                 item = decontaminate.normalised(x or "")
-                if i is not None and item and (n := least(f" {item} ", plain)) <= int(errors * (len(item) + 2)):
+                if i is not None and item and (n := least(f" {item} ", plain)) <= int(errors * len(item)):
                     want.append((d, i, n))
         got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), errors).select("doc_id", "item_id", "distance").collect()
         assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
