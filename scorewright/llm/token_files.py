@@ -61,6 +61,7 @@ class ChunkIds(dict):
         # strings of added tokens in a text are these tokens, as the library has it; what holds one is left to it whole
         added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()} - {""}, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.signed = not any(t.isalnum() for t in added)  # so that a word of letters and digits holds none
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # a mark between chunks that is one token, so that many are encoded at once
         alone = ((c, self.encoded(c)) for c in "~^_@\u00a7")
@@ -95,9 +96,10 @@ class ChunkIds(dict):
         if len(self) + 2 * len(new) > self.most or self.chars > self.most_chars:
             self.clear()
             self.chars, new = 0, list(chunks)
-        for chunk in [c for c in new if self.added.search(c.lower())] if self.added else ():
+        special = {c for c in new if not (self.signed and c.isalnum()) and self.added.search(c.lower())} if self.added else set()
+        for chunk in special:
             self[chunk] = np.array(self.encoded(chunk), self.kind).tobytes()
-        new = [c for c in new if c not in self]
+        new = [c for c in new if c not in special] if special else new
         more = [c for c in new if not c.isalnum()] if self.cut else []
         cut = [*map(self.cut.split, more)] if more else []
         stems = {c for c in new if c.isalnum()}.union(*cut) if self.cut else new
