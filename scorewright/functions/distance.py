@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ FIRST_SYMBOL, SYMBOLS = 0x10000, 1 << 20
 CELLS = 1 << 17
 #: The narrowest band of a long distance, and how much wider each next one is.
 NARROWEST, WIDER = 64, 4
+#: Numbers in an antidiagonal of a block of pairs that are split together, and how many cells they may have for each of their own.
+TOGETHER, PADDED = 1 << 15, 1.6
 
 
 def _code(word: Column) -> Column:
@@ -114,35 +118,92 @@ def beyond_cells(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "int")(F.when(beyond, a), F.when(beyond, b))
 
 
-def split_counts(h: list[str], r: list[str]) -> tuple[int, int, int, int]:
-    """(edits, substitutions, deletions, insertions) of the cheapest alignment that substitutes most.
+def split_costs(h: np.ndarray, r: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, substitutions) of the cheapest alignments that substitute most, of a block of pairs: a column each, with ``n`` and ``m`` words.
 
     A substitution costs a little less than a deletion or insertion, so one distance holds both numbers; the
-    lengths give the rest. A row of its table is a running minimum and needs no step for each cell.
+    lengths give the rest. An antidiagonal of all tables is filled at once from the two before it. Below a
+    pair's own words stands what is in no pair; it changes nothing in the cells of its own.
     """
-    unit = len(h) + len(r) + 2
-    number = {w: k for k, w in enumerate(dict.fromkeys(r))}
-    target = np.array([number[w] for w in r], np.int64)
-    ramp = np.arange(len(r) + 1, dtype=np.int64) * unit
-    row = ramp.copy()
-    for word in h:
-        swapped = row[:-1] + np.where(target == number.get(word, -1), 0, unit - 1)
-        below = np.append(row[0] + unit, np.minimum(swapped, row[1:] + unit))
-        row = np.minimum.accumulate(below - ramp) + ramp
-    edits = -(-int(row[-1]) // unit)
-    subs = edits * unit - int(row[-1])
-    ins = (edits - subs - (len(r) - len(h))) // 2
-    return edits, subs, edits - subs - ins, ins
+    rows, columns = len(h), len(r)
+    unit = rows + columns + 2
+    kind = np.int32 if unit * (max(rows, columns) + 2) < 2**31 else np.int64
+    before, last, now = (np.zeros((rows + 1, h.shape[1]), kind) for _ in range(3))
+    backward, out = r[::-1], np.zeros(h.shape[1], np.int64)
+    ending: dict[int, list[int]] = {}
+    for k, d in enumerate((n + m).tolist()):
+        ending.setdefault(d, []).append(k)
+    for d in range(max(ending, default=-1) + 1):
+        a, b = max(0, d - columns), min(rows, d)
+        low, high = max(a, 1), min(b, d - 1)
+        if low <= high:
+            cell = now[low : high + 1]
+            np.minimum(last[low - 1 : high], last[low : high + 1], out=cell)
+            cell += unit
+            swapped = (h[low - 1 : high] != backward[columns - d + low : columns - d + high + 1]) * kind(unit - 1)
+            swapped += before[low - 1 : high]
+            np.minimum(cell, swapped, out=cell)
+        if a == 0:
+            now[0] = d * unit
+        if b == d:
+            now[d] = d * unit
+        if (own := ending.get(d)) is not None:
+            out[own] = now[n[own], own]
+        before, last, now = last, now, before
+    edits = -(-out // unit)
+    return edits, edits * unit - out
+
+
+def blocks(n: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """Places of pairs with ``n`` and ``m`` words, in blocks of nearly the same lengths."""
+    out, own, cells, rows, columns = [], [], 0, 0, 0
+    for k in np.lexsort((n, m // 8)).tolist():
+        x, y = int(n[k]), int(m[k])
+        most, wide, cells = max(rows, x), max(columns, y), cells + (x + 1) * (y + 1)
+        if own and ((len(own) + 1) * (most + 1) > TOGETHER or (len(own) + 1) * (most + 1) * (wide + 1) > PADDED * cells):
+            out.append(np.array(own))
+            own, cells, most, wide = [], (x + 1) * (y + 1), x, y
+        own.append(k)
+        rows, columns = most, wide
+    return [*out, np.array(own)] if own else out
+
+
+def _padded(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: int) -> np.ndarray:
+    """The words of some pairs as columns, with ``other`` below them."""
+    at = np.arange(lengths.max(initial=0))[:, None]
+    inside = at < lengths
+    return np.where(inside, codes[np.where(inside, starts + at, 0)] if len(codes) else other, other).astype(np.int32)
+
+
+def split_words(h: pa.ListArray, r: pa.ListArray) -> pa.StructArray:
+    """struct(edits, subs, dels, ins) of the pairs of two arrays of words; null arrays count as empty."""
+    sides = []
+    for side in (h, r):
+        n = pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sides.append((side.flatten(), n, np.cumsum(n) - n))
+    (h_words, n, h_at), (r_words, m, r_at) = sides
+    codes = pa.chunked_array([h_words, r_words]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    h_codes, r_codes = codes[: len(h_words)], codes[len(h_words) :]
+    edits, subs = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for own in blocks(n, m):
+        edits[own], subs[own] = split_costs(_padded(h_codes, h_at[own], n[own], -1), _padded(r_codes, r_at[own], m[own], -2), n[own], m[own])
+    ins = (edits - subs - (m - n)) // 2
+    return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (edits, subs, edits - subs - ins, ins)], names=["edits", "subs", "dels", "ins"])
+
+
+def split_counts(h: list[str], r: list[str]) -> tuple[int, int, int, int]:
+    """(edits, substitutions, deletions, insertions) of the cheapest alignment of two lists of words that substitutes most."""
+    kind = pa.list_(pa.string())
+    return tuple(split_words(pa.array([h], kind), pa.array([r], kind))[0].as_py().values())
 
 
 def edit_split(h: Column, r: Column) -> Column:
-    """struct(edits, subs, dels, ins) of two arrays of words by ``split_counts``; null arrays count as empty."""
+    """struct(edits, subs, dels, ins) of two arrays of words by ``split_words``."""
 
-    def run(h: pd.Series, r: pd.Series) -> pd.DataFrame:
-        rows = [split_counts([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(h, r, strict=True)]
-        return pd.DataFrame(rows, columns=["edits", "subs", "dels", "ins"])
+    def run(h: pa.Array, r: pa.Array) -> pa.Array:
+        return split_words(h, r)
 
-    return F.pandas_udf(run, "edits int, subs int, dels int, ins int")(h, r)
+    return F.arrow_udf(run, "edits int, subs int, dels int, ins int")(h, r)
 
 
 def spread(pairs: DataFrame, *keys: str) -> DataFrame:

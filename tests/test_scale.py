@@ -151,3 +151,33 @@ def test_last_starts_by_doubling():
 def test_written_tables_are_read_back(spark):
     frame = written(spark.range(5).withColumn("x", F.rand()), "t")
     assert sorted(frame.collect()) == sorted(frame.collect()) and "scorewright" not in frame.schema.simpleString()
+
+
+def costs_of(h, r):
+    """(edits, most substitutions of so few edits) by the plain table."""
+    row = [(j, 0) for j in range(len(r) + 1)]
+    for i, x in enumerate(h, 1):
+        new = [(i, 0)]
+        for j, y in enumerate(r, 1):
+            swapped = row[j - 1] if x == y else (row[j - 1][0] + 1, row[j - 1][1] - 1)
+            new.append(min(swapped, (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    return row[-1][0], -row[-1][1]
+
+
+def test_many_pairs_are_split_together():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    kind = pa.list_(pa.string())
+    h = [rng.choices("a b c dd ee".split(), k=rng.randrange(25)) for _ in range(1500)] + [None, [], ["a"], None]
+    r = [[w for w in x or () if rng.random() < 0.8] + rng.choices("a b f".split(), k=rng.randrange(9)) for x in h[:-2]] + [[], None]
+    got = distance.split_words(pa.array(h, kind), pa.array(r, kind)).to_pylist()
+    for x, y, s in zip(h, r, got, strict=True):
+        x, y = x or [], y or []
+        assert (s["edits"], s["subs"]) == costs_of(x, y) and s["edits"] == s["subs"] + s["dels"] + s["ins"] and s["dels"] - s["ins"] == len(y) - len(x)
+    assert distance.split_words(pa.array(h, kind).slice(90, 20), pa.array(r, kind).slice(90, 20)).to_pylist() == got[90:110]
+    words = [rng.choices("abcdefghij", k=150) for _ in range(4000)]
+    began = time.process_time()
+    distance.split_words(pa.array(words, kind), pa.array(words[1:] + words[:1], kind))
+    assert time.process_time() - began < 3
