@@ -30,17 +30,23 @@ def clashes(alphabet: Column) -> Column:
     return F.size(F.array_distinct(F.transform(alphabet, _code))) < F.size(alphabet)
 
 
-def symbols(of: Column, alphabet: Column, clash: Column) -> Column:
-    """Words as a string of one code point each: by their hash or, where ``clash``, by their positions in ``alphabet``.
+def _written(points: Column) -> Column:
+    """The string of an array of code points, given from FIRST_SYMBOL on."""
+    return F.decode(F.unhex(F.array_join(F.transform(points, lambda p: F.lpad(F.hex(p + FIRST_SYMBOL), 8, "0")), "")), "UTF-32")
+
+
+def hashed(of: Column) -> Column:
+    """Words as a string of one code point each, by their hash."""
+    return _written(F.transform(of, _code))
+
+
+def symbols(of: Column, by_hash: Column, alphabet: Column, clash: Column) -> Column:
+    """Words as a string of one code point each: ``by_hash`` or, where ``clash``, by their positions in ``alphabet``.
 
     Above SYMBOLS different words in a pair that clashes it raises, since its words would run out of symbols.
     """
-    def point(word: Column) -> Column:
-        code = F.when(clash, F.array_position(alphabet, word) - 1).otherwise(_code(word))
-        return F.lpad(F.hex(code + FIRST_SYMBOL), 8, "0")
-
-    written = F.decode(F.unhex(F.array_join(F.transform(of, point), "")), "UTF-32")
-    return F.when(clash & (F.size(alphabet) > SYMBOLS), F.raise_error(F.lit("a pair has more different words than symbols")).cast("string")).otherwise(written)
+    by_place = _written(F.transform(of, lambda word: F.array_position(alphabet, word) - 1))
+    return F.when(clash & (F.size(alphabet) > SYMBOLS), F.raise_error(F.lit("a pair has more different words than symbols")).cast("string")).when(clash, by_place).otherwise(by_hash)
 
 
 def banded(pattern: str, text: str, band: int) -> int:
@@ -211,6 +217,12 @@ def spread(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def prepared(texts: DataFrame, text: str, name: str) -> DataFrame:
+    """``texts`` with the normal form of a text as ``name``_norm and its words' symbols as _``name``_hashed, which ``with_error_rates`` takes if a pair has them."""
+    out = texts.withColumn(f"{name}_norm", normalize(F.col(text)))
+    return out.withColumn(f"_{name}_hashed", hashed(words(F.col(f"{name}_norm"))))
+
+
 def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", split: bool = False, rates: tuple[str, ...] = ("wer", "cer")) -> DataFrame:
     """``pairs`` with hyp_norm, ref_norm, empty_reference, and for wer: word_edits, word_n, wer; for cer: char_edits, char_n, cer.
 
@@ -220,9 +232,13 @@ def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference
     The counts come out of a generator of one row, which a filter on a rate stays above: pushed below, it
     would have the normal forms and distances evaluated again, and the words' alphabet for each word. Ask
     only for the rates that are needed, since a generator's columns aren't pruned. Short strings' distances
-    are the built-in one; of long ones the time grows with their length times their distance.
+    are the built-in one; of long ones the time grows with their length times their distance. Texts that are
+    in several pairs may come ``prepared``.
     """
-    out = pairs.withColumns({"hyp_norm": normalize(F.col(hypothesis)), "ref_norm": normalize(F.col(reference))})
+    out = pairs
+    for text, name in ((hypothesis, "hyp"), (reference, "ref")):
+        if f"_{name}_hashed" not in pairs.columns:
+            out = prepared(out, text, name)
     out = out.withColumns({"empty_reference": F.col("ref_norm") == "", "_h": words(F.col("hyp_norm")), "_r": words(F.col("ref_norm"))})
     some, counts = ~F.col("empty_reference"), {}
     if split:
@@ -230,7 +246,7 @@ def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference
         counts |= {"word_edits": F.coalesce("_split.edits", F.lit(0)), **{k: F.coalesce(f"_split.{k}", F.lit(0)) for k in ("subs", "dels", "ins")}}
     elif "wer" in rates:
         out = out.withColumn("_words", F.array_distinct(F.concat("_h", "_r"))).withColumn("_clash", clashes(F.col("_words")))
-        out = out.withColumns({f"{c}s": symbols(F.col(c), F.col("_words"), F.col("_clash")) for c in ("_h", "_r")})
+        out = out.withColumns({f"{c}s": symbols(F.col(c), F.col(by_hash), F.col("_words"), F.col("_clash")) for c, by_hash in (("_h", "_hyp_hashed"), ("_r", "_ref_hashed"))})
         out = out.withColumn("_long_words", beyond_cells(F.col("_hs"), F.when(some, F.col("_rs"))))
         counts |= {"word_edits": F.when(some, F.coalesce("_long_words", F.levenshtein("_hs", "_rs"))).otherwise(0)}
     if split or "wer" in rates:
@@ -239,7 +255,7 @@ def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference
         out = out.withColumn("_long_chars", beyond_cells(F.col("hyp_norm"), F.when(some, F.col("ref_norm"))))
         counts |= {"char_n": F.length("ref_norm"), "char_edits": F.when(some, F.coalesce("_long_chars", F.levenshtein("hyp_norm", "ref_norm"))).otherwise(0)}
     counted = F.inline(F.array(F.struct(*(v.alias(k) for k, v in counts.items()))))
-    out = out.select("*", counted).drop("_h", "_r", "_hs", "_rs", "_words", "_clash", "_split", "_long_words", "_long_chars")
+    out = out.select("*", counted).drop("_h", "_r", "_hyp_hashed", "_ref_hashed", "_hs", "_rs", "_words", "_clash", "_split", "_long_words", "_long_chars")
     missing = (F.coalesce(F.col(hypothesis), F.lit("")) == "") | (F.coalesce(F.col(reference), F.lit("")) == "")
     of = {"wer": "word", "cer": "char"}
     return out.withColumns({name: F.when(missing, 1.0).otherwise(F.try_divide(f"{of[name]}_edits", f"{of[name]}_n")) for name in rates})

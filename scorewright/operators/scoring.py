@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import spread, with_error_rates
+from ..functions.distance import prepared, spread, with_error_rates
 
 KEYS = ("model", "dataset", "ref_name")
 
@@ -33,9 +33,16 @@ def sample_pairs(samples: DataFrame, hypotheses: DataFrame) -> DataFrame:
 
 
 def sample_metrics(samples: DataFrame, hypotheses: DataFrame, split: bool = False, rates: tuple[str, ...] = ("wer", "cer")) -> DataFrame:
-    """The pairs with their edits and rates; dealt out by sample, since the work grows with the texts' lengths."""
-    pairs = spread(sample_pairs(samples, hypotheses), "model", "dataset", "idx")
-    return with_error_rates(pairs, split=split, rates=rates)
+    """The pairs with their edits and rates; both sides are dealt out by sample, since the work grows with the texts' lengths.
+
+    Each text is normalised once, before it meets those that it is held against.
+    """
+    keys = ("dataset", "idx")
+    each = spread(samples.select(*keys, "references"), *keys).select(*keys, F.explode(present_references(F.col("references"))).alias("ref_name", "reference"))
+    said = spread(hypotheses.select("model", *keys, "hypothesis"), *keys)
+    pairs = prepared(said, "hypothesis", "hyp").join(prepared(each, "reference", "ref"), [*keys])
+    own = ("model", *keys, "ref_name", "reference", "hypothesis")
+    return with_error_rates(pairs.select(*own, *(c for c in pairs.columns if c not in own)), split=split, rates=rates)
 
 
 def reference_metrics(metrics: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

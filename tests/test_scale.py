@@ -181,3 +181,17 @@ def test_many_pairs_are_split_together():
     began = time.process_time()
     distance.split_words(pa.array(words, kind), pa.array(words[1:] + words[:1], kind))
     assert time.process_time() - began < 3
+
+
+def test_texts_are_normalised_before_they_meet(spark):
+    """Each text is normalised and its words are hashed once, however many models or references it is held against."""
+    from scorewright.operators import scoring
+
+    rows = [("d", k, {"ort": f"The cat {k} sat.", "dialect": f"de Katz {k}"}) for k in range(20)]
+    samples = spark.createDataFrame(rows, "dataset string, idx long, references map<string,string>")
+    hypotheses = spark.createDataFrame([(m, "d", k, f"the cat {k}") for m in ("x", "y") for k in range(20)], "model string, dataset string, idx long, hypothesis string")
+    out = scoring.sample_metrics(samples, hypotheses, rates=("wer",))
+    assert out.columns == ["model", "dataset", "idx", "ref_name", "reference", "hypothesis", "hyp_norm", "ref_norm", "empty_reference", "word_edits", "word_n", "wer"]
+    above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "regexp_replace" not in above and "regexp_replace" in below
+    assert {(r["ref_name"], r["word_edits"], r["word_n"]) for r in out.collect()} == {("ort", 1, 4), ("dialect", 2, 3)}
