@@ -10,6 +10,8 @@ range, told where the chain enters it, makes its groups, and a group that goes o
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -28,6 +30,8 @@ from .tables import written
 
 #: Edges between ranges that go through the driver; more of them are followed as tables.
 MOST_COLLECTED = 200_000
+#: Pieces of a range on average: more of them make more ranges, so that a task's memory doesn't grow with the table.
+A_RANGE = 500_000
 
 
 def cut(segments: DataFrame, most: int) -> DataFrame:
@@ -57,14 +61,30 @@ def last_starts(successor: np.ndarray) -> np.ndarray:
         at = further
 
 
-def chain(start: list[int], end: list[int], most: int, entry: int = 0) -> list[tuple[int, int]]:
-    """(first, last) piece of each group from ``entry`` on."""
-    out, first = [], entry
-    for k in range(entry, len(start)):
-        if end[k] - start[first] > most:
-            out.append((first, k - 1))
-            first = k
-    return [*out, (first, len(start) - 1)] if entry < len(start) else out
+def successors_by_run(start: np.ndarray, end: np.ndarray, runs: list[tuple[int, int]], most: int) -> np.ndarray:
+    """The successors of the pieces of many speakers, a run each; where none ends beyond, the first place after the run.
+
+    Each run is moved behind all that the one before can reach, so that one search serves as many as there are numbers for.
+    """
+    out = np.empty(len(start), np.int64)
+    low = min(int(start.min()), int(end.min()))
+    step = max(int(start.max()), int(end.max())) - low + most + 1
+    some = max(1, 2**62 // step)
+    for k in range(0, len(runs), some):
+        own = np.array(runs[k : k + some], np.int64)
+        a, b = own[0, 0], own[-1, 1]
+        moved = np.repeat(np.arange(len(own)) * step, own[:, 1] - own[:, 0]) - low
+        out[a:b] = successors(start[a:b] + moved, end[a:b] + moved, most) + a
+    return out
+
+
+def firsts(successor: np.ndarray, entry: int, stop: int) -> np.ndarray:
+    """The first piece of each group from ``entry`` on."""
+    out = array("q")
+    while entry < stop:
+        out.append(entry)
+        entry = int(successor[entry])
+    return np.array(out, np.int64)
 
 
 def _runs(column: pa.Array) -> list[tuple[int, int]]:
@@ -75,9 +95,23 @@ def _runs(column: pa.Array) -> list[tuple[int, int]]:
     return [*zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Each range's number and rows, which come one range after the other; no more than one is held."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = batch.column(batch.schema.get_field_index("part")).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.nonzero(parts[1:] != parts[:-1])[0] + 1).tolist(), len(parts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and parts[a] != now:
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = int(parts[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
 
 
 def greedy_groups(segments: DataFrame, by: str, most: int, ranges: int | None = None) -> DataFrame:
@@ -86,32 +120,35 @@ def greedy_groups(segments: DataFrame, by: str, most: int, ranges: int | None =
     Segments are taken by start, then end, and longer ones are cut first; a group ends where its last piece
     does; ``k`` counts a speaker's groups from 0. Segments that repeat count once, which makes no difference;
     those with a null are left out, and so are groups without extent, though they have a number. ``ranges`` is
-    the number of ranges, which should each fit in a task's memory; the shuffle partitions' number by default.
+    the number of ranges, which should each fit in a task's memory; by default one for A_RANGE pieces each, and
+    at least the shuffle partitions' number.
     """
     kind = segments.schema[by].dataType
     pieces = cut(segments.where(F.col(by).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(F.col(by).alias("by"), "start", "end"), most).distinct()
+    if ranges is None:
+        pieces = written(pieces, "group-segments")
+        ranges = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pieces.count() / A_RANGE))
     placed = in_ranges(pieces, "by", "start", "end", ranges=ranges)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of speakers that surely lie in one range; the pieces of those at its ends, each with its chain's last start."""
-        table = _whole(batches)
-        for part in pc.unique(table["part"]).to_pylist() if table is not None else ():
-            own = table.filter(pc.equal(table["part"], part)).sort_by("at").combine_chunks()
+        for part, own in _parts(batches):
             names, start, end = own["by"].combine_chunks(), own["start"].to_numpy(), own["end"].to_numpy()
-            runs, out = _runs(names), {c: [] for c in ("at", "k", "from", "to", "exit", "exit_start")}
-            for n, (a, b) in enumerate(runs):
-                if 0 < n < len(runs) - 1:
-                    s, e = start[a:b].tolist(), end[a:b].tolist()
-                    for k, (x, y) in enumerate(chain(s, e, most)):
-                        for c, v in zip(out, (a, k, s[x], e[y], None, None), strict=True):
-                            out[c].append(v)
-                else:
-                    exits = last_starts(successors(start[a:b], end[a:b], most)) + a
-                    for c, v in zip(out, (range(a, b), [None] * (b - a), start[a:b].tolist(), end[a:b].tolist(), exits.tolist(), start[exits].tolist()), strict=True):
-                        out[c] += v
-            at = pa.array(out["at"], pa.int64())
-            columns = [names.take(at), pa.array([part] * len(at), pa.int64()), at, *(pa.array(out[c], pa.int64()) for c in ("k", "from", "to", "exit", "exit_start"))]
-            yield pa.record_batch(columns, names=shape.names)
+            runs = _runs(names)
+
+            def rows(at: np.ndarray, k: np.ndarray | None, to: np.ndarray, exits: np.ndarray | None) -> pa.RecordBatch:
+                none = pa.nulls(len(at), pa.int64())
+                numbers = (np.full(len(at), part), at, k, start[at], to, exits, None if exits is None else start[exits])
+                return pa.record_batch([names.take(pa.array(at)), *(none if c is None else pa.array(c, pa.int64()) for c in numbers)], names=shape.names)
+
+            if inner_runs := runs[1:-1]:
+                a, b = inner_runs[0][0], inner_runs[-1][1]
+                begun = firsts(successors_by_run(start[a:b], end[a:b], [(x - a, y - a) for x, y in inner_runs], most), 0, b - a) + a
+                heads = np.array([x for x, _ in inner_runs])
+                of = np.searchsorted(heads, begun, side="right") - 1
+                yield rows(begun, np.arange(len(begun)) - np.searchsorted(begun, heads)[of], end[np.append(begun[1:], b) - 1], None)
+            for a, b in {runs[0], runs[-1]}:
+                yield rows(np.arange(a, b), None, end[a:b], last_starts(successors(start[a:b], end[a:b], most)) + a)
 
     long = LongType()
     shape = StructType([StructField("by", kind), *(StructField(c, long) for c in ("part", "at", "k", "start", "end", "exit", "exit_start"))])
@@ -136,26 +173,24 @@ def _over_ranges(pieces: DataFrame, most: int, shape: StructType) -> DataFrame:
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups by where the chain enters; the pieces before that go on with a group of an earlier range, without a number."""
-        table = _whole(batches)
         first_part, entries, carried = given.value
-        for part in pc.unique(table["part"]).to_pylist() if table is not None else ():
-            own = table.filter(pc.equal(table["part"], part)).sort_by("at").combine_chunks()
+        for part, own in _parts(batches):
             names, at = own["by"].combine_chunks(), own["at"].to_numpy()
-            start, end = own["start"].to_pylist(), own["end"].to_pylist()
-            rows = []
+            start, end = own["start"].to_numpy(), own["end"].to_numpy()
             for a, b in _runs(names):
                 by = names[a].as_py()
                 entry = 0 if first_part[by] == part else entries.get((by, part))
                 entry = b - a if entry is None else entry if first_part[by] == part else int(np.searchsorted(at[a:b], entry))
+                begun = firsts(successors(start[a:b], end[a:b], most), entry, b - a) + a
+                last = np.append(begun[1:], b)[: len(begun)] - 1
+                k, began = pa.array(np.arange(len(begun)), pa.int64()), pa.array(start[begun], pa.int64())
                 if entry:
-                    rows.append((a, None, carried[by, part], a + entry - 1))
-                rows += [(a, k, start[a + x], a + y) for k, (x, y) in enumerate(chain(start[a:b], end[a:b], most, entry))]
-            if rows:
-                a, k, s, y = zip(*rows, strict=True)
-                columns = [names.take(pa.array(a, pa.int64())), pa.array([part] * len(a), pa.int64()), pa.array(at[list(y)]), pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array([end[x] for x in y], pa.int64())]
+                    last = np.insert(last, 0, a + entry - 1)
+                    k, began = pa.concat_arrays([pa.nulls(1, pa.int64()), k]), pa.concat_arrays([pa.array([carried[by, part]], pa.int64()), began])
+                columns = [names.take(pa.array(np.full(len(last), a))), pa.array(np.full(len(last), part)), pa.array(at[last]), k, began, pa.array(end[last])]
                 yield pa.record_batch(columns, names=shape.names[:6])
 
-    made = written(pieces.select("by", "part", "at", "start", "end").repartition("part").mapInArrow(second_pass, StructType(shape.fields[:6])), "groups")
+    made = written(pieces.select("by", "part", "at", "start", "end").repartition("part").sortWithinPartitions("part", "at").mapInArrow(second_pass, StructType(shape.fields[:6])), "groups")
     counts: dict[object, list[tuple[int, int]]] = {}
     for r in made.groupBy("by", "part").agg(F.count("k").alias("n")).orderBy("part").collect():
         counts.setdefault(r["by"], []).append((r["part"], r["n"]))

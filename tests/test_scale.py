@@ -195,3 +195,19 @@ def test_texts_are_normalised_before_they_meet(spark):
     above, below = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
     assert "regexp_replace" not in above and "regexp_replace" in below
     assert {(r["ref_name"], r["word_edits"], r["word_n"]) for r in out.collect()} == {("ort", 1, 4), ("dialect", 2, 3)}
+
+
+def test_ranges_of_groups_grow_with_the_pieces(spark, monkeypatch):
+    """A task holds about A_RANGE pieces, however many there are; so in both passes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(grouping, "A_RANGE", 100, raising=False)
+    used, in_ranges = [], grouping.in_ranges
+    monkeypatch.setattr(grouping, "in_ranges", lambda *a, ranges=None: used.append(ranges) or in_ranges(*a, ranges=ranges))
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot"] * 5 + [f"s{k}" for k in range(9)]), s := rng.randrange(-90_000, 90_000), s + rng.randrange(900)) for _ in range(1500)]
+    frame = spark.createDataFrame(rows, "speaker string, start long, end long")
+    assert sorted(map(tuple, grouping.greedy_groups(frame, "speaker", 1000).collect())) == brute_groups(rows, 1000)
+    assert len(used) == 1 and used[0] == 15
+    batches = [pa.record_batch([pa.array(p, pa.int64()), pa.array(range(len(p)))], names=["part", "at"]) for p in ([3, 3], [3, 8], [], [8], [1, 1, 2])]
+    assert [(p, t["part"].to_pylist()) for p, t in grouping._parts(iter(batches))] == [(3, [3, 3, 3]), (8, [8, 8]), (1, [1, 1]), (2, [2])]
