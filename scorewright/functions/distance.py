@@ -218,12 +218,11 @@ def spread(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def prepared(texts: DataFrame, text: str, name: str) -> DataFrame:
-    """``texts`` with the normal form of a text as ``name``_norm and its words' symbols as _``name``_hashed, which ``with_error_rates`` takes if a pair has them."""
-    out = texts.withColumn(f"{name}_norm", normalize(F.col(text)))
-    return out.withColumn(f"_{name}_hashed", hashed(words(F.col(f"{name}_norm"))))
+    """``texts`` with the normal form of a text as ``name``_norm."""
+    return texts.withColumn(f"{name}_norm", normalize(F.col(text)))
 
 
-def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", split: bool = False, rates: tuple[str, ...] = ("wer", "cer")) -> DataFrame:
+def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", split: bool = False, rates: tuple[str, ...] = ("wer", "cer"), ready: bool = False) -> DataFrame:
     """``pairs`` with hyp_norm, ref_norm, empty_reference, and for wer: word_edits, word_n, wer; for cer: char_edits, char_n, cer.
 
     A null or empty side before normalising makes both rates 1. A reference that normalises to nothing has
@@ -232,30 +231,31 @@ def with_error_rates(pairs: DataFrame, hypothesis: str = "hypothesis", reference
     The counts come out of a generator of one row, which a filter on a rate stays above: pushed below, it
     would have the normal forms and distances evaluated again, and the words' alphabet for each word. Ask
     only for the rates that are needed, since a generator's columns aren't pruned. Short strings' distances
-    are the built-in one; of long ones the time grows with their length times their distance. Texts that are
-    in several pairs may come ``prepared``.
+    are the built-in one; of long ones the time grows with their length times their distance. Words'
+    distances are those of ``split_words``, of long texts those of their symbols. ``ready`` says that both
+    sides are ``prepared``, for texts that are in several pairs.
     """
-    out = pairs
-    for text, name in ((hypothesis, "hyp"), (reference, "ref")):
-        if f"_{name}_hashed" not in pairs.columns:
-            out = prepared(out, text, name)
+    out = pairs if ready else prepared(prepared(pairs, hypothesis, "hyp"), reference, "ref")
     out = out.withColumns({"empty_reference": F.col("ref_norm") == "", "_h": words(F.col("hyp_norm")), "_r": words(F.col("ref_norm"))})
     some, counts = ~F.col("empty_reference"), {}
     if split:
         out = out.withColumn("_split", edit_split(F.col("_h"), F.when(some, F.col("_r")))).withColumn("_split", F.when(some, F.col("_split")))
         counts |= {"word_edits": F.coalesce("_split.edits", F.lit(0)), **{k: F.coalesce(f"_split.{k}", F.lit(0)) for k in ("subs", "dels", "ins")}}
     elif "wer" in rates:
-        out = out.withColumn("_words", F.array_distinct(F.concat("_h", "_r"))).withColumn("_clash", clashes(F.col("_words")))
-        out = out.withColumns({f"{c}s": symbols(F.col(c), F.col(by_hash), F.col("_words"), F.col("_clash")) for c, by_hash in (("_h", "_hyp_hashed"), ("_r", "_ref_hashed"))})
+        out = out.withColumn("_words", F.array_distinct(F.concat("_h", "_r")))
+        long = (F.size("_h").cast("long") * F.size("_r") > CELLS) | (F.size("_words") > SYMBOLS)
+        out = out.withColumn("_long", long).withColumn("_clash", F.when(F.col("_long"), clashes(F.col("_words"))))
+        out = out.withColumns({f"{c}s": F.when(F.col("_long"), symbols(F.col(c), hashed(F.col(c)), F.col("_words"), F.col("_clash"))) for c in ("_h", "_r")})
         out = out.withColumn("_long_words", beyond_cells(F.col("_hs"), F.when(some, F.col("_rs"))))
-        counts |= {"word_edits": F.when(some, F.coalesce("_long_words", F.levenshtein("_hs", "_rs"))).otherwise(0)}
+        out = out.withColumn("_split", edit_split(*(F.when(some & ~F.col("_long"), F.col(c)) for c in ("_h", "_r"))))
+        counts |= {"word_edits": F.when(some, F.coalesce("_long_words", "_split.edits")).otherwise(0)}
     if split or "wer" in rates:
         counts |= {"word_n": F.size("_r")}
     if "cer" in rates:
         out = out.withColumn("_long_chars", beyond_cells(F.col("hyp_norm"), F.when(some, F.col("ref_norm"))))
         counts |= {"char_n": F.length("ref_norm"), "char_edits": F.when(some, F.coalesce("_long_chars", F.levenshtein("hyp_norm", "ref_norm"))).otherwise(0)}
     counted = F.inline(F.array(F.struct(*(v.alias(k) for k, v in counts.items()))))
-    out = out.select("*", counted).drop("_h", "_r", "_hyp_hashed", "_ref_hashed", "_hs", "_rs", "_words", "_clash", "_split", "_long_words", "_long_chars")
+    out = out.select("*", counted).drop("_h", "_r", "_long", "_hs", "_rs", "_words", "_clash", "_split", "_long_words", "_long_chars")
     missing = (F.coalesce(F.col(hypothesis), F.lit("")) == "") | (F.coalesce(F.col(reference), F.lit("")) == "")
     of = {"wer": "word", "cer": "char"}
     return out.withColumns({name: F.when(missing, 1.0).otherwise(F.try_divide(f"{of[name]}_edits", f"{of[name]}_n")) for name in rates})

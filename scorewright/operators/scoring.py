@@ -42,7 +42,7 @@ def sample_metrics(samples: DataFrame, hypotheses: DataFrame, split: bool = Fals
     said = spread(hypotheses.select("model", *keys, "hypothesis"), *keys)
     pairs = prepared(said, "hypothesis", "hyp").join(prepared(each, "reference", "ref"), [*keys])
     own = ("model", *keys, "ref_name", "reference", "hypothesis")
-    return with_error_rates(pairs.select(*own, *(c for c in pairs.columns if c not in own)), split=split, rates=rates)
+    return with_error_rates(pairs.select(*own, *(c for c in pairs.columns if c not in own)), split=split, rates=rates, ready=True)
 
 
 def reference_metrics(metrics: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
