@@ -1,12 +1,13 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its distinct word shingles. Sets that are equal form a class; one document
-stands for it. Each of several independent trees branches the classes by a minwise token: a node
-holds the classes that agree on the tokens chosen on the way down. Small nodes are compared
-exhaustively; large ones branch again, unless all they hold is known to be one component. A pair
-that shares a node agrees on the next token only with the probability of its similarity, so at some
-levels a node branches by two or three tokens at once, that loss doesn't grow with depth. A node
-that stays large to the last level is compared in blocks, so no pair is given up for its size.
+stands for it. Each of several independent bands deals the classes out by minwise tokens: a node of
+level k holds the classes that agree on a band's first k tokens. Small nodes are compared
+exhaustively; in large ones each band goes on with a further token, unless all they hold is known to
+be one component. A pair that shares a node agrees on the next token only with the probability of
+its similarity, so at each level the classes of large nodes get new bands, just so many that loss
+doesn't grow with depth. A node that stays large to the last level is compared in blocks, so no pair
+is given up for its size; one of few blocks is compared so at once.
 Every link is confirmed on the full sets.
 
 The work on a group of copies stays near its size: equal sets collapse first; then every class of a
@@ -20,7 +21,6 @@ import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,16 @@ from .components import connected_components
 SHINGLE = 5
 TREES = 10
 LEVELS = 8
-#: The probability that a pair at the threshold shares no node, at any depth, and the most tokens by which a node branches.
-MOST_MISSED, MOST_BRANCHES = 1e-4, 3
+#: The probability that a pair at the threshold shares no node at some level.
+MOST_MISSED = 1e-4
 #: Minwise values whose low bytes estimate a similarity before it is confirmed.
 SKETCH = 256
 #: Standard deviations below the threshold at which an estimate is still confirmed.
 SLACK = 6.0
 #: Classes in a node that are compared exhaustively.
 LEAF = 1024
+#: Blocks of LEAF classes up to which a node is compared in blocks instead of being dealt out further.
+AT_ONCE = 2
 #: Ids that are broadcast to pick the texts that links are confirmed on; more of them are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 _SEED = np.random.default_rng(20)
@@ -78,29 +80,44 @@ def minwise(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def missed(similarity: float, branches: tuple[int, ...], depth: int) -> float:
-    """The probability that a pair shares no node at ``depth``, if nodes of level k branch by ``branches[k - 1]`` tokens."""
-    out = 0.0
-    for n in reversed(branches[: depth - 1]):
-        out = (1 - similarity + similarity * out) ** n
-    return (1 - similarity + similarity * out) ** TREES
+def missed(similarity: float, level: int, n: int) -> float:
+    """The probability that a pair agrees on all tokens of none of ``n`` bands of ``level`` tokens."""
+    return (1 - similarity**level) ** n
 
 
 @lru_cache
-def branching(similarity: float) -> tuple[int, ...]:
-    """By how many tokens the nodes of each level but the last branch: the fewest that miss at most MOST_MISSED.
+def bands(similarity: float) -> tuple[int, ...]:
+    """The number of bands at each level: so many that what all levels together miss is at most MOST_MISSED.
 
-    No more than twice SKETCH tokens are taken; where these can't reach it, far below a similarity of
-    0.8, those that miss least.
+    The bands of a level are those of the level before and new ones. A level may miss half of what
+    those before it have left, the last one all. No more than three times SKETCH tokens are taken;
+    that binds far below a similarity of 0.8.
     """
-    every = [b for b in product(range(1, MOST_BRANCHES + 1), repeat=LEVELS - 1) if sum(widths(b)) <= 2 * SKETCH]
-    rated = [(max(missed(similarity, b, d) for d in range(1, LEVELS + 1)), sum(widths(b)), b) for b in every]
-    return min((max(m, MOST_MISSED), n, b) for m, n, b in rated)[2]
+    out, left = [TREES], MOST_MISSED - missed(similarity, 1, TREES)
+    for level in range(2, LEVELS + 1):
+        most = max(out[-1], 3 * SKETCH // level)
+        fit = (n for n in range(out[-1], most) if missed(similarity, level, n) <= max(left if level == LEVELS else left / 2, MOST_MISSED / 100))
+        out.append(next(fit, most))
+        left -= missed(similarity, level, out[-1])
+    return tuple(out)
 
 
-def widths(branches: tuple[int, ...]) -> list[int]:
-    """The number of tokens that each level has."""
-    return [TREES * math.prod(branches[:k]) for k in range(len(branches) + 1)]
+@lru_cache
+def places(similarity: float) -> np.ndarray:
+    """Where in the sketch band j has its token of level k: row j, column k - 1.
+
+    Each has a token of its own, taken again from the first on beyond the sketch, but never twice in a band.
+    """
+    n = bands(similarity)
+    out, taken = np.full((n[-1], LEVELS), -1), 0
+    for level in range(1, LEVELS + 1):
+        for band in range(n[level - 1]):
+            for k in np.nonzero(out[band, :level] < 0)[0]:
+                while taken % SKETCH in out[band]:
+                    taken += 1
+                out[band, k] = taken % SKETCH
+                taken += 1
+    return out
 
 
 def _sketches(size: int):
@@ -287,32 +304,45 @@ def _linked(least: int, percent: int, size: int):
     return run
 
 
-def _next_nodes(level: int, branches: tuple[int, ...]):
-    """Rows (node, id, label, tree, bits) with the nodes that the next chosen tokens lead to.
+def _next_nodes(level: int, similarity: float):
+    """Of rows (node, id, label, tree, bits) of ``level`` those of the next one.
 
-    A token's low byte stands for it: equal tokens agree on it, others by accident once in 256 times.
-    ``tree`` counts the branches of a level; each has a token of its own, taken again from the first
-    on where a level ends beyond the sketch.
+    ``tree`` is a row's band, which goes on by its next token; a row with -1 is a class that gets the
+    next level's new bands, all their tokens at once. A token's low byte stands for it: equal tokens
+    agree on it, others by accident once in 256 times.
     """
-    first, n = sum(widths(branches)[:level]), branches[level - 1]
+    n, at = bands(similarity), places(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            above = batch.column(3).to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            for branch in range(n):
-                tree = (above * n + branch).astype(np.int32)
-                value = bits[np.arange(len(tree)), (first + tree) % SKETCH].astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    out = mix64(mix64(node + np.uint64(branch)) + value).view(np.int64)
-                yield pa.record_batch([pa.array(out), batch.column(1), batch.column(2), pa.array(tree), batch.column(4)], names=["node", "id", "label", "tree", "bits"])
+            tree = batch.column(3).to_numpy(zero_copy_only=False)
+            for old in (True, False):
+                rows = batch.filter(pa.array((tree >= 0) == old))
+                if not rows.num_rows:
+                    continue
+                bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.uint64)
+                if old:
+                    node = rows.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                    yield _at_nodes(rows, _further(node, bits[np.arange(len(bits)), at[tree[tree >= 0], level]]), rows.column(3))
+                    continue
+                for band in range(n[level - 1], n[level]):
+                    node = np.full(len(bits), band, np.uint64)
+                    for k in at[band, : level + 1]:
+                        node = _further(node, bits[:, k])
+                    yield _at_nodes(rows, node, pa.array(np.full(len(bits), band, np.int32)))
 
     return run
 
 
+def _further(node: np.ndarray, token: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(node) + token)
+
+
+def _at_nodes(rows: pa.RecordBatch, node: np.ndarray, tree: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(node.view(np.int64)), rows.column(1), rows.column(2), tree, rows.column(4)], names=["node", "id", "label", "tree", "bits"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -322,7 +352,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     without doc_id takes no part in links: its component_id is null and it is kept. Rows that
     repeat a doc_id fall into one component. Extra columns of ``docs`` are left out.
     """
-    least, branches = _least(percent / 100), branching(percent / 100)
+    least, n_bands = _least(percent / 100), bands(percent / 100)
     base = materialize(documents(docs).mapInArrow(_sketches(size), "doc_id long, n_shingles long, print binary, nodes array<long>, bits binary"), "sketches")
     classes = base.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "nodes", "bits")).alias("x"))
     classes = materialize(classes.select("print", "x.*").withColumnRenamed("doc_id", "id"), "classes")
@@ -350,18 +380,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         labelled = materialize(labelled, "nodes")
         per_label = labelled.groupBy("node", "label").count()
         mixed = materialize(per_label.groupBy("node").agg(F.sum("count").alias("n"), F.count("*").alias("n_labels")).where("n_labels > 1"), "mixed")
-        large = mixed.where(F.col("n") > LEAF)
+        large = mixed.where(F.col("n") > AT_ONCE * LEAF)
         any_large = level < LEVELS and large.limit(1).count() > 0
         rows = labelled.join(mixed, "node")
         if level == 1:  # what may be compared carries its sketch from here on
             rows = materialize(rows.join(bits, "id").select("node", "id", "label", "tree", "n", "bits"), "mixed-rows")
-        leaf = rows.where(F.col("n") <= LEAF) if any_large else rows
+        leaf = rows.where(F.col("n") <= AT_ONCE * LEAF) if any_large else rows
         involved = _leaf_rows(leaf).mapInArrow(_involved(least), LEAF_ROW)
         found = involved if found is None else found.unionByName(involved)
         if not any_large:
             break
-        deeper = rows.where(F.col("n") > LEAF).select("node", "id", "label", "tree", "bits")
-        labelled = deeper.mapInArrow(_next_nodes(level, branches), "node long, id long, label long, tree int, bits binary")
+        deeper = rows.where(F.col("n") > AT_ONCE * LEAF).select("node", "id", "label", "tree", "bits")
+        if n_bands[level] > n_bands[level - 1]:
+            deeper = deeper.union(deeper.dropDuplicates(["id", "bits"]).withColumn("tree", F.lit(-1)))
+        labelled = deeper.mapInArrow(_next_nodes(level, percent / 100), "node long, id long, label long, tree int, bits binary")
     found = materialize(found, "involved").join(texts, "id").select("node", "block", "id", "label", "bits", "packed")
     more = found.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(least, percent, size), "a long, b long")
     # what the first links have joined is one vertex for the others, its smallest id

@@ -272,3 +272,38 @@ def test_recall_in_large_mixed_nodes(spark, monkeypatch, percent):
     linked = [d for d in want if want[d] != d]
     assert len(linked) > 80 and all(got[d] >= want[d] for d in want)
     assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+
+
+def test_nodes_of_two_blocks_are_compared_at_once(spark, monkeypatch):
+    """300 texts that are alike, few of them linked, in nodes over LEAF: each was dealt out to 20 nodes and more."""
+    monkeypatch.setattr(near_dedup, "LEAF", 160)
+    made, plain = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name="table", *more: (made.append(plain(df, name, *more)) or made[-1]) if name == "nodes" else plain(df, name, *more))
+    rng = random.Random(6)
+    passage, rows = " ".join(f"p{k}" for k in range(100)), []
+    for k in range(250):
+        own = [f"o{k}x{j}" for j in range(30)]
+        rows.append((k, f"{passage} {' '.join(own)}"))
+        if k % 5 == 0:
+            own[-12:] = [f"z{k}x{j}" for j in range(12)]
+            rows.append((1000 + k, f"{passage} {' '.join(own)}"))
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=repr) == brute(rows, 80)
+    assert not sum(t.count() for t in made[1:])
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_miss_few_pairs_at_the_threshold(percent):
+    n, places = near_dedup.bands(percent / 100), near_dedup.places(percent / 100)
+    assert sum(near_dedup.missed(percent / 100, k, of_level) for k, of_level in enumerate(n, 1)) <= near_dedup.MOST_MISSED
+    assert all(len({*row}) == len(row) for row in (r[r >= 0].tolist() for r in places))
+    # pairs that agree in each place of their sketches with the probability of their similarity, over all levels
+    rng, lost = np.random.default_rng(percent), 0
+    for _ in range(10):
+        agree = rng.random((10_000, near_dedup.SKETCH)) < percent / 100
+        gone = np.zeros(len(agree), bool)
+        for level, of_level in enumerate(n, 1):
+            gone |= ~np.any([agree[:, places[band, :level]].all(axis=1) for band in range(of_level)], axis=0)
+        lost += int(gone.sum())
+    assert lost <= 40
